@@ -39,12 +39,18 @@ def escape(literal: str) -> str:
     return "".join(ch if ch.isalnum() or ch in " _'" else "\\" + ch for ch in literal)
 
 
-def contains_word(text: Column, literal: str) -> Column:
-    """True where ``literal`` occurs in ``text`` as a whole word.
-
-    The cheap substring test runs first, so the regex only sees texts that hold the literal.
-    """
+def word_pattern(literal: str) -> str:
+    """A pattern for ``literal`` as a whole word."""
     first = "<!" if literal[0].isalnum() or literal[0] == "_" else "<="
     last = "?!" if literal[-1].isalnum() or literal[-1] == "_" else "?="
-    pattern = f"(?{first}{WORD}){escape(literal)}({last}{WORD})"
-    return F.contains(text, F.lit(literal)) & text.rlike(pattern)
+    return f"(?{first}{WORD}){escape(literal)}({last}{WORD})"
+
+
+def words_found(text: Column, entries: Column) -> Column:
+    """Those of ``entries``, an array of (literal, pattern, ...), that occur in ``text``.
+
+    The cheap substring test comes first, so a pattern only runs where its literal occurs.
+    """
+    return F.filter(
+        entries, lambda e: F.contains(text, e["literal"]) & F.rlike(text, e["pattern"])
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadwise.functions.regex import contains_word, search
+from threadwise.functions.regex import search, word_pattern, words_found
 from threadwise.functions.text import long_words
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
@@ -62,24 +62,47 @@ def taxonomy(spark: SparkSession, pack: RulePack = SUPPORT_PACK) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def keyword_hits(lowered: Column, keywords: tuple[str, ...]) -> Column:
-    """How many of ``keywords`` occur as whole words; each counts at most once."""
-    hits = [contains_word(lowered, keyword).cast("int") for keyword in keywords]
-    return reduce(lambda a, b: a + b, hits, F.lit(0))
+def _keyword_entries(pack: RulePack) -> Column:
+    """Every keyword as a constant array, which keeps the generated code small."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("ord"),
+                F.lit(keyword).alias("literal"),
+                F.lit(word_pattern(keyword)).alias("pattern"),
+            )
+            for i, intent in enumerate(pack.intents)
+            for keyword in intent.keywords
+        ]
+    )
 
 
 def with_hits(messages: DataFrame, text: str = "message", pack: RulePack = SUPPORT_PACK) -> DataFrame:
-    """Add ``hits``: array of (ord, intent, hits) in taxonomy order."""
-    lowered = F.col(LOWERED)
-    entries = [
-        F.struct(
-            F.lit(i).alias("ord"),
-            F.lit(intent.name).alias("intent"),
-            keyword_hits(lowered, intent.keywords).alias("hits"),
-        )
-        for i, intent in enumerate(pack.intents)
-    ]
-    return with_lowered(messages, text).withColumn("hits", F.array(*entries)).drop(LOWERED)
+    """Add ``hits``: array of (ord, intent, hits) in taxonomy order.
+
+    A keyword counts once however often it occurs; overlapping keywords all count.
+    """
+    intents = F.array(
+        *[
+            F.struct(F.lit(i).alias("ord"), F.lit(intent.name).alias("intent"))
+            for i, intent in enumerate(pack.intents)
+        ]
+    )
+    found = words_found(F.col(LOWERED), _keyword_entries(pack))
+    hits = F.transform(
+        intents,
+        lambda x: F.struct(
+            x["ord"].alias("ord"),
+            x["intent"].alias("intent"),
+            F.size(F.filter("_found", lambda e: e["ord"] == x["ord"])).alias("hits"),
+        ),
+    )
+    return (
+        with_lowered(messages, text)
+        .withColumn("_found", found)
+        .withColumn("hits", hits)
+        .drop("_found", LOWERED)
+    )
 
 
 def hit_table(
