@@ -29,7 +29,7 @@ def invalid_dimensions(
     """(dimension, invalid): dimensions with a score that is no whole number from 1 to 5."""
 
     def invalid(name: str) -> Column:
-        number = F.try_cast(F.col(name).cast("string"), "double")
+        number = F.col(name).cast("string").try_cast("double")
         good = number.between(1, 5) & (number % 1 == 0)
         return ~F.coalesce(good, F.lit(False))
 

@@ -6,6 +6,7 @@ single pass without joins or shuffles.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,16 @@ def with_lowered(messages: DataFrame, text: str) -> DataFrame:
     return messages.withColumn(LOWERED, F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Evaluate ``columns`` once per row, before anything that is built on them.
+
+    A later filter on a derived column would otherwise be pushed below its definition and repeat
+    the rules behind it many times over. Spark pushes nothing through a generator.
+    """
+    others = [name for name in df.columns if name not in columns]
+    return df.select(*others, F.inline_outer(F.array(F.struct(*columns))))
+
+
 def taxonomy(spark: SparkSession, pack: RulePack = SUPPORT_PACK) -> DataFrame:
     """The intents as a small table, in order."""
     schema = T.StructType(
@@ -63,17 +74,14 @@ def taxonomy(spark: SparkSession, pack: RulePack = SUPPORT_PACK) -> DataFrame:
 
 
 def _keyword_entries(pack: RulePack) -> Column:
-    """Every keyword as a constant array, which keeps the generated code small."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ord"),
-                F.lit(keyword).alias("literal"),
-                F.lit(word_pattern(keyword)).alias("pattern"),
-            )
-            for i, intent in enumerate(pack.intents)
-            for keyword in intent.keywords
-        ]
+    """Every keyword as one constant array, which keeps plans and generated code small."""
+    entries = [
+        {"ord": i, "literal": keyword, "pattern": word_pattern(keyword)}
+        for i, intent in enumerate(pack.intents)
+        for keyword in intent.keywords
+    ]
+    return F.from_json(
+        F.lit(json.dumps(entries)), "array<struct<ord: int, literal: string, pattern: string>>"
     )
 
 
@@ -82,25 +90,21 @@ def with_hits(messages: DataFrame, text: str = "message", pack: RulePack = SUPPO
 
     A keyword counts once however often it occurs; overlapping keywords all count.
     """
-    intents = F.array(
-        *[
-            F.struct(F.lit(i).alias("ord"), F.lit(intent.name).alias("intent"))
-            for i, intent in enumerate(pack.intents)
-        ]
-    )
     found = words_found(F.col(LOWERED), _keyword_entries(pack))
-    hits = F.transform(
-        intents,
-        lambda x: F.struct(
-            x["ord"].alias("ord"),
-            x["intent"].alias("intent"),
-            F.size(F.filter("_found", lambda e: e["ord"] == x["ord"])).alias("hits"),
-        ),
-    )
+
+    # One reference per intent: Spark keeps a column it sees several times as it is, but would
+    # move a single use inside a lambda and evaluate it once per element.
+    def entry(i: int, name: str) -> Column:
+        count = F.size(F.filter("_found", lambda e: e["ord"] == i))
+        return F.struct(
+            F.lit(i).alias("ord"), F.lit(name).alias("intent"), count.alias("hits")
+        )
+
+    hits = [entry(i, intent.name) for i, intent in enumerate(pack.intents)]
     return (
         with_lowered(messages, text)
         .withColumn("_found", found)
-        .withColumn("hits", hits)
+        .withColumn("hits", F.array(*hits))
         .drop("_found", LOWERED)
     )
 
@@ -145,7 +149,7 @@ def classify_by_keywords(
         ),
         2,
     )
-    return (
+    classified = (
         ranked.withColumn("best_hits", best)
         .withColumn(
             "intent",
@@ -169,6 +173,7 @@ def classify_by_keywords(
         )
         .drop("hits", "ranked")
     )
+    return settle(classified, "intent", "intents", "confidence", "reasoning", "best_hits")
 
 
 def override_name(lowered: Column, pack: RulePack = SUPPORT_PACK) -> Column:
@@ -206,7 +211,7 @@ def classify(
         cases = [(override == rule.name, value(rule)) for rule in pack.overrides]
         return first_match(cases, F.col(column)) if cases else F.col(column)
 
-    return (
+    classified = (
         by_keywords.withColumn("intent", pick("intent", lambda r: F.lit(r.intent)))
         .withColumn("intents", pick("intents", lambda r: F.array(F.lit(r.intent))))
         .withColumn("confidence", pick("confidence", lambda r: F.lit(fixed.CONFIDENCE_CEILING)))
@@ -214,6 +219,9 @@ def classify(
         .withColumn("needs_model", ~_settled(F.col(LOWERED), F.col("intent"), pack))
         .drop(LOWERED, "best_hits")
     )
+    return settle(
+        classified, "intent", "intents", "confidence", "reasoning", "override", "needs_model"
+    )
 
 
 def weak_label(
@@ -223,7 +231,8 @@ def weak_label(
     """Add the intent with the most keyword hits; overrides do not apply."""
     hits = with_hits(messages, text, pack)
     best = F.get(_ranked(F.col("hits")), F.lit(0))["intent"]
-    return hits.withColumn(label, F.coalesce(best, F.lit(pack.fallback_intent))).drop("hits")
+    labelled = hits.withColumn(label, F.coalesce(best, F.lit(pack.fallback_intent)))
+    return settle(labelled.drop("hits"), label)
 
 
 def display_label(

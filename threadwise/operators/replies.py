@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadwise.functions.regex import search
 from threadwise.functions.text import term_set
-from threadwise.operators.intent import LOWERED, all_of, first_match, with_lowered
+from threadwise.operators.intent import LOWERED, all_of, first_match, settle, with_lowered
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK, RulePack
@@ -56,10 +56,14 @@ def draft_replies(
     """Add reply, reply_rule, reply_source, answer_supported, support_reason, generation_model."""
     lowered, intent = F.col(LOWERED), F.col("intent")
     known = F.col("known_rule").isNotNull()
-    return (
+    ruled = (
         with_lowered(classified, text)
         .withColumn("known_rule", known_rule(lowered, intent, pack))
         .withColumn("template", template_rule(lowered, intent, pack))
+        .drop(LOWERED)
+    )
+    return (
+        settle(ruled, "known_rule", "template")
         .withColumn(
             "reply",
             F.when(known, known_reply(F.col("known_rule"), pack)).otherwise(
@@ -79,7 +83,7 @@ def draft_replies(
             "generation_model",
             F.when(known, fixed.KNOWN_MODEL).otherwise(fixed.TEMPLATE_MODEL),
         )
-        .drop(LOWERED, "known_rule", "template")
+        .drop("known_rule", "template")
     )
 
 
@@ -145,7 +149,7 @@ def ground_replies(
 
     Needs ``evidence`` with ``initial_query`` and ``first_support_reply`` per case.
     """
-    return (
+    checked = (
         drafts.withColumn("reply_terms", term_set(F.coalesce(F.col(reply), F.lit(""))))
         .withColumn("evidence_terms", evidence_terms(F.col("evidence")))
         .withColumn("actions", reply_actions(F.col("reply_terms"), pack))
@@ -157,9 +161,12 @@ def ground_replies(
             "grounding",
             grounding_code(F.col("evidence"), F.col("actions"), F.col("unsupported"), pack),
         )
+        .drop("reply_terms", "evidence_terms")
+    )
+    return (
+        settle(checked, "actions", "unsupported", "grounding")
         .withColumn("grounded", F.col("grounding") == "supported")
         .withColumn("grounding_reason", grounding_reason(F.col("grounding")))
-        .drop("reply_terms", "evidence_terms")
     )
 
 

@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadwise.functions.regex import search
-from threadwise.operators.intent import LOWERED, all_of, any_of, first_match, with_lowered
+from threadwise.operators.intent import (
+    LOWERED,
+    all_of,
+    any_of,
+    first_match,
+    settle,
+    with_lowered,
+)
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK, RulePack
@@ -32,6 +39,13 @@ def risk_pattern(lowered: Column, pack: RulePack = SUPPORT_PACK) -> Column:
     )
 
 
+def is_risky(lowered: Column, pack: RulePack = SUPPORT_PACK) -> Column:
+    """True where any risk pattern occurs, found in a single pass over the text."""
+    if not pack.risk_patterns:
+        return F.lit(False)
+    return search(lowered, "|".join(f"(?:{p})" for p in pack.risk_patterns))
+
+
 def shipping_exemption(lowered: Column, intent: Column) -> Column:
     """A lost parcel with tracking words is a delivery matter, not a security risk."""
     return (
@@ -96,7 +110,7 @@ def routing_rule(
     and reply_grounded.
     """
     intent, confidence = F.col("intent"), F.col("confidence")
-    risky = risk_pattern(lowered, pack).isNotNull() & ~shipping_exemption(lowered, intent)
+    risky = is_risky(lowered, pack) & ~shipping_exemption(lowered, intent)
     how_to = (
         (intent == fixed.HOW_TO_INTENT)
         & F.col("answer_supported")
@@ -152,9 +166,11 @@ def route(
     rule = F.col("_rule")
     decision = F.when(rule.isin(*AUTO_RULES), AUTO).otherwise(ESCALATE)
     reason = routing_reason(rule, F.col("intent"), F.col("grounding_reason"))
+    ruled = with_lowered(messages, text).withColumn(
+        "_rule", routing_rule(F.col(LOWERED), pack, policy)
+    )
     return (
-        with_lowered(messages, text)
-        .withColumn("_rule", routing_rule(F.col(LOWERED), pack, policy))
+        settle(ruled, "_rule")
         .withColumn(
             "escalation",
             F.struct(decision.alias("decision"), reason.alias("reason"), rule.alias("rule")),

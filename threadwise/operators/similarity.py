@@ -178,13 +178,13 @@ def retrieve_texts(
     # Only the k smallest ids among copies of a record can appear in a list of k.
     member = F.row_number().over(Window.partitionBy("doc").orderBy("record_id"))
     members = (
-        index.records.select("doc", "record_id", *columns)
+        index.records.select("doc", "record_id")
         .withColumn("member", member)
         .where(F.col("member") <= k)
         .drop("member")
     )
     order = Window.partitionBy("q").orderBy(F.desc("score"), "record_id")
-    return (
+    best = (
         vectors.join(members, "doc")
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -194,9 +194,10 @@ def retrieve_texts(
             "record_id",
             F.col("score").alias("similarity"),
             F.round("score", 4).alias("similarity_score"),
-            *columns,
         )
     )
+    # The wide columns join last, for the final list only.
+    return best.join(index.records.select("record_id", *columns), "record_id") if columns else best
 
 
 def _query_texts(messages: DataFrame, key: str, text: str) -> DataFrame:

@@ -72,6 +72,7 @@ REPLIES = (
     "download the update and install it again from the store",
     "the support team will help you soon",
     "reboot the phone, then charge it with the original charger",
+    "we promise a refund within 24 hours, definitely",
     "",
 )
 

@@ -331,9 +331,7 @@ def h2_shipping_exemption(spark, sf_dir):
 )
 def h3_risk_reason(spark, sf_dir):
     lowered = F.col(LOWERED)
-    risky = routing.risk_pattern(lowered).isNotNull() & ~routing.shipping_exemption(
-        lowered, F.col("intent")
-    )
+    risky = routing.is_risky(lowered) & ~routing.shipping_exemption(lowered, F.col("intent"))
     return _lowered(spark, sf_dir).where(risky).select(
         "msg_id", routing.risk_rule(lowered).alias("risk_kind")
     )
