@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadwise.functions.arrays import explode_computed
 from threadwise.functions.regex import search, word_pattern, words_found
 from threadwise.functions.text import long_words
 from threadwise.rules import fixed_values as fixed
@@ -251,9 +252,7 @@ def display_label(
 
 def top_words(queries: DataFrame, text: str = "initial_query", n: int = 20) -> DataFrame:
     """The ``n`` most frequent words of more than three characters, ties alphabetical."""
-    words = queries.where(F.col(text).isNotNull()).select(
-        F.explode(long_words(F.col(text))).alias("word")
-    )
+    words = explode_computed(queries, long_words(F.col(text)), "word")
     counted = words.groupBy("word").agg(F.count("*").alias("occurrences"))
     return counted.orderBy(F.desc("occurrences"), "word").limit(n)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadwise.functions.arrays import explode_computed
 from threadwise.functions.text import clean_key, key_list, lower_string
 
 
@@ -46,8 +47,8 @@ def parent_ids(seeds: DataFrame) -> DataFrame:
 
 def child_ids(seeds: DataFrame) -> DataFrame:
     """Ids listed as replies to the seed rows."""
-    return seeds.select(
-        F.explode(key_list(F.col("response_tweet_id"))).alias("tweet_id")
+    return explode_computed(
+        seeds, key_list(F.col("response_tweet_id")), "tweet_id"
     ).distinct()
 
 

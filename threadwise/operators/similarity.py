@@ -5,8 +5,8 @@ products over shared terms, and a term adds at most ``query weight x largest doc
 
 1. *First guess.* The few documents in which a query's terms weigh most give lower bounds; the
    k-th best bound is a score the final list must reach.
-2. *Skip common terms.* Starting from the most common term, terms are set aside while all of
-   them together could not reach that score. A document that shares only those cannot be in
+2. *Skip common terms.* Starting from the term that spares the most postings for what it can add
+   to a score, terms are set aside while all of them together could not reach that score. A document that shares only those cannot be in
    the list, so they generate no candidates.
 3. *Candidates.* The remaining terms are joined with the postings; a posting too light to reach
    the score, even with every other term at its largest, is dropped inside the join. Terms held
@@ -72,7 +72,7 @@ def _query_plan(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -
     """Query weights with, per term, whether it generates candidates and the least weight."""
     impacts = bounded_broadcast(index.impacts, index.max_features)
     per_query = Window.partitionBy("q")
-    common_first = per_query.orderBy(F.desc("docs"), "term_id")
+    common_first = per_query.orderBy(F.desc(F.col("docs") / F.col("gain")), "term_id")
     gain = F.col("w") * F.col("max_w")
     return (
         query.join(impacts, "term_id")
@@ -142,9 +142,13 @@ def best_vectors(
         .select("q", "doc", "partial", F.explode_outer("rest").alias("rest"))
         .select("q", "doc", "partial", F.col("rest.term_id").alias("term_id"), "rest.w")
     )
+    aside_terms = plan.where("aside").select("term_id").distinct()
+    aside_postings = index.postings.join(
+        bounded_broadcast(aside_terms, index.max_features), "term_id", "left_semi"
+    )
     scored = (
         candidates.join(
-            index.postings.select("doc", "term_id", F.col("w").alias("dw")),
+            aside_postings.select("doc", "term_id", F.col("w").alias("dw")),
             ["doc", "term_id"],
             "left",
         )

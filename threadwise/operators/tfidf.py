@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadwise.functions.arrays import explode_computed
 from threadwise.functions.text import drop_words, unigrams_and_bigrams, word_tokens
 from threadwise.rules import fixed_values as fixed
 from threadwise.session import cut_lineage
@@ -66,8 +67,8 @@ def distinct_texts(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def term_counts(distinct: DataFrame, key: str, stop_words: list[str]) -> DataFrame:
     """(key, copies, term, tf) for a table of distinct texts."""
-    exploded = with_terms(distinct, stop_words).select(
-        key, "copies", F.explode("terms").alias("term")
+    exploded = explode_computed(
+        with_terms(distinct, stop_words), F.col("terms"), "term", key, "copies"
     )
     return exploded.groupBy(key, "term").agg(
         F.max("copies").alias("copies"), F.count("*").alias("tf")
@@ -105,8 +106,11 @@ def vocabulary(counts: DataFrame, documents: DataFrame, max_features: int) -> Da
 
     ``documents`` is a one-row, one-column table holding the number of documents.
     """
-    per_term = counts.groupBy("term").agg(
-        F.sum(F.col("tf") * F.col("copies")).alias("cf"), F.sum("copies").alias("df")
+    # Read twice below: once for the histogram, once for the selection.
+    per_term = cut_lineage(
+        counts.groupBy("term").agg(
+            F.sum(F.col("tf") * F.col("copies")).alias("cf"), F.sum("copies").alias("df")
+        )
     )
     kept = most_frequent(per_term, "cf", "term", max_features)
     size = documents.scalar()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from threadwise.operators.tfidf import TfidfIndex, build_index, evidence_corpus
 from threadwise.operators.threads import flat_conversations
 from threadwise.plans.triage import triage
-from threadwise.session import cut_lineage
+from threadwise.session import cut_lineage, spread
 
 BRAND = "BrandSupport"
 
@@ -78,7 +78,7 @@ REPLIES = (
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
