@@ -25,7 +25,7 @@ KNOWN_REPLIES = {
     "update_system": "Plug the phone into power, join a Wi-Fi network and open Settings > General > Software Update.\nWhen a new release is listed, tap Download and Install and follow the steps.",
     "recover_password": "On a device you already trust, open Settings, tap your name and go to Sign-In & Security > Change Password.\nWithout one, start account recovery at iforgot.apple.com. Our support staff can help if that does not work.",
     "recover_account": "We are sorry you cannot get in.\nAccount recovery lets you choose a new password and return to your account. If you get no further, support can verify you.",
-    "account_compromised": "We are sorry this happened. Someone seems to hold your account credentials, so a security specialist must look at it.\nSupport can help with recovery and lock the account down.",
+    "account_compromised": "We are sorry about this. Someone seems to hold your account credentials, so a security specialist must look at it.\nSupport can help with recovery and lock the account down.",
     "boot_loop": "We are sorry the phone does not get past its start screen.\nPlease share the model and the system version, then contact support so that they can look further.",
     "dead_after_update": "We are sorry the phone stays dark since the update.\nPlease share the model, the system version and what happened just before, so that support can find the cause.",
     "physical_damage": "We are sorry about the broken glass.\nPut the phone aside if splinters are loose, and contact support or an authorised repair shop.",
