@@ -1,4 +1,4 @@
-"""Turning computed arrays into rows."""
+"""Generators: computed arrays as rows, and computed columns as a unit."""
 
 from __future__ import annotations
 
@@ -14,3 +14,13 @@ def explode_computed(df: DataFrame, array: Column, name: str, *keep: str) -> Dat
     """
     rows = df.select(*keep, F.explode_outer(array).alias(name))
     return rows.where(F.col(name).isNotNull())
+
+
+def settle(df: DataFrame, *columns: str) -> DataFrame:
+    """Evaluate ``columns`` once per row, before anything that is built on them.
+
+    A later filter on a derived column would otherwise be pushed below its definition and repeat
+    the rules behind it many times over. Spark pushes nothing through a generator.
+    """
+    others = [name for name in df.columns if name not in columns]
+    return df.select(*others, F.inline_outer(F.array(F.struct(*columns))))

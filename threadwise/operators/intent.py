@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadwise.functions.arrays import explode_computed
+from threadwise.functions.arrays import explode_computed, settle
 from threadwise.functions.regex import search, word_pattern, words_found
 from threadwise.functions.text import long_words
 from threadwise.rules import fixed_values as fixed
@@ -45,16 +45,6 @@ def with_lowered(messages: DataFrame, text: str) -> DataFrame:
     return messages.withColumn(LOWERED, F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
-def settle(df: DataFrame, *columns: str) -> DataFrame:
-    """Evaluate ``columns`` once per row, before anything that is built on them.
-
-    A later filter on a derived column would otherwise be pushed below its definition and repeat
-    the rules behind it many times over. Spark pushes nothing through a generator.
-    """
-    others = [name for name in df.columns if name not in columns]
-    return df.select(*others, F.inline_outer(F.array(F.struct(*columns))))
-
-
 def taxonomy(spark: SparkSession, pack: RulePack = SUPPORT_PACK) -> DataFrame:
     """The intents as a small table, in order."""
     schema = T.StructType(

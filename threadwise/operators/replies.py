@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadwise.functions.arrays import settle
 from threadwise.functions.regex import search
 from threadwise.functions.text import term_set
-from threadwise.operators.intent import LOWERED, all_of, first_match, settle, with_lowered
+from threadwise.operators.intent import LOWERED, all_of, first_match, with_lowered
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK, RulePack

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadwise.functions.arrays import settle
 from threadwise.functions.regex import search
 from threadwise.operators.intent import (
     LOWERED,
     all_of,
     any_of,
     first_match,
-    settle,
     with_lowered,
 )
 from threadwise.rules import fixed_values as fixed

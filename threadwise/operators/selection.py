@@ -53,11 +53,11 @@ def child_ids(seeds: DataFrame) -> DataFrame:
 
 
 def relevant_ids(tweets: DataFrame, brand: str) -> DataFrame:
-    """Seed ids plus one hop up and one hop down."""
-    seeds = seed_rows(tweets, brand)
-    return (
-        seed_ids(tweets, brand).union(parent_ids(seeds)).union(child_ids(seeds)).distinct()
-    )
+    """Seed ids plus one hop up and one hop down, collected in one pass over the seed rows."""
+    parent = clean_key(F.col("in_response_to_tweet_id"))
+    children = F.coalesce(key_list(F.col("response_tweet_id")), F.array())
+    ids = F.concat(F.array_compact(F.array("tweet_id", parent)), children)
+    return explode_computed(seed_rows(tweets, brand), ids, "tweet_id").distinct()
 
 
 def keep_ids(tweets: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadwise.functions.arrays import settle
 from threadwise.functions.text import clean_key, clean_text, strip_handles
 from threadwise.operators.selection import is_brand_author
 from threadwise.session import cut_lineage
@@ -157,12 +158,13 @@ def conversation_records(turns: DataFrame, brand: str, entities: str = "common")
         F.max(F.when(is_root, F.col("text"))).alias("root_text"),
         first_brand_reply(brand).alias("first_support_reply"),
     )
-    return records.select(
+    queried = records.withColumn("initial_query", strip_handles(F.col("root_text"), entities))
+    return settle(queried, "initial_query").select(
         F.concat(F.lit("conv_"), "root_tweet_id").alias("conversation_id"),
         "root_tweet_id",
         "customer_id",
         "num_turns",
-        strip_handles(F.col("root_text"), entities).alias("initial_query"),
+        "initial_query",
         "first_support_reply",
         F.col("first_support_reply").isNotNull().alias("has_support_reply"),
     )

@@ -78,7 +78,12 @@ REPLIES = (
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose text columns are worked on: every core gets a share of it."""
+    return spread(read(spark, sf_dir, table))
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +153,7 @@ def support_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root_tweet_id, turn_index, tweet_id, author_id, inbound, text, created_at)."""
     turns = read(spark, sf_dir, "conversations").where("role <> 'system'")
     first = turns.groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
-    return turns.join(first, "conv_id").selectExpr(
+    return spread(turns).join(first, "conv_id").selectExpr(
         "conv_id AS root_tweet_id",
         "cast(turn - first_turn AS int) AS turn_index",
         "conv_id * 100 + turn AS tweet_id",
@@ -255,7 +260,7 @@ def document_index(spark: SparkSession, sf_dir: str) -> TfidfIndex:
     return _stored(
         spark, sf_dir, "document_index",
         lambda: build_index(
-            read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id"
+            texts(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id"
         ),
     )
 

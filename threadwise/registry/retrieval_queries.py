@@ -16,7 +16,7 @@ _SUPPORT = sql.with_(SUPPORT_CONVERSATIONS, sql.support_retrieval())
 
 
 def _documents(spark, sf_dir):
-    return inputs.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return inputs.texts(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _evidence(spark, sf_dir, **options):
@@ -154,7 +154,7 @@ def e11_retrieve_topk(spark, sf_dir):
 )
 def e11_benchmark_topk(spark, sf_dir):
     found = similarity.retrieve(
-        inputs.read(spark, sf_dir, "benchmark"), inputs.document_index(spark, sf_dir),
+        inputs.texts(spark, sf_dir, "benchmark"), inputs.document_index(spark, sf_dir),
         "item_id", "text", columns=[],
     )
     return found.select(
@@ -173,7 +173,7 @@ def e11_benchmark_topk(spark, sf_dir):
 )
 def e12_score_floor(spark, sf_dir):
     found = similarity.retrieve(
-        inputs.read(spark, sf_dir, "benchmark"), inputs.document_index(spark, sf_dir),
+        inputs.texts(spark, sf_dir, "benchmark"), inputs.document_index(spark, sf_dir),
         "item_id", "text", min_score=0.1, columns=[],
     )
     return found.groupBy("item_id").agg(

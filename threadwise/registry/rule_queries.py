@@ -173,7 +173,7 @@ FROM (SELECT unnest(regexp_split_to_array(
 WHERE length(word) > 3 GROUP BY word ORDER BY occurrences DESC, word LIMIT 20"""
 )
 def f13_top_words(spark, sf_dir):
-    return intent.top_words(inputs.read(spark, sf_dir, "documents"), "text")
+    return intent.top_words(inputs.texts(spark, sf_dir, "documents"), "text")
 
 
 @query(sql.with_(SUPPORT_CONVERSATIONS) + "\nSELECT count(initial_query) AS queries FROM support_conversations")

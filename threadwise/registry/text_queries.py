@@ -81,19 +81,19 @@ def a9_prep_summary(spark, sf_dir):
 
 @query(f"SELECT doc_id, {clean('text')} AS cleaned FROM documents")
 def b1_clean_text(spark, sf_dir):
-    docs = inputs.read(spark, sf_dir, "documents")
+    docs = inputs.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT page_id, {clean('html')} AS cleaned FROM pages")
 def b1_clean_html(spark, sf_dir):
-    pages = inputs.read(spark, sf_dir, "pages")
+    pages = inputs.texts(spark, sf_dir, "pages")
     return pages.select("page_id", text.clean_text(F.col("html")).alias("cleaned"))
 
 
 @query()
 def b1_clean_html5(spark, sf_dir):
-    pages = inputs.read(spark, sf_dir, "pages")
+    pages = inputs.texts(spark, sf_dir, "pages")
     return pages.select("page_id", text.clean_text(F.col("html"), "html5").alias("cleaned"))
 
 
@@ -153,7 +153,7 @@ _LONG_WORDS = (
     f"array_to_string({_LONG_WORDS}, '|') AS joined FROM documents"
 )
 def b6_long_words(spark, sf_dir):
-    docs = inputs.read(spark, sf_dir, "documents")
+    docs = inputs.texts(spark, sf_dir, "documents")
     return docs.select("doc_id", text.long_words(F.col("text")).alias("w")).select(
         "doc_id", F.size("w").cast("long").alias("words"), F.array_join("w", "|").alias("joined")
     )
@@ -166,7 +166,7 @@ SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(
 FROM documents"""
 )
 def b7_term_set(spark, sf_dir):
-    docs = inputs.read(spark, sf_dir, "documents")
+    docs = inputs.texts(spark, sf_dir, "documents")
     terms = F.sort_array(text.term_set(F.col("text")))
     return docs.select("doc_id", F.array_join(terms, "|").alias("terms"))
 
