@@ -91,8 +91,11 @@ def b1_clean_html(spark, sf_dir):
     return pages.select("page_id", text.clean_text(F.col("html")).alias("cleaned"))
 
 
-# The given pages hold two entities beyond the common ones.
-_HTML5 = clean("replace(replace(html, '&middot;', '·'), '&copy;', '©')")
+# All entities of the given pages; an ampersand may come without its semicolon.
+_HTML5 = (
+    "trim(regexp_replace(regexp_replace(replace(replace(replace(html, '&middot;', '·'), "
+    f"'&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g'), '{SPACES}+', ' ', 'g'))"
+)
 
 
 @query(f"SELECT page_id, {_HTML5} AS cleaned FROM pages")
