@@ -17,7 +17,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("threadwise-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from threadwise.functions.text import term_set
 from threadwise.operators import intent, quality, replies, routing
 from threadwise.operators.intent import LOWERED, with_lowered
-from threadwise.plans.triage import triage
 from threadwise.operators.tfidf import build_index
+from threadwise.plans.triage import triage, triage_message
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules.pack import SUPPORT_PACK, Intent
 
@@ -356,6 +356,8 @@ def test_smoke_set(spark):
     assert decisions[SMOKE[12]] == "low_confidence"
     with pytest.raises(ValueError):
         triage(messages(spark, "x"), index, k=0)
+    alone = triage_message(SMOKE[8], index, k=3).first()
+    assert alone.escalation == rows[8].escalation and alone.reply == rows[8].reply
 
 
 def test_own_pack(spark):

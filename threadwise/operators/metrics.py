@@ -29,15 +29,20 @@ def accuracy(cells: DataFrame) -> DataFrame:
 def label_scores(cells: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) unrounded, for labels in truth or prediction."""
     hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
-    as_truth = cells.select(
-        F.col("truth").alias("label"), hit.alias("tp"), F.col("n").alias("support"),
-        F.lit(0).cast("long").alias("claimed"),
+    none = F.lit(0).cast("long")
+
+    def entry(label: str, tp: Column, support: Column, claimed: Column) -> Column:
+        return F.struct(
+            F.col(label).alias("label"), tp.alias("tp"), support.alias("support"),
+            claimed.alias("claimed"),
+        )
+
+    # Each cell counts once for its true label and once for its predicted label.
+    both = F.array(
+        entry("truth", hit.cast("long"), F.col("n"), none),
+        entry("predicted", none, none, F.col("n")),
     )
-    as_prediction = cells.select(
-        F.col("predicted").alias("label"), F.lit(0).cast("long").alias("tp"),
-        F.lit(0).cast("long").alias("support"), F.col("n").alias("claimed"),
-    )
-    sums = as_truth.union(as_prediction).groupBy("label").agg(
+    sums = cells.select(F.inline(both)).groupBy("label").agg(
         F.sum("tp").alias("tp"), F.sum("support").alias("support"),
         F.sum("claimed").alias("claimed"),
     )

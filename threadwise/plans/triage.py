@@ -37,6 +37,12 @@ def triage(
     return route(drafted.withColumn("reply_grounded", F.col("grounded")), text, pack, policy)
 
 
+def triage_message(message: str, index: TfidfIndex, **options) -> DataFrame:
+    """The result row of a single message."""
+    spark = index.postings.sparkSession
+    return triage(spark.createDataFrame([(0, message)], "msg_id long, message string"), index, **options)
+
+
 def triage_report(
     results: DataFrame, key: str = "msg_id", text: str = "message", pack: RulePack = SUPPORT_PACK
 ) -> DataFrame:

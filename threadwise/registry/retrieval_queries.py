@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from threadwise.functions import text
 from threadwise.operators import similarity, tfidf
 from threadwise.registry import inputs
+from threadwise.registry import sqltext as sql
 from threadwise.registry.catalog import query
 from threadwise.registry.inputs import SUPPORT_CONVERSATIONS
-from threadwise.registry import sqltext as sql
+from threadwise.rules import fixed_values as fixed
 
 _DOCS = sql.tfidf("documents", "doc_id", "text")
 _SUPPORT = sql.with_(SUPPORT_CONVERSATIONS, sql.support_retrieval())
@@ -19,6 +20,11 @@ def _documents(spark, sf_dir):
     return inputs.texts(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _names(index):
+    """(term_id, term), small because the vocabulary is capped."""
+    return tfidf.bounded_broadcast(index.vocab.select("term_id", "term"), index.max_features)
+
+
 def _evidence(spark, sf_dir, **options):
     return similarity.retrieve(
         inputs.messages(spark, sf_dir), inputs.support_index(spark, sf_dir), **options
@@ -82,7 +88,9 @@ def e7_term_frequency(spark, sf_dir):
     stop_words = tfidf.english_stop_words(spark)
     rows = _documents(spark, sf_dir).withColumn("copies", F.lit(1))
     vocab = inputs.document_index(spark, sf_dir).vocab.select("term")
-    counts = tfidf.term_counts(rows, "doc_id", stop_words).join(F.broadcast(vocab), "term")
+    counts = tfidf.term_counts(rows, "doc_id", stop_words).join(
+        tfidf.bounded_broadcast(vocab, fixed.MAX_FEATURES), "term"
+    )
     return counts.select(
         "doc_id", "term", "tf", F.round(1 + F.log("tf"), 6).alias("sublinear")
     )
@@ -95,7 +103,7 @@ def e8_unit_weights(spark, sf_dir):
     return (
         index.records.select(F.col("record_id").alias("doc_id"), "doc")
         .join(index.postings, "doc")
-        .join(F.broadcast(index.vocab.select("term_id", "term")), "term_id")
+        .join(_names(index), "term_id")
         .select("doc_id", "term", F.round("w", 6).alias("w"))
     )
 
@@ -104,7 +112,7 @@ def e8_unit_weights(spark, sf_dir):
 def e9_query_weights(spark, sf_dir):
     index = inputs.support_index(spark, sf_dir)
     weights = tfidf.transform(inputs.messages(spark, sf_dir), "msg_id", "message", index)
-    return weights.join(F.broadcast(index.vocab.select("term_id", "term")), "term_id").select(
+    return weights.join(_names(index), "term_id").select(
         "msg_id", "term", F.round("w", 6).alias("w")
     )
 
