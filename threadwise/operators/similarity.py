@@ -6,8 +6,8 @@ products over shared terms, and a term adds at most ``query weight x largest doc
 1. *First guess.* The few documents in which a query's terms weigh most give lower bounds; the
    k-th best bound is a score the final list must reach.
 2. *Skip common terms.* Starting from the term that spares the most postings for what it can add
-   to a score, terms are set aside while all of them together could not reach that score. A document that shares only those cannot be in
-   the list, so they generate no candidates.
+   to a score, terms are set aside while all of them together could not reach that score. A
+   document that shares only those cannot be in the list, so they generate no candidates.
 3. *Candidates.* The remaining terms are joined with the postings; a posting too light to reach
    the score, even with every other term at its largest, is dropped inside the join. Terms held
    by many documents are split over several join keys.
