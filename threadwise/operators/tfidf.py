@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadwise.functions.arrays import explode_computed
 from threadwise.functions.text import drop_words, unigrams_and_bigrams, word_tokens
 from threadwise.rules import fixed_values as fixed
+from threadwise.rules.stop_words import ENGLISH
 from threadwise.session import cut_lineage
 
 # Per-term tables up to this many rows are broadcast.
@@ -27,10 +27,6 @@ CHAMPIONS = 16
 STEPS_PER_OCTAVE = 16
 
 
-def english_stop_words(spark: SparkSession) -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast ``df`` when its row bound is small; otherwise let Spark choose."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -178,7 +174,7 @@ def build_index(
 ) -> TfidfIndex:
     """Index the texts of ``corpus``; its other columns are kept as the records."""
     if stop_words is None:
-        stop_words = english_stop_words(corpus.sparkSession)
+        stop_words = list(ENGLISH)
     # Counts, vocabulary and postings are each read several times: compute them once.
     distinct = distinct_texts(corpus, doc, text).withColumnRenamed(doc, "doc")
     counts = cut_lineage(term_counts(distinct, "doc", stop_words))

@@ -6,16 +6,11 @@ them to CASE chains. Only the rule data itself is shared.
 
 from __future__ import annotations
 
-import functools
-import zipfile
-from pathlib import Path
-
-import pyspark
-
 from threadwise.registry import inputs
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK
+from threadwise.rules.stop_words import ENGLISH
 
 SPACES = (
     r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -152,13 +147,8 @@ classified AS (SELECT *, NOT ({_SETTLED}) AS needs_model FROM classified_base)""
 
 # --- TF-IDF ------------------------------------------------------------------------------------
 
-@functools.cache
 def stop_list() -> str:
-    """Spark's default English stop words, read from its own jar so that no session is needed."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        text = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return ", ".join(lit(word) for word in text.split("\n") if word)
+    return ", ".join(map(lit, ENGLISH))
 
 
 def tokens(text: str) -> str:
