@@ -11,6 +11,7 @@ from threadwise.registry import sqltext as sql
 from threadwise.registry.catalog import query
 from threadwise.registry.inputs import SUPPORT_CONVERSATIONS
 from threadwise.rules import fixed_values as fixed
+from threadwise.rules.stop_words import ENGLISH
 
 _DOCS = sql.tfidf("documents", "doc_id", "text")
 _SUPPORT = sql.with_(SUPPORT_CONVERSATIONS, sql.support_retrieval())
@@ -53,7 +54,7 @@ def e2_word_tokens(spark, sf_dir):
 
 @query(f"SELECT doc_id, array_to_string({sql.tokens('text')}, ' ') AS tokens FROM documents")
 def e3_drop_stop_words(spark, sf_dir):
-    kept = text.drop_words(text.word_tokens(F.col("text")), tfidf.english_stop_words(spark))
+    kept = text.drop_words(text.word_tokens(F.col("text")), list(ENGLISH))
     return _documents(spark, sf_dir).select("doc_id", F.array_join(kept, " ").alias("tokens"))
 
 
@@ -64,7 +65,7 @@ SELECT doc_id, array_to_string(list_concat(t, list_transform(range(1, len(t)),
        lambda i: t[i] || ' ' || t[i + 1])), '|') AS terms FROM t"""
 )
 def e4_terms(spark, sf_dir):
-    terms = tfidf.with_terms(_documents(spark, sf_dir), tfidf.english_stop_words(spark))
+    terms = tfidf.with_terms(_documents(spark, sf_dir), list(ENGLISH))
     return terms.select("doc_id", F.array_join("terms", "|").alias("terms"))
 
 
@@ -85,7 +86,7 @@ def e6_idf(spark, sf_dir):
 SELECT doc_id, term, tf, round(1 + ln(tf), 6) AS sublinear FROM doc_counts JOIN vocab USING (term)"""
 )
 def e7_term_frequency(spark, sf_dir):
-    stop_words = tfidf.english_stop_words(spark)
+    stop_words = list(ENGLISH)
     rows = _documents(spark, sf_dir).withColumn("copies", F.lit(1))
     vocab = inputs.document_index(spark, sf_dir).vocab.select("term")
     counts = tfidf.term_counts(rows, "doc_id", stop_words).join(
