@@ -42,4 +42,55 @@ SELECT e.doc_id, e.size, e.source_size, e.target, CAST(coalesce(c.taken, 0) AS B
 FROM ends e LEFT JOIN chosen c ON e.o = c.o AND e.doc_id IS NOT DISTINCT FROM c.doc_id
 """
 
-SQL = {"op5_mixing": OP5_MIXING}
+OP3_LINE_QUALITY = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(t, chr(10)),
+                     lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM d),
+windows AS (
+  SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS three
+  FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+repeats AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, three) AS n FROM windows)
+  WHERE n > 1),
+repeated AS (
+  SELECT r, count(DISTINCT place) AS n
+  FROM (SELECT r, unnest([i, i + 1, i + 2]) AS place FROM repeats) GROUP BY r),
+line_rows AS (
+  SELECT source, t,
+         md5(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D0-9]+', ' ', 'g'))) AS key,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT source, t, unnest(lines) AS line FROM (SELECT DISTINCT source, t, lines FROM w))),
+sketched AS (SELECT *, min(key) OVER (PARTITION BY source, t) AS document FROM line_rows),
+hosts AS (SELECT source, count(DISTINCT document) AS documents FROM sketched GROUP BY source),
+frequent AS (
+  SELECT s.source, s.key FROM sketched s
+  JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
+  GROUP BY s.source, s.key, h.documents
+  HAVING count(DISTINCT document) > 20 AND count(DISTINCT document) > 0.1 * h.documents),
+removed AS (
+  SELECT l.source, l.t, sum(l.n) AS n
+  FROM line_rows l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key
+  GROUP BY l.source, l.t),
+measured AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(w.t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words, coalesce(m.n, 0) AS gone
+  FROM w LEFT JOIN repeated p USING (r)
+  LEFT JOIN removed m ON w.source IS NOT DISTINCT FROM m.source AND w.t = m.t),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         gone > 0 AND n_words - gone < 50 AND n_words - gone < 0.5 * n_words AS depleted
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT depleted AS kept
+FROM judged
+"""
+
+SQL = {"op3_line_quality": OP3_LINE_QUALITY, "op5_mixing": OP5_MIXING}

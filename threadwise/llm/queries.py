@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadwise.llm import mixing
+from threadwise.llm import line_quality, mixing, pii, simhash
 from threadwise.llm.common import table
 from threadwise.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures of every document and whether the line rules keep it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_quality.with_verdict(docs).select("doc_id", *line_quality.MEASURES, "kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all documents takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -20,7 +26,22 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(measured).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_pii(docs).select("doc_id", *pii.FOUND.names)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the component of near copies it belongs to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fingerprinted = cut_lineage(simhash.with_fingerprint(docs).drop("text"))
+    return simhash.near_duplicates(fingerprinted).select(
+        "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id"
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op5_mixing,)
+    for query in (op2_pii, op3_line_quality, op5_mixing, op9_simhash)
 }
