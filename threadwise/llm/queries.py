@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadwise.llm import line_quality, mixing, pii, simhash
+from threadwise.llm import line_quality, mixing, pieces, pii, simhash
 from threadwise.llm.common import table
 from threadwise.session import cut_lineage
 
@@ -19,6 +20,13 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.with_verdict(docs).select("doc_id", *line_quality.MEASURES, "kept")
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The piece ids of every document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encoded(docs, path, check=True).select("doc_id", "n_tokens", "ids", "decoded")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of all documents takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -43,5 +51,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_pii, op3_line_quality, op5_mixing, op9_simhash)
+    for query in (op2_pii, op3_line_quality, op4_pieces, op5_mixing, op9_simhash)
 }
