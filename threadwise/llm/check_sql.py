@@ -93,4 +93,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-SQL = {"op3_line_quality": OP3_LINE_QUALITY, "op5_mixing": OP5_MIXING}
+OP6_ONEBIT_SEARCH = """
+WITH usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(q.v) + 1),
+                     lambda i: q.v[i] * c.v[i])), lambda a, b: a + b) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)
+         AS INTEGER) AS rank, vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+SQL = {
+    "op3_line_quality": OP3_LINE_QUALITY,
+    "op5_mixing": OP5_MIXING,
+    "op6_onebit_search": OP6_ONEBIT_SEARCH,
+}

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadwise.llm import line_quality, mixing, pieces, pii, simhash
+from threadwise.llm import (
+    bitplanes,
+    line_quality,
+    mixing,
+    onebit_search,
+    page_text,
+    pieces,
+    pii,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from threadwise.llm.common import table
-from threadwise.session import cut_lineage
+from threadwise.session import cut_lineage, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +46,42 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(measured).select("doc_id", "size", "source_size", "target", "taken")
 
 
+END_ID = 2
+
+
+def op1_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document's ids lie in the files of planes, and their checksum, read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    bitplanes.write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return bitplanes.read_digests(spark, path)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.with_pii(docs).select("doc_id", *pii.FOUND.names)
 
 
+def op6_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    index, dimension = onebit_search.build_index(table(spark, sf_dir, "embeddings"))
+    return onebit_search.search(index, index.filter("vec_id % 20 = 0"), dimension, k=20)
+
+
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.with_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, learned from the training part of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.scored(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component of near copies it belongs to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,7 +91,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over the limit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return counted.drop("text")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
-    for query in (op2_pii, op3_line_quality, op4_pieces, op5_mixing, op9_simhash)
+    for query in (
+        op1_bitplanes,
+        op2_pii,
+        op3_line_quality,
+        op4_pieces,
+        op5_mixing,
+        op6_onebit_search,
+        op7_page_text,
+        op8_toxicity,
+        op9_simhash,
+        op10_token_counts,
+    )
 }
