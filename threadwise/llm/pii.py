@@ -168,6 +168,21 @@ _ACCOUNTS = _words("iban", "account", "bank", "konto", "compte", "cuenta", "tran
 _SECURITY = _words("ssn", "social", "security", "taxpayer")
 
 EXTRA_KINDS = (
+    # Four groups of four, and an international number in its usual form: the base patterns take a
+    # longer run of digits whole, and drop it.
+    Kind(
+        "card",
+        re.compile(r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
+        _is_card, 0.7, _CARDS, _NUMBERING,
+    ),
+    Kind(
+        "phone",
+        re.compile(
+            r"(?<![0-9+])\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?"
+            r"(?:[0-9](?:[\x20.-][0-9]{2}){4}|[0-9]{2,4}(?:[\x20.-][0-9]{3,4}){1,2})(?![0-9])"
+        ),
+        _is_phone, 0.7, _TELEPHONE, _NUMBERING,
+    ),
     Kind(
         "card",
         re.compile(r"(?<![0-9])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![0-9])"),
