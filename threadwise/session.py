@@ -16,6 +16,8 @@ SETTINGS = {
     # Split a hot key even where that costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Texts travel to Python in small batches, so that long ones do not fill a worker's memory.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
