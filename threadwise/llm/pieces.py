@@ -45,7 +45,7 @@ UNIT = rf"{MARK}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+)|{MARK}+"
 FREQUENT_UNITS = 1 << 18
 LONGEST_UNIT = 62
 # Chunks of text that one task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 ADDED = ("ids", "n_tokens", "decoded")
 
