@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from threadwise.llm import line_quality, mixing, pieces, pii, simhash
-from threadwise.session import cut_lineage
+from threadwise.session import configure, cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,12 +43,16 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids")
 
 
+def _configured(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(configure(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality_rules),
-    ("simhash_near_dedup", near_duplicates),
-    ("pii", personal_data),
-    ("mixing", source_mix),
-    ("sentencepiece", piece_ids),
+    ("quality_rules", _configured(quality_rules)),
+    ("simhash_near_dedup", _configured(near_duplicates)),
+    ("pii", _configured(personal_data)),
+    ("mixing", _configured(source_mix)),
+    ("sentencepiece", _configured(piece_ids)),
 ]
 
 # Fingerprints and piece ids have no SQL form; the tests compare the rows with a brute-force run.

@@ -13,11 +13,18 @@ def neighbours(df, k):
     return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found)
 
 
+def inner(a, b):
+    total = 0.0
+    for x, y in zip(a, b):
+        total += float(x) * float(y)
+    return total
+
+
 def brute_force(vectors, ids, k):
     rows = []
     for q in np.flatnonzero(ids % 20 == 0):
         scores = [
-            (-sum(float(a) * float(b) for a, b in zip(vectors[q], vectors[i])), int(ids[i]))
+            (-inner(vectors[q], vectors[i]), int(ids[i]))
             for i in range(len(ids))
             if i != q
         ]

@@ -107,7 +107,9 @@ def search_block(vectors: dict, queries: dict, turn: np.ndarray, k: int) -> tupl
     to_beat = (to_beat / queries["norm"]).astype(np.float32)
     found += (error * lengths)[:, None]
     # A margin for the single precision of estimates and bounds.
-    rows, columns = np.nonzero(found >= (to_beat - 1e-5 * lengths.max())[None, :])
+    reached = found >= (to_beat - 1e-5 * lengths.max())[None, :]
+    reached[own] = False
+    rows, columns = np.nonzero(reached)
     scores = exact(vectors["vector"], queries["vector"], rows, columns)
     chosen = best(rows, columns, scores, vectors["vec_id"], k)
     return columns[chosen], rows[chosen], scores[chosen]
