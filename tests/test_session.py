@@ -30,8 +30,9 @@ def test_cut_lineage_keeps_rows_and_schema(spark):
     assert len(cut.inputFiles()) >= 1
 
 
-def test_spread_only_small_inputs(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores + 3)
-    assert spread(many).rdd.getNumPartitions() >= cores
+def test_spread_only_small_inputs(spark, tmp_path):
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == partitions
+    spark.range(100).repartition(partitions + 3).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread(many) is many

@@ -85,20 +85,19 @@ def test_long_paths_and_loops(spark):
     assert {r.head_id for r in found} == {"0"}
 
 
-def test_long_dialogues_continue_in_parts(spark):
+def test_long_dialogues_lose_no_turn(spark):
     rows = [("r", i, str(i), "a", True, f"t{i}", "") for i in range(10)]
     turns = spark.createDataFrame(
         rows,
         "root_tweet_id string, turn_index int, tweet_id string, author_id string, "
         "inbound boolean, text string, created_at string",
     )
-    parts = threads.dialogues(turns, BRAND, turns_per_row=4).orderBy("dialogue_part").collect()
-    assert [p.dialogue_part for p in parts] == [0, 1, 2]
-    assert " | ".join(p.full_dialogue for p in parts) == " | ".join(
-        f"Customer: t{i}" for i in range(10)
-    )
-    nested = threads.nested_conversations(turns, BRAND, turns_per_row=4)
-    assert sum(len(r.turns) for r in nested.collect()) == 10
+    (whole,) = threads.dialogues(turns, BRAND, turns_per_part=4).collect()
+    assert whole.full_dialogue == " | ".join(f"Customer: t{i}" for i in range(10))
+    parts = threads.dialogue_parts(turns, BRAND, turns_per_part=4)
+    assert sorted(p.dialogue_part for p in parts.collect()) == [0, 1, 2]
+    (nested,) = threads.nested_conversations(turns, BRAND, turns_per_part=4).collect()
+    assert [turn.turn_index for turn in nested.turns] == list(range(10))
 
 
 def test_selection_is_one_hop(spark):

@@ -15,7 +15,6 @@ REQUIRED = (
     "conversation_id", "message", "intent", "expected_action", "label_source", "review_status",
 )
 # A random order keyed by the id: the same rows are drawn in every run and on every engine.
-HASH_SPACE = 16**8
 
 
 def draw_order(key: str, seed: int = fixed.SEED) -> Column:
@@ -186,17 +185,18 @@ def bounded_sample(
 ) -> DataFrame:
     """``n`` rows (all, if fewer) in hash order; ``exclude_ids`` are never drawn.
 
-    On a large table a hash floor first keeps about four times ``n`` rows, so the final sort is
-    small; the floor is lifted if it would keep fewer than ``n``.
+    Rows are counted by the head of their hash, and only those up to the head that completes ``n``
+    are sorted.
     """
     if exclude_ids is not None:
         rows = rows.join(exclude_ids.select(key), key, "left_anti")
     keyed = rows.withColumn("_draw", draw_order(key, seed))
-    total = rows.count()
-    share = 4 * n / total if total else 1.0
-    if share < 0.5:
-        limit = f"{int(share * HASH_SPACE):08x}"
-        likely = keyed.where(F.col("_draw") < limit)
-        if likely.limit(n).count() == n:
-            keyed = likely
-    return keyed.orderBy("_draw", key).limit(n).drop("_draw")
+    head = F.substring("_draw", 1, 4)
+    # At most 65,536 heads, so this window is small by construction.
+    reached = keyed.groupBy(head.alias("head")).agg(F.count("*").alias("rows")).withColumn(
+        "so_far", F.sum("rows").over(Window.orderBy("head"))
+    )
+    last = reached.agg(
+        F.coalesce(F.min(F.when(F.col("so_far") >= n, F.col("head"))), F.lit("ffff")).alias("last")
+    )
+    return keyed.where(head <= last.scalar()).orderBy("_draw", key).limit(n).drop("_draw")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,32 +17,41 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_index(spark: SparkSession, folder: str) -> TfidfIndex:
-    settings = _read(spark, folder, "settings").first()
-    tables = {name: _read(spark, folder, name) for name in TfidfIndex.TABLES}
+    """The version that was completed last."""
+    settings = _read(spark, folder, "settings").orderBy(F.desc("written_at"), "version").first()
+    version = f"{folder}/{settings.version}"
+    tables = {name: _read(spark, version, name) for name in TfidfIndex.TABLES}
     return TfidfIndex(
         **tables, max_features=settings.max_features, stop_words=list(settings.stop_words)
     )
 
 
 def save_index(index: TfidfIndex, folder: str) -> TfidfIndex:
-    """Write every table once, each derived from the ones already written.
+    """Write a new version, then the row of ``settings`` that makes it the current one.
 
-    ``settings`` goes last and marks the folder as complete.
+    Every table is written once, each derived from the ones already written. A job that fails on
+    the way leaves the earlier version in use. Postings lie in the order of their terms, so a few
+    queries read few row groups. Old versions stay until the folder is cleaned.
     """
     spark = index.postings.sparkSession
-    index.vocab.write.mode("overwrite").parquet(f"{folder}/vocab")
-    index.postings.repartition("doc").write.mode("overwrite").parquet(f"{folder}/postings")
-    index.records.write.mode("overwrite").parquet(f"{folder}/records")
-    postings = _read(spark, folder, "postings")
-    term_impacts(postings).write.mode("overwrite").parquet(f"{folder}/impacts")
-    champions(postings).write.mode("overwrite").parquet(f"{folder}/champions")
+    name = f"version-{uuid.uuid4().hex}"
+    version = f"{folder}/{name}"
+    index.vocab.write.parquet(f"{version}/vocab")
+    by_term = index.postings.repartitionByRange("term_id", "doc")
+    by_term.sortWithinPartitions("term_id", "doc").write.parquet(f"{version}/postings")
+    index.records.write.parquet(f"{version}/records")
+    postings = _read(spark, version, "postings")
+    term_impacts(postings).write.parquet(f"{version}/impacts")
+    champions(postings).write.parquet(f"{version}/champions")
     settings = spark.range(1).select(
+        F.lit(name).alias("version"),
+        F.current_timestamp().alias("written_at"),
         F.lit(index.max_features).alias("max_features"),
         F.array(*[F.lit(word) for word in index.stop_words])
         .cast("array<string>")
         .alias("stop_words"),
     )
-    settings.write.mode("overwrite").parquet(f"{folder}/settings")
+    settings.write.mode("append").parquet(f"{folder}/settings")
     return load_index(spark, folder)
 
 

@@ -118,9 +118,9 @@ def escalation_failures(judged: DataFrame) -> DataFrame:
     return judged.where(WRONG_ACTION)
 
 
-def low_quality(judged: DataFrame) -> DataFrame:
-    """Rows with a mean score below the limit, worst first."""
-    return with_mean_score(judged).where(LOW_SCORE).orderBy("avg_judge_score")
+def low_quality(judged: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """Rows with a mean score below the limit, worst first, equal scores by key."""
+    return with_mean_score(judged).where(LOW_SCORE).orderBy("avg_judge_score", key)
 
 
 def any_failure(judged: DataFrame) -> DataFrame:

@@ -266,8 +266,10 @@ def attach_evidence(
     nested = nest_evidence(retrieve_texts(texts, index, k, min_score, columns), "q", columns)
     kind = nested.schema["evidence"].dataType.simpleString()
     answers = texts.join(nested, "q").drop("q").withColumnRenamed("text", text)
+    # Messages without a text share no key that could gather them in one task.
+    found = messages.where(F.col(text).isNotNull()).join(answers, text, "left")
     return (
-        messages.join(answers, text, "left")
+        found.unionByName(messages.where(F.col(text).isNull()), allowMissingColumns=True)
         .withColumn("evidence", F.coalesce("evidence", F.expr(f"cast(array() as {kind})")))
         .withColumn("best_similarity", F.coalesce("best_similarity", F.lit(0.0)))
     )

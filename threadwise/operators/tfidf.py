@@ -45,8 +45,6 @@ def with_terms(texts: DataFrame, stop_words: list[str], text: str = "text") -> D
 
 def evidence_corpus(conversations: DataFrame) -> DataFrame:
     """Conversations usable as evidence: replied to, with both texts present."""
-    if "dialogue_part" in conversations.columns:  # a long thread counts once
-        conversations = conversations.where("dialogue_part = 0")
     return conversations.where(
         F.col("has_support_reply")
         & (F.coalesce("initial_query", F.lit("")) != "")

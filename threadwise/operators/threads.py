@@ -15,8 +15,8 @@ from threadwise.functions.text import clean_key, clean_text, strip_handles
 from threadwise.operators.selection import is_brand_author
 from threadwise.session import cut_lineage
 
-# A longer dialogue continues in further rows, so that no single row grows without bound.
-TURNS_PER_ROW = 4096
+# Turns that are put together at once; a longer thread is put together from such parts.
+TURNS_PER_PART = 4096
 
 
 def unique_tweets(tweets: DataFrame, entities: str = "common") -> DataFrame:
@@ -95,31 +95,38 @@ def path_positions(nodes: DataFrame, hops: DataFrame) -> DataFrame:
         F.col("jump_id").isNull().alias("done"),
     )
     state = cut_lineage(state)
-    open_nodes = state.where("NOT done").count()
-    while open_nodes:
-        ahead = state.select(
+    finished = [state.where("done")]
+    open_nodes = cut_lineage(state.where("NOT done"))
+    left = open_nodes.count()
+    while left:
+        ahead = open_nodes
+        for part in finished:
+            ahead = ahead.unionByName(part)
+        ahead = ahead.select(
             F.col("tweet_id").alias("head_id"),
             F.col("head_id").alias("next_head"),
             F.col("steps").alias("more"),
             F.col("done").alias("next_done"),
         )
         # Open nodes are all the same distance from their target, so targets never repeat.
-        moved = (
-            state.where("NOT done")
-            .join(ahead, "head_id")
-            .select(
+        moved = cut_lineage(
+            open_nodes.join(ahead, "head_id").select(
                 "tweet_id",
                 F.col("next_head").alias("head_id"),
                 (F.col("steps") + F.col("more")).alias("steps"),
                 F.col("next_done").alias("done"),
             )
         )
-        state = cut_lineage(state.where("done").union(moved))
-        left = state.where("NOT done").count()
-        if left == open_nodes:  # only closed loops remain
+        # A round writes only the nodes that moved; finished ones are kept where they are.
+        finished.append(moved.where("done"))
+        open_nodes = moved.where("NOT done")
+        before_round, left = left, open_nodes.count()
+        if left == before_round:  # only closed loops remain
             break
-        open_nodes = left
-    return state.where("done").select("head_id", "tweet_id", F.col("steps").alias("turn_index"))
+    result = finished[0]
+    for part in finished[1:]:
+        result = result.unionByName(part)
+    return result.select("head_id", "tweet_id", F.col("steps").alias("turn_index"))
 
 
 def walk_threads(unique: DataFrame, brand: str) -> DataFrame:
@@ -170,32 +177,45 @@ def conversation_records(turns: DataFrame, brand: str, entities: str = "common")
     )
 
 
-def dialogues(
-    turns: DataFrame, brand_label: str, turns_per_row: int = TURNS_PER_ROW
+def dialogue_parts(
+    turns: DataFrame, brand_label: str, turns_per_part: int = TURNS_PER_PART
 ) -> DataFrame:
-    """``"Role: text"`` of all turns joined by `` | ``.
-
-    A thread of at most ``turns_per_row`` turns is one row with ``dialogue_part`` 0. Longer
-    threads go on in parts 1, 2, ..., each of them a bounded group.
-    """
+    """(root_tweet_id, dialogue_part, text): ``"Role: text"`` of a part's turns, in order."""
     role = F.when(F.col("inbound"), F.lit("Customer")).otherwise(F.lit(brand_label))
     line = F.struct("turn_index", F.concat(role, F.lit(": "), "text").alias("line"))
-    part = F.floor(F.col("turn_index") / turns_per_row).cast("int")
+    part = F.floor(F.col("turn_index") / turns_per_part).cast("int")
     return (
         turns.groupBy("root_tweet_id", part.alias("dialogue_part"))
         .agg(F.sort_array(F.collect_list(line)).alias("lines"))
         .select(
             "root_tweet_id",
             "dialogue_part",
-            F.array_join(F.col("lines.line"), " | ").alias("full_dialogue"),
+            F.array_join(F.col("lines.line"), " | ").alias("text"),
         )
     )
 
 
+def dialogues(
+    turns: DataFrame, brand_label: str, turns_per_part: int = TURNS_PER_PART
+) -> DataFrame:
+    """``"Role: text"`` of all turns joined by `` | ``, one row per thread.
+
+    Turns are sorted in parts first, so only finished parts of a long thread meet.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("dialogue_part", "text")))
+    return (
+        dialogue_parts(turns, brand_label, turns_per_part)
+        .groupBy("root_tweet_id")
+        .agg(parts.alias("parts"))
+        .select("root_tweet_id", F.array_join(F.col("parts.text"), " | ").alias("full_dialogue"))
+    )
+
+
 def flat_conversations(turns: DataFrame, brand: str, entities: str = "common") -> DataFrame:
-    """Conversation records with their dialogue."""
-    return conversation_records(turns, brand, entities).join(
-        dialogues(turns, brand), "root_tweet_id"
+    """Conversation records with their whole dialogue, one row per conversation."""
+    records = conversation_records(turns, brand, entities)
+    return records.join(dialogues(turns, brand), "root_tweet_id").select(
+        *records.columns, "full_dialogue"
     )
 
 
@@ -203,15 +223,21 @@ def nested_conversations(
     turns: DataFrame,
     brand: str,
     entities: str = "common",
-    turns_per_row: int = TURNS_PER_ROW,
+    turns_per_part: int = TURNS_PER_PART,
 ) -> DataFrame:
-    """Conversation records with a ``turns`` array, split into parts like the dialogue."""
+    """Conversation records with an array of all their turns, one row per conversation."""
     turn = F.struct("turn_index", "tweet_id", "author_id", "inbound", "text", "created_at")
-    part = F.floor(F.col("turn_index") / turns_per_row).cast("int")
-    arrays = turns.groupBy("root_tweet_id", part.alias("dialogue_part")).agg(
+    part = F.floor(F.col("turn_index") / turns_per_part).cast("int")
+    parts = turns.groupBy("root_tweet_id", part.alias("part")).agg(
         F.sort_array(F.collect_list(turn)).alias("turns")
     )
-    return conversation_records(turns, brand, entities).join(arrays, "root_tweet_id")
+    arrays = parts.groupBy("root_tweet_id").agg(
+        F.sort_array(F.collect_list(F.struct("part", "turns"))).alias("parts")
+    )
+    records = conversation_records(turns, brand, entities)
+    return records.join(arrays, "root_tweet_id").select(
+        *records.columns, F.flatten("parts.turns").alias("turns")
+    )
 
 
 def prep_summary(conversations: DataFrame) -> DataFrame:

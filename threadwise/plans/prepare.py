@@ -27,7 +27,9 @@ def prepare(
     fmt: str = "parquet",
 ) -> DataFrame:
     """Read the export at ``source``, write conversations below ``output``, return the summary."""
-    turns = cut_lineage(brand_turns(read_tweets(spark, source), brand, entities))
+    # Selection reads the export several times; its files are parsed once.
+    tweets = cut_lineage(read_tweets(spark, source))
+    turns = cut_lineage(brand_turns(tweets, brand, entities))
     write_flat(flat_conversations(turns, brand, entities), f"{output}/conversations", fmt)
     write_nested(nested_conversations(turns, brand, entities), f"{output}/conversations_nested")
     return prep_summary(conversation_records(turns, brand, entities))

@@ -524,40 +524,47 @@ def k16_model_comparison(spark, sf_dir):
 
 # --- L: agreement ------------------------------------------------------------------------------------------
 
-# Ratings with scores from 1 to 5 where the toxicity label allows; "tone" never varies.
-_RATED = """rated AS (
-  SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS conversation_id,
-         1 + 4 * l.quality - l.toxic AS helpfulness, 1 + l.quality * 2 AS correctness, 4 AS tone,
-         1 + CAST((d.n_chars + d.doc_id) % 5 AS INTEGER) AS judge_helpfulness,
-         1 + CAST(d.n_chars % 5 AS INTEGER) AS judge_correctness,
-         3 + CAST(d.doc_id % 3 AS INTEGER) AS judge_tone
-  FROM documents d JOIN labels l USING (doc_id))"""
+# Human and judge scores for all five dimensions, derived from every labelled document; "tone"
+# never varies. "unchecked" is a rating that is out of range for some documents.
+_HUMAN = {
+    "correctness": "1 + 2 * quality",
+    "groundedness": "1 + (n_chars + quality) % 5",
+    "helpfulness": "2 + 3 * quality - toxic",
+    "tone": "4",
+    "hallucination": "5 - 3 * toxic",
+}
+_JUDGE = {
+    "correctness": "1 + n_chars % 5",
+    "groundedness": "1 + (n_chars + 2 * quality) % 5",
+    "helpfulness": "1 + (n_chars + doc_id) % 5",
+    "tone": "3 + doc_id % 3",
+    "hallucination": "5 - doc_id % 5",
+}
+_RATED_DIMENSIONS = tuple(_HUMAN)
+_RATINGS = [
+    *[f"cast({value} AS int) AS {name}" for name, value in _HUMAN.items()],
+    *[f"cast({value} AS int) AS judge_{name}" for name, value in _JUDGE.items()],
+    "cast(1 + 4 * quality - toxic AS int) AS unchecked",
+]
+_RATED = f"""rated AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS conversation_id, {", ".join(_RATINGS)}
+  FROM documents JOIN labels USING (doc_id))"""
 _SCORES = _RATED + """,
-scores AS (
-  SELECT 'helpfulness' AS dimension, helpfulness AS human, judge_helpfulness AS judge FROM rated
-  WHERE helpfulness >= 1
-  UNION ALL SELECT 'correctness', correctness, judge_correctness FROM rated WHERE helpfulness >= 1
-  UNION ALL SELECT 'tone', tone, judge_tone FROM rated WHERE helpfulness >= 1)"""
-_RATED_DIMENSIONS = ("correctness", "helpfulness", "tone")
+scores AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS dimension, {name} AS human, judge_{name} AS judge FROM rated"
+    for name in _RATED_DIMENSIONS
+) + ")"
 
 
 def _rated(spark, sf_dir):
     documents = inputs.read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return documents.join(inputs.read(spark, sf_dir, "labels"), "doc_id").selectExpr(
-        "doc_id",
-        "cast(doc_id AS string) AS conversation_id",
-        "1 + 4 * quality - toxic AS helpfulness",
-        "1 + quality * 2 AS correctness",
-        "4 AS tone",
-        "1 + cast((n_chars + doc_id) % 5 AS int) AS judge_helpfulness",
-        "1 + cast(n_chars % 5 AS int) AS judge_correctness",
-        "3 + cast(doc_id % 3 AS int) AS judge_tone",
+        "doc_id", "cast(doc_id AS string) AS conversation_id", *_RATINGS
     )
 
 
 def _scores(spark, sf_dir):
-    valid = _rated(spark, sf_dir).where("helpfulness >= 1")
-    return agreement.long_scores(valid, _RATED_DIMENSIONS)
+    return agreement.long_scores(_rated(spark, sf_dir), _RATED_DIMENSIONS)
 
 
 @query(
@@ -572,11 +579,11 @@ def l3_repeated_ids(spark, sf_dir):
 @query(
     sql.with_(_RATED)
     + """
-SELECT 'helpfulness' AS dimension, count(*) AS invalid FROM rated
-WHERE helpfulness NOT BETWEEN 1 AND 5 HAVING count(*) > 0"""
+SELECT 'unchecked' AS dimension, count(*) AS invalid FROM rated
+WHERE unchecked NOT BETWEEN 1 AND 5 HAVING count(*) > 0"""
 )
 def l4_invalid_dimensions(spark, sf_dir):
-    return agreement.invalid_dimensions(_rated(spark, sf_dir), _RATED_DIMENSIONS)
+    return agreement.invalid_dimensions(_rated(spark, sf_dir), (*_RATED_DIMENSIONS, "unchecked"))
 
 
 @query(
@@ -663,8 +670,8 @@ def s1_stream_triage(spark, sf_dir):
     """Messages arrive as files, one batch each; the result must equal batch triage."""
     folder = f"{shared_folder(spark)}/threadwise-stream-{uuid.uuid4().hex}"
     messages = inputs.messages(spark, sf_dir).select("msg_id", "message")
-    messages.repartition(2, "msg_id").write.parquet(f"{folder}/arriving")
-    stream = read_messages(spark, f"{folder}/arriving", files_per_batch=1)
+    messages.write.parquet(f"{folder}/arriving")
+    stream = read_messages(spark, f"{folder}/arriving")
     start_triage(
         stream, inputs.support_index(spark, sf_dir), f"{folder}/triaged", f"{folder}/progress",
         available_now=True,

@@ -77,6 +77,11 @@ REPLIES = (
 )
 
 
+# Later questions in words that no first message of a conversation has: nothing is retrieved.
+LATE_HOW_TO = "how do i enable wifi"
+LATE_PLAN = "arcade membership"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -159,10 +164,12 @@ def support_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id * 100 + turn AS tweet_id",
         f"CASE WHEN role = 'assistant' THEN '{BRAND}' ELSE concat('u', conv_id) END AS author_id",
         "role = 'user' AS inbound",
+        f"CASE WHEN role = 'user' AND turn > first_turn AND conv_id % 9 = 0 THEN '{LATE_HOW_TO}' "
+        f"WHEN role = 'user' AND turn > first_turn AND conv_id % 9 = 1 THEN '{LATE_PLAN}' ELSE "
         "trim(concat(CASE WHEN role = 'user' "
         f"THEN {_phrase_array(PROBLEMS)}[cast((conv_id * 31 + turn) % {len(PROBLEMS)} AS int)] "
         f"ELSE {_phrase_array(REPLIES)}[cast((conv_id * 31 + turn) % {len(REPLIES)} AS int)] END, "
-        "' ', text)) AS text",
+        "' ', text)) END AS text",
         "concat('t', turn) AS created_at",
     )
 
@@ -183,7 +190,11 @@ support_turns AS (
          CASE WHEN c.role = 'assistant' THEN '{BRAND}'
               ELSE concat('u', CAST(c.conv_id AS VARCHAR)) END AS author_id,
          c.role = 'user' AS inbound,
-         trim(concat(CASE WHEN c.role = 'user' THEN p.phrase ELSE r.phrase END, ' ', c.text)) AS text,
+         CASE WHEN c.role = 'user' AND c.conv_id % 9 < 2
+                   AND c.turn > min(c.turn) OVER (PARTITION BY c.conv_id)
+              THEN CASE c.conv_id % 9 WHEN 0 THEN '{LATE_HOW_TO}' ELSE '{LATE_PLAN}' END
+              ELSE trim(concat(CASE WHEN c.role = 'user' THEN p.phrase ELSE r.phrase END,
+                               ' ', c.text)) END AS text,
          concat('t', CAST(c.turn AS VARCHAR)) AS created_at
   FROM conversations c
   JOIN problems p ON p.pid = (c.conv_id * 31 + c.turn) % {len(PROBLEMS)}

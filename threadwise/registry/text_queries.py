@@ -315,9 +315,9 @@ def d8_conversation_records(spark, sf_dir):
 @query(
     _THREADS + ",\n" + _RECORDS
     + f"""
-SELECT r.*, r.first_support_reply IS NOT NULL AS has_support_reply, d.dialogue_part, d.full_dialogue
+SELECT r.*, r.first_support_reply IS NOT NULL AS has_support_reply, d.full_dialogue
 FROM records r JOIN (
-  SELECT root_tweet_id, CAST(turn_index // {threads.TURNS_PER_ROW} AS INTEGER) AS dialogue_part,
+  SELECT root_tweet_id,
          string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE '{BRAND}' END, ': ', text), ' | '
                     ORDER BY turn_index) AS full_dialogue
   FROM turns GROUP BY ALL) d USING (root_tweet_id)"""

@@ -59,10 +59,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a table that arrives in fewer splits than there are cores.
+    """Give every shuffle partition a share of a table that arrives in fewer files than those.
 
     Text work is bound by the processor, so a small table in one file is worth a shuffle. Tables
-    with enough splits are left alone.
+    with enough files are left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if len(df.inputFiles()) >= partitions else df.repartition(partitions)

@@ -14,16 +14,27 @@ def read_csv(
 ) -> DataFrame:
     """Read RFC-4180 CSV: header line, doubled quotes, line breaks inside quoted fields.
 
-    A file with quoted line breaks cannot be split, so each file is one task: deliver a large
-    export as many files and convert it to Parquet once.
+    Columns are taken by the names in the header, in the schema's order; a column that the file
+    lacks is null, and a value that is not of its column's type is null. Files of one export must
+    share a header, which is checked. A file with quoted line breaks cannot be split, so each file
+    is one task: deliver a large export as many files and convert it to Parquet once.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+    found = (
+        spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
+        .option("enforceSchema", False)
         .csv(path)
     )
+    names = {name.strip().lower(): name for name in found.columns}
+    return found.select(
+        *[
+            (F.col(f"`{names[f.name.lower()]}`") if f.name.lower() in names else F.lit(None))
+            .try_cast(f.dataType)
+            .alias(f.name)
+            for f in schema
+        ]
+    )
 
 
 def read_tweets(spark: SparkSession, path: str | list[str]) -> DataFrame:
