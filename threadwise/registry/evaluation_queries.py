@@ -426,7 +426,7 @@ SELECT * FROM (SELECT tweet_id, round((judge_correctness + judge_groundedness +
 WHERE avg_judge_score < 3.0"""
 )
 def k13_low_quality(spark, sf_dir):
-    return quality.low_quality(_past_scores(spark, sf_dir)).select(
+    return quality.low_quality(_past_scores(spark, sf_dir), "tweet_id").select(
         "tweet_id", F.round("avg_judge_score", 4).alias("avg_judge_score")
     )
 
