@@ -48,7 +48,8 @@ def test_unusable_answers_fall_back_to_the_rules(spark):
     rows = ingest(spark, "not json", "[1, 2]", '{"confidence": "high"}', None)
     assert {r.intent for r in rows} == {"device_hardware_issue"}
     assert {r.intent_source for r in rows} == {"fallback"}
-    assert rows[0].reasoning.startswith("Model fallback (invalid JSON): Keyword match")
+    prefix = wording.MODEL_FALLBACK_PREFIX % "invalid JSON"
+    assert rows[0].reasoning == prefix + wording.HIT_REASONING % 1
 
 
 def test_settled_messages_keep_the_rules(spark):
@@ -69,11 +70,12 @@ def test_evidence_blocks(spark):
              (4, 0.1, "q4", "r4", "d")]
     df = spark.createDataFrame([(cases,), ([],)], f"evidence {CASE}")
     blocks = [r[0] for r in df.select(model_tables.evidence_block(F.col("evidence"))).collect()]
-    assert blocks[0].startswith("[Case 1] (similarity: 0.500)\n  Customer: q1\n  Support replied: r1")
-    assert "d" * 300 + "...\n\n[Case 2]" in blocks[0] and blocks[0].count("...") == 1
+    assert blocks[0].startswith('<case rank="1" score="0.500">\n<answer>r1</answer>\n<question>q1</')
+    assert "d" * 300 + "</thread>" in blocks[0] and blocks[0].count("<thread shortened>") == 1
+    assert blocks[0].count("</case>") == 4
     assert blocks[1] == wording.NO_EVIDENCE_BLOCK
     judge = [r[0] for r in df.select(model_tables.judge_block(F.col("evidence"))).collect()]
-    assert "Case 3" in judge[0] and "Case 4" not in judge[0] and "q" * 201 not in judge[0]
+    assert 'rank="3"' in judge[0] and 'rank="4"' not in judge[0] and "q" * 201 not in judge[0]
 
 
 def drafts(spark, rows):
@@ -129,5 +131,5 @@ def test_judge_answers(spark):
     ]
     assert got == [(5, 1, 4, 2, 3)] + [(3, 3, 4, 4, 5)] * 3
     assert rows[0].judge_reasoning == "ok"
-    assert rows[1].judge_reasoning.startswith("Judge response error")
+    assert rows[1].judge_reasoning.startswith(wording.JUDGE_FALLBACK_PREFIX.split("(")[0])
     assert rows[3].judge_reasoning == wording.JUDGE_REASONING

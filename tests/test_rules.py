@@ -11,6 +11,7 @@ from threadwise.operators.intent import LOWERED, with_lowered
 from threadwise.operators.tfidf import build_index
 from threadwise.plans.triage import triage, triage_message
 from threadwise.rules import fixed_values as fixed
+from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK, Intent
 
 
@@ -62,7 +63,7 @@ def test_confidence_by_hits(spark):
              "battery screen heat hot mic", "battery screen heat hot mic camera", "", None]
     rows = classified(spark, *texts)
     assert [r.confidence for r in rows] == [0.63, 0.71, 0.79, 0.87, 0.88, 0.88, 0.3, 0.3]
-    assert rows[2].reasoning == "Keyword match (3 hits)"
+    assert rows[2].reasoning == wording.HIT_REASONING % 3
 
 
 def test_repeats_count_once_and_overlaps_all_count(spark):
@@ -304,7 +305,7 @@ def test_routing(spark, text, name, options, rule):
 
 def test_routing_reasons_and_thresholds(spark):
     assert routed(spark, "hm", HW, grounded=False, reason="why").reason == "why"
-    assert routed(spark, "hm", ORDER).reason.startswith("Intent 'order_shipping_issue'")
+    assert routed(spark, "hm", ORDER).reason == wording.ROUTING_REASONS["other"] % ORDER
     loose = routing.RoutingPolicy(0.2, 0.05, require_grounding=False)
     assert routed(spark, "hm", HW, 0.3, (0.1,), grounded=False, policy=loose).rule == "standard"
 
@@ -318,46 +319,45 @@ def test_first_risk_pattern_and_gap(spark):
 
 # --- the whole chain ------------------------------------------------------------------------------------
 
-SMOKE = (
-    "After the update my phone won't turn on and stays black.",
-    "You charged me twice for one game!",
-    "I do not recognize a charge on my bill.",
-    "I want to cancel the music subscription.",
-    "My Apple ID got hacked and the password is different now.",
-    "Who changed my password?",
-    "Every download from the app store ends in an error.",
-    "The phone won't charge at all.",
-    "How do I take a screen shot here?",
-    "How to delete app icons?",
-    "There is some trouble with this phone.",
-    "My account acts strangely.",
-    "It just stopped.",
-    "It has been stuck on the apple logo since noon.",
-)
+# Rule that decides -> a message it decides, when the corpus holds the message itself.
+BY_RULE = {
+    "risk_generic": "my lawyer is preparing a lawsuit over this tablet",
+    "risk_compromised": "i think my login was hacked over night",
+    "risk_unrecognised": "there is an unauthorized entry from a shop abroad",
+    "dead_device": "black screen ever since the ios release came in",
+    "sensitive_account": "the verification code never arrives, so i cannot sign in",
+    "sensitive_duplicate": "my bank shows the same invoice twice",
+    "sensitive_billing": "which bank handles the refund of my receipt",
+    "low_confidence": "good morning to everybody over there",
+    "unsupported_answer": "my game has been so slow and it does freeze a lot",
+    "standard": "how do i take a screenshot on this thing",
+}
 
 
-def test_smoke_set(spark):
+def test_one_message_for_each_rule(spark):
+    texts = list(BY_RULE.values())
     corpus = spark.createDataFrame(
-        [
-            (f"c{i}", text, "please restart, check settings and contact support")
-            for i, text in enumerate(SMOKE)
-        ],
+        [(f"c{i}", t, "please restart, check settings and contact support") for i, t in enumerate(texts)],
         "conversation_id string, initial_query string, first_support_reply string",
     )
     index = build_index(corpus)
-    rows = triage(messages(spark, *SMOKE), index, k=3).orderBy("msg_id").collect()
-    assert len(rows) == 14
+    rows = triage(messages(spark, *texts), index, k=3).orderBy("msg_id").collect()
+    assert {r.message: r.escalation.rule for r in rows} == {t: rule for rule, t in BY_RULE.items()}
     assert all(1 <= len(r.evidence) <= 3 and r.best_similarity == 1.0 for r in rows)
-    decisions = {r.message: r.escalation.rule for r in rows}
-    assert decisions[SMOKE[0]] == "dead_device"
-    assert decisions[SMOKE[1]] == "risk_duplicate" or decisions[SMOKE[1]] == "sensitive_duplicate"
-    assert decisions[SMOKE[4]] == "risk_compromised"
-    assert decisions[SMOKE[8]] == "standard"
-    assert decisions[SMOKE[12]] == "low_confidence"
     with pytest.raises(ValueError):
         triage(messages(spark, "x"), index, k=0)
-    alone = triage_message(SMOKE[8], index, k=3).first()
-    assert alone.escalation == rows[8].escalation and alone.reply == rows[8].reply
+    alone = triage_message(texts[-1], index, k=3).first()
+    assert alone.escalation == rows[-1].escalation and alone.reply == rows[-1].reply
+
+
+def test_message_without_a_known_term(spark):
+    corpus = spark.createDataFrame(
+        [("c0", "the speaker crackles", "restart it")],
+        "conversation_id string, initial_query string, first_support_reply string",
+    )
+    row = triage(messages(spark, "arcade membership"), build_index(corpus)).first()
+    assert (row.evidence, row.best_similarity, row.escalation.rule) == ([], 0.0, "no_evidence")
+    assert row.grounding_reason == wording.GROUNDING_REASONS["no_evidence"]
 
 
 def test_own_pack(spark):

@@ -62,9 +62,9 @@ def f4_multi_intent(spark, sf_dir):
 
 @query(
     _SCORED
-    + """
+    + f"""
 SELECT msg_id, CASE best WHEN 1 THEN 0.63 WHEN 2 THEN 0.71 WHEN 3 THEN 0.79 WHEN 4 THEN 0.87
-       ELSE 0.88 END::DOUBLE AS confidence, format('Keyword match ({} hits)', best) AS reasoning
+       ELSE 0.88 END::DOUBLE AS confidence, {sql.hit_reasoning("best")} AS reasoning
 FROM best"""
 )
 def f5_confidence(spark, sf_dir):
@@ -432,16 +432,36 @@ def _filled(template: str, **values: str) -> str:
     return text
 
 
-_CASES = """coalesce((SELECT string_agg(concat('[Case ', e.rank, '] (similarity: ',
-    printf('%.3f', round(e.similarity_score, 3)), ')', chr(10), '  Customer: ', e.initial_query, chr(10),
-    '  Support replied: ', e.first_support_reply, chr(10), '  Full thread: ',
-    left(e.full_dialogue, 300), CASE WHEN length(e.full_dialogue) > 300 THEN '...' ELSE '' END),
-    chr(10) || chr(10) ORDER BY e.rank) FROM evidence e WHERE e.msg_id = c.msg_id),
-    '""" + wording.NO_EVIDENCE_BLOCK + "')"
-_JUDGE_CASES = """coalesce((SELECT string_agg(concat('Case ', e.rank, ': Customer: ',
-    left(e.initial_query, 200), chr(10), '  Support: ', left(e.first_support_reply, 200)),
-    chr(10) || chr(10) ORDER BY e.rank) FROM evidence e WHERE e.msg_id = c.msg_id AND e.rank <= 3),
-    '""" + wording.JUDGE_NO_EVIDENCE_BLOCK + "')"
+def _cases(block: str, empty: str, most: str = "") -> str:
+    """The past cases of message ``c`` as one text."""
+    return (
+        f"coalesce((SELECT string_agg({block}, {sql.lit(wording.CASE_SEPARATOR)} ORDER BY e.rank) "
+        f"FROM evidence e WHERE e.msg_id = c.msg_id {most}), {sql.lit(empty)})"
+    )
+
+
+_CASES = _cases(
+    _filled(
+        wording.CASE_BLOCK,
+        rank="CAST(e.rank AS VARCHAR)",
+        score="printf('%.3f', round(e.similarity_score, 3))",
+        question="e.initial_query",
+        answer="e.first_support_reply",
+        cut=f"CASE WHEN length(e.full_dialogue) > 300 THEN {sql.lit(wording.CASE_CUT_MARK)} ELSE '' END",
+        thread="left(e.full_dialogue, 300)",
+    ),
+    wording.NO_EVIDENCE_BLOCK,
+)
+_JUDGE_CASES = _cases(
+    _filled(
+        wording.JUDGE_CASE_BLOCK,
+        rank="CAST(e.rank AS VARCHAR)",
+        question="left(e.initial_query, 200)",
+        answer="left(e.first_support_reply, 200)",
+    ),
+    wording.JUDGE_NO_EVIDENCE_BLOCK,
+    "AND e.rank <= 3",
+)
 _TAXONOMY_LINES = sql.lit(
     "\n".join(f'  - "{name}": {text}' for name, text in wording.INTENT_DESCRIPTIONS.items())
 )

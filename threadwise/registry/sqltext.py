@@ -22,6 +22,10 @@ def lit(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
+def hit_reasoning(count: str) -> str:
+    return f"printf({lit(wording.HIT_REASONING)}, {count})"
+
+
 def rows(name: str, columns: str, values: list[tuple]) -> str:
     """A literal table as a CTE."""
     def cell(value):
@@ -140,7 +144,7 @@ classified_base AS (
     {by_override(lambda r: lit(r.intent), "coalesce(kw_intent, 'other_general')")} AS intent,
     {by_override(lambda r: lit(r.intent), "coalesce(kw_intents, 'other_general')")} AS intents,
     {by_override(lambda r: "0.88", "CASE best WHEN 1 THEN 0.63 WHEN 2 THEN 0.71 WHEN 3 THEN 0.79 WHEN 4 THEN 0.87 ELSE CASE WHEN best >= 5 THEN 0.88 ELSE 0.30 END END")}::DOUBLE AS confidence,
-    {by_override(lambda r: lit(r.reasoning), "CASE WHEN best > 0 THEN format('Keyword match ({} hits)', best) ELSE " + lit(wording.NO_HIT_REASONING) + " END")} AS reasoning
+    {by_override(lambda r: lit(r.reasoning), "CASE WHEN best > 0 THEN " + hit_reasoning("best") + " ELSE " + lit(wording.NO_HIT_REASONING) + " END")} AS reasoning
   FROM overridden),
 classified AS (SELECT *, NOT ({_SETTLED}) AS needs_model FROM classified_base)"""
 

@@ -15,100 +15,109 @@ INTENT_DESCRIPTIONS = {
 }
 
 KNOWN_REPLIES = {
-    "storage_intent": "The phone has little room left.\nOpen Settings > General > Storage, follow the suggestions there and clear out photos, files and apps you no longer use.",
-    "storage_text": "The phone has little room left.\nOpen Settings > General > Storage, follow the suggestions there and clear out photos, files and apps you no longer use.",
-    "screen_capture": "For a screenshot on a phone that unlocks with your face, press the side button and volume up together and let go at once.\nWith a home button, press it together with the side or top button. The picture lands in Photos under Screenshots.",
-    "remove_app": "Hold a finger on the app's icon until a menu opens.\nTap Remove App, then Delete App, and confirm. Remove from Home Screen only hides it and leaves it in the library.",
-    "record_screen": "Open Control Center and tap the Screen Recording button.\nRecording begins after a short countdown. Tap the red mark at the top to finish; the clip is kept in Photos.",
-    "connect_wifi": "Open Settings, tap Wi-Fi and switch it on.\nPick your network and type its password when asked. Control Center has a quick switch as well.",
-    "dark_theme": "Open Settings > Display & Brightness and choose Dark.\nAutomatic changes between light and dark by the time of day.",
-    "update_system": "Plug the phone into power, join a Wi-Fi network and open Settings > General > Software Update.\nWhen a new release is listed, tap Download and Install and follow the steps.",
-    "recover_password": "On a device you already trust, open Settings, tap your name and go to Sign-In & Security > Change Password.\nWithout one, start account recovery at iforgot.apple.com. Our support staff can help if that does not work.",
-    "recover_account": "We are sorry you cannot get in.\nAccount recovery lets you choose a new password and return to your account. If you get no further, support can verify you.",
-    "account_compromised": "We are sorry about this. Someone seems to hold your account credentials, so a security specialist must look at it.\nSupport can help with recovery and lock the account down.",
-    "boot_loop": "We are sorry the phone does not get past its start screen.\nPlease share the model and the system version, then contact support so that they can look further.",
-    "dead_after_update": "We are sorry the phone stays dark since the update.\nPlease share the model, the system version and what happened just before, so that support can find the cause.",
-    "physical_damage": "We are sorry about the broken glass.\nPut the phone aside if splinters are loose, and contact support or an authorised repair shop.",
-    "no_power": "We are sorry the phone gives you trouble.\nPlease share the model and tell us what it does on the charger, so that support can suggest the next step.",
-    "no_charge": "Try another charging cable and a different power port.\nIf the phone still takes no charge, contact support and they will look further.",
-    "overheating": "Unplug the phone and keep it out of the sun.\nClose demanding apps and let it cool. If it stays hot, turns itself off or shows a heat warning, contact support for help.",
-    "restarting": "We are sorry the phone keeps restarting.\nInstall the newest update, check that there is free room and unplug accessories. If it goes on, support can help to find the cause.",
-    "double_charge": "We are sorry you paid twice; a duplicate charge needs a person.\nThe billing team can compare both purchase entries. They must open your account and each transaction.",
-    "unrecognised_charge": "We are sorry about a charge you do not recognize.\nPlease contact support with the transaction details; the billing team can look into it safely.",
-    "cancel_subscription": "The guidance on the subscription page shows how to cancel it.\nIf there is no such option, or it stays active, contact support for help.",
-    "store_download": "We are sorry the store gives you trouble.\nWhat do you see when the download starts, and which model and system version do you use? Support can look further if the error stays.",
+    "storage_intent": "Large videos, unused games and old messages take most of the room.\nSettings > General > Storage lists them by size, so you can clear the biggest first.",
+    "storage_text": "Large videos, unused games and old messages take most of the room.\nSettings > General > Storage lists them by size, so you can clear the biggest first.",
+    "screen_capture": "Two buttons pressed at the same moment capture what you see.\nWhich two depends on the phone: side and volume up where it unlocks by face, side and home where there is a home key. The image waits in Photos.",
+    "remove_app": "Keep pressing the icon until a list opens, then choose Remove App and Delete App.\nOnly that frees its space; without an icon on the Home Screen it still lies in the library.",
+    "record_screen": "The round button in Control Center films what happens on the glass.\nAdd it there once, tap it to begin and tap the red sign when you are through. The film lies in Photos.",
+    "connect_wifi": "Wireless networks are listed in Settings under Wi-Fi once the switch there is green.\nTap yours; the first time you will need its password, which is often printed on the router.",
+    "dark_theme": "The dark look is one of two pictures in Settings > Display & Brightness.\nWith Automatic the phone follows sunset and sunrise.",
+    "update_system": "A new release takes a while, so let the phone rest on its charger within reach of Wi-Fi.\nSettings > General > Software Update offers it; pick Download and Install.",
+    "recover_password": "The quickest way is a device on which you are still signed in: Settings, your name, Sign-In & Security, Change Password.\nIf there is none, iforgot.apple.com begins the recovery, and our support can assist on the way.",
+    "recover_account": "Being locked out is annoying, sorry.\nRecovery gives the account a new password once you have shown that it is yours; support can guide you if a step fails.",
+    "account_compromised": "That is alarming, and we are sorry.\nA stranger using your account is a case for our security people: contact them through support, and start the recovery now to lock the stranger out.",
+    "boot_loop": "A start that never ends is no fun, sorry.\nTell support which model you hold and which version it ran, and they will take it from there.",
+    "dead_after_update": "Sorry, a dark display straight after an update should not be.\nTell support the model, the version and what happened right before.",
+    "physical_damage": "Sorry to hear about the damage.\nMind sharp edges, and let support or an approved workshop look at it.",
+    "no_power": "Sorry, that sounds frustrating.\nLet support know the model and whether anything shows while it is on power.",
+    "no_charge": "Often the cable is worn or there is dust in the port.\nSwap the cable, clean the port and use another charger; support can look at the battery if nothing changes.",
+    "overheating": "Take the phone out of its case and into the shade, and let it rest.\nA phone that is hot without any work to do is one for our support.",
+    "restarting": "Sorry that the phone will not stay on.\nAn update can cure this: check that there is room, install it, restart once and leave accessories off. Support can read the logs if it comes back.",
+    "double_charge": "Sorry, nobody should pay twice.\nOnly billing can see your account and compare each charge with its transaction, so support will pass this on to them.",
+    "unrecognised_charge": "Sorry, a charge you do not recognize is unsettling.\nSend its details to support; billing will trace the transaction without your having to do more.",
+    "cancel_subscription": "Every running subscription has a cancel button on its own page.\nIs it missing, or is the plan still there tomorrow? Then support will end it for you.",
+    "store_download": "Sorry that it will not load.\nThe exact words of the error, the model and the version tell support why the download stops.",
 }
 
 TEMPLATE_REPLIES = {
     "device_hardware_issue": KNOWN_REPLIES["no_power"],
     "device_storage_issue": KNOWN_REPLIES["storage_intent"],
-    "device_how_to": "Which feature would you like to use? We will send you the steps.",
-    "software_update_issue": "We are sorry the update gives you trouble.\nTry restarting the device and check that there is free room. If it goes on, support can help further.",
-    "account_appleid_issue": "We are sorry you cannot get in.\nAccount recovery lets you choose a new password. If that fails, support can help to verify the account.",
-    "payment_billing_issue": "We are sorry about the charge.\nPlease check your purchase history for both entries and contact support with the receipt details, so that billing can look at it.",
-    "card_atm_issue": "We are sorry your card gives you trouble.\nPlease check the card details and the balance. If the transaction is refused again, support can look further.",
-    "subscription_services": "We are sorry about the trouble with your subscription.\nYour account settings list every plan, with a way to review or cancel it. Support can help if one stays active.",
-    "app_store_issue": "We are sorry the store gives you trouble.\nTry restarting the device, sign in again and repeat the download. If it goes on, support can help further.",
-    "order_shipping_issue": "We are sorry your delivery is a worry.\nPlease check the order with the tracking details from your confirmation mail. Support can look further if nothing moves.",
-    "other_general": "Thanks for writing to support.\nPlease share some more details so that we can name the right next step.",
+    "device_how_to": "Gladly! What exactly would you like the phone to do?",
+    "software_update_issue": "Sorry that the update went badly.\nA restart and some free room cure most of it; check both, and support can take over if they do not.",
+    "account_appleid_issue": "Sorry that you are locked out.\nRecovery gives the account a new password, and support can verify that it is yours if recovery gets stuck.",
+    "payment_billing_issue": "Sorry about this charge.\nThe receipt shows what it was for: check it, and send its details to support if billing should look.",
+    "card_atm_issue": "Sorry that the card is refused.\nPlease check its details and limits; should the next transaction fail as well, support can look up the reason.",
+    "subscription_services": "Sorry about the bother with this subscription.\nThe account page in Settings is where you manage and cancel each of them; support can step in if one will not end.",
+    "app_store_issue": "Sorry that the store will not play along.\nSign out, restart, sign in and try the download again; support can look into what remains.",
+    "order_shipping_issue": "Sorry that the parcel keeps you waiting.\nThe details in the confirmation lead to its tracking page; check there first, and support can ask the carrier if nothing moves.",
+    "other_general": "Thank you for reaching support.\nA few more details would show us where to begin.",
 }
 DAMAGE_REPLY = KNOWN_REPLIES["physical_damage"]
-GENERATION_ERROR_REPLY = "Thank you for writing to support. Please send us a DM so that we can look into this."
+GENERATION_ERROR_REPLY = "Sorry, something went wrong on our side. Send us a DM and the team will answer."
 
 OVERRIDE_REASONING = {
-    "how_to_request": "The message asks how to use a device feature",
-    "disputed_charge": "The message disputes a purchase or payment",
+    "how_to_request": "Asks for the steps to a feature",
+    "disputed_charge": "Questions a payment as not their own",
 }
-NO_HIT_REASONING = "No keyword occurs; the general intent applies"
-HIT_REASONING = "Keyword match (%d hits)"
-MODEL_FALLBACK_PREFIX = "Model fallback (%s): "
+NO_HIT_REASONING = "Without any keyword the general label is used"
+HIT_REASONING = "Label with the most keywords (%d)"
+MODEL_FALLBACK_PREFIX = "Rules used, model answer unusable (%s): "
 
 SUPPORT_REASONS = {
-    "known": "A fixed answer exists for this kind of request.",
-    "template": "The general reply says too little about the issue to count as a supported answer.",
-    "model_grounded": "Retrieved cases support the generated reply.",
-    "model_ungrounded": "Retrieved cases do not fully support the generated reply, so a person should read it.",
-    "model_failed": "Reply generation failed.",
+    "known": "The reply is a reviewed answer to exactly this request.",
+    "template": "Only a general text for this label was at hand.",
+    "model_grounded": "The drafted reply says nothing that the past cases do not.",
+    "model_ungrounded": "Parts of the drafted reply go beyond the past cases: have it read first.",
+    "model_failed": "There is no drafted reply.",
 }
 
 GROUNDING_REASONS = {
-    "no_evidence": "No past case was retrieved.",
-    "no_action": "The reply names no specific action that past replies could support.",
-    "unsupported_action": "The reply names an action that no retrieved past case supports.",
-    "supported": "Retrieved past cases support every action in the reply.",
+    "no_evidence": "Nothing similar was found to compare the reply with.",
+    "no_action": "Apart from contacting us, the reply proposes nothing that could be compared.",
+    "unsupported_action": "At least one proposed step is missing from the past replies.",
+    "supported": "Each proposed step appears in the past replies.",
 }
-GROUNDING_DEFAULT_REASON = "Grounding could not be decided."
+GROUNDING_DEFAULT_REASON = "No reason was given."
 
 ROUTING_REASONS = {
-    "risk_compromised": "The customer reports a compromised account; account security must handle it.",
-    "risk_duplicate": "Duplicate billing can only be settled with access to the transactions.",
-    "risk_unrecognised": "An unrecognised transaction needs a billing and fraud review.",
-    "risk_generic": "The message signals a security, fraud, legal or account risk.",
-    "dead_device": "The device does not respond after an update, and no past case justifies an automatic answer.",
-    "sensitive_duplicate": "Duplicate billing can only be settled with access to the transactions.",
-    "sensitive_billing": "An unrecognised transaction needs a billing and fraud review.",
-    "sensitive_account": "Account and security requests need proof of identity.",
-    "low_confidence": "Intent confidence is below the threshold.",
-    "how_to_no_evidence": "A confident how-to request with a safe answer that touches no account.",
-    "no_evidence": "No relevant past case was found.",
-    "how_to_weak_evidence": "A confident how-to request with a safe answer; past cases are few but no account is touched.",
-    "weak_evidence": "Past cases are not similar enough for an automatic answer.",
-    "unsupported_answer": "The answer is not sufficiently supported.",
-    "ungrounded": "The reply could not be grounded in past replies.",
-    "standard": "Standard steps touch no account.",
-    "other": "Intent '%s' has sufficient confidence and past cases.",
+    "risk_compromised": "Possible takeover: for the account security desk.",
+    "risk_duplicate": "Possible double payment: for somebody who can open the ledger.",
+    "risk_unrecognised": "Possible fraud: for the payments desk.",
+    "risk_generic": "Words of crime, law or danger: for a person.",
+    "dead_device": "A device that died while updating: no safe remote step is known.",
+    "sensitive_duplicate": "Possible double payment: for somebody who can open the ledger.",
+    "sensitive_billing": "Money is involved: for the payments desk.",
+    "sensitive_account": "The sender must be identified first.",
+    "low_confidence": "The label is too uncertain.",
+    "how_to_no_evidence": "Harmless instructions, given without a comparable case.",
+    "no_evidence": "No comparable case exists.",
+    "how_to_weak_evidence": "Harmless instructions, though the cases are only loosely comparable.",
+    "weak_evidence": "The cases are only loosely comparable.",
+    "unsupported_answer": "No reviewed answer covers the message.",
+    "ungrounded": "The reply goes beyond what past replies did.",
+    "standard": "A routine matter with comparable cases.",
+    "other": "Label '%s' is certain enough and has comparable cases.",
 }
-REPORT_HARDWARE_REASON = "Basic steps touch no account."
+REPORT_HARDWARE_REASON = "A routine matter that the customer can try at home."
 
-JUDGE_REASONING = "Heuristic scores; no model judge was used"
-JUDGE_FALLBACK_PREFIX = "Judge response error (%s): "
+JUDGE_REASONING = "Scored by markers, not by a model"
+JUDGE_FALLBACK_PREFIX = "Scored by markers after an unusable answer (%s): "
 
 GOLDEN_LABEL_SOURCE = "keyword_candidate"
 GOLDEN_REVIEW_STATUS = "needs_review"
 GOLDEN_NOTES = "Sampled by keyword label; a person must confirm it."
 
-NO_EVIDENCE_BLOCK = "There are no past cases."
-JUDGE_NO_EVIDENCE_BLOCK = "No past case was retrieved."
+NO_EVIDENCE_BLOCK = "<cases/>"
+JUDGE_NO_EVIDENCE_BLOCK = "<cases/>"
+# One past case in a prompt, and what stands between cases.
+CASE_BLOCK = """<case rank="{rank}" score="{score}">
+<answer>{answer}</answer>
+<question>{question}</question>
+<thread{cut}>{thread}</thread>
+</case>"""
+CASE_CUT_MARK = " shortened"
+JUDGE_CASE_BLOCK = """<case rank="{rank}"><answer>{answer}</answer><question>{question}</question></case>"""
+CASE_SEPARATOR = "\n"
 
 INTENT_PROMPT = """Label one customer-support message.
 
