@@ -1,7 +1,11 @@
+import html.entities
+import random
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadwise.functions import text
+from threadwise.functions.entities import unescape_html5
 from threadwise.functions.regex import portable, words_found, word_pattern
 
 
@@ -23,6 +27,17 @@ def test_two_passes_undo_two_levels(spark):
     assert one(spark, "&amp;amp;", twice) == "&"
 
 
+def test_html5_equals_the_standard_decoder(spark):
+    rng = random.Random(4)
+    parts = ["&", "#", "x", "X", ";", " ", "a", "amp", "lt", "notit", "not", "copy", "eacute", "0", "65",
+             "128", "x80", "xD800", "1114112", "99999999999", "xFFFE", "11", "\n", "é", "&amp;", "&#38;"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(1500)]
+    texts += [f"&{name}" for name in html.entities.html5] + ["", "plain", "&", "&&#x41;&"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select("text", unescape_html5(F.col("text")).alias("plain")).collect()
+    assert [r for r in found if r.plain != html.unescape(r.text)] == []
+
+
 def test_html5_knows_rare_entities(spark):
     html5 = lambda x: text.clean_text(x, "html5")
     assert one(spark, "caf&eacute; &#x41;&NotEqualTilde;", html5) == "café A≂̸"

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from threadwise.functions.entities import unescape_html5
 from threadwise.functions.regex import SPACE, SPACE_CLASS, WORD
 
 # Entities the native decoder knows, in decoding order. The ampersand comes last so that a
@@ -30,16 +27,6 @@ def unescape_common(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
-
-
-def unescape_html5(text: Column) -> Column:
-    """Decode every HTML5 entity. Only texts holding an ampersand are sent to Python."""
-    return F.coalesce(_unescape_batch(F.when(F.contains(text, F.lit("&")), text)), text)
-
-
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
@@ -47,7 +34,7 @@ def collapse_space(text: Column) -> Column:
 def clean_text(text: Column, entities: str = "common") -> Column:
     """Unescape, collapse white space, trim; null becomes the empty string.
 
-    ``entities="common"`` stays inside the JVM; ``"html5"`` knows the full entity table.
+    ``entities="common"`` decodes what message exports contain, ``"html5"`` every reference.
     """
     decode = {"common": unescape_common, "html5": unescape_html5}[entities]
     return F.coalesce(collapse_space(decode(text)), F.lit(""))
