@@ -18,6 +18,14 @@ def test_cluster_needs_a_shared_folder():
     assert shared_folder(fake("spark://host:7077", "hdfs://shared/x/")) == "hdfs://shared/x"
 
 
+def test_cluster_refuses_a_machine_local_folder():
+    for folder in ("/tmp/checkpoints", "file:///tmp/x", "file:/var/tmp/y"):
+        with pytest.raises(ValueError, match="one machine"):
+            shared_folder(fake("yarn", folder))
+        assert shared_folder(fake("local[2]", folder)) == folder
+    assert shared_folder(fake("yarn", "file:///mnt/shared")) == "file:///mnt/shared"
+
+
 def test_local_session_may_use_scratch():
     assert shared_folder(fake("local[2]", None)) == shared_folder(fake("local[2]", None))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadwise.operators.golden import bounded_sample
 from threadwise.operators.tfidf import (
     bounded_broadcast,
     term_counts,
@@ -21,6 +22,10 @@ from threadwise.rules.stop_words import ENGLISH
 from threadwise.session import cut_lineage
 
 
+# A taxonomy is a list people keep in mind; more labels are a mistake in the caller's table.
+MAX_LABELS = 1000
+
+
 def majority_label(
     training: DataFrame, label: str = "label", default: str = fixed.FALLBACK_INTENT
 ) -> DataFrame:
@@ -91,9 +96,14 @@ def fit_text_classifier(
     c: float = 1.0,
     max_iter: int = 1000,
     stop_words: list[str] | None = None,
+    max_rows: int = fixed.TRAINING_ROWS,
 ) -> TextClassifier:
-    """Fit on (key, text, label) with an L2 penalty of 1/(c n) and free intercepts."""
+    """Fit on (key, text, label) with an L2 penalty of 1/(c n) and free intercepts.
+
+    At most ``max_rows`` rows are learned from, in hash order of their key.
+    """
     spark = training.sparkSession
+    training = bounded_sample(training, max_rows, key)
     if stop_words is None:
         stop_words = list(ENGLISH)
     rows = cut_lineage(
@@ -104,8 +114,10 @@ def fit_text_classifier(
     )
     counts = cut_lineage(term_counts(rows, key, stop_words))
     vocab = cut_lineage(vocabulary(counts, rows.agg(F.count("*").alias("n")), max_features))
-    # The taxonomy bounds the number of labels.
-    labels = [r[0] for r in rows.select(label).distinct().orderBy(label).collect()]
+    found = rows.select(label).distinct().orderBy(label).limit(MAX_LABELS + 1).collect()
+    labels = [r[0] for r in found]
+    if len(labels) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels: {label} is no taxonomy")
     size = vocab.count()
     vectors = weights(counts, key, vocab, max_features).groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("entries")

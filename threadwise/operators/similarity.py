@@ -3,16 +3,19 @@
 Weights are non-negative and vectors have unit length, so the score of a pair is the sum of
 products over shared terms, and a term adds at most ``query weight x largest document weight``.
 
-1. *First guess.* The few documents in which a query's terms weigh most give lower bounds; the
-   k-th best bound is a score the final list must reach.
+1. *First guess.* The few documents in which a query's terms weigh most are scored in full; the
+   k-th best score is one the final list must reach.
 2. *Skip common terms.* Starting from the term that spares the most postings for what it can add
    to a score, terms are set aside while all of them together could not reach that score. A
    document that shares only those cannot be in the list, so they generate no candidates.
 3. *Candidates.* The remaining terms are joined with the postings; a posting too light to reach
    the score, even with every other term at its largest, is dropped inside the join. Terms held
-   by many documents are split over several join keys.
+   by many documents or asked by many queries are split over several join keys.
 4. *Exact scores.* The set-aside terms are added for the surviving candidates only.
 
+What a set of terms can add is bounded twice, and the smaller bound counts: by the sum of what each
+can add, and, since no vector is longer than one, by the length of the query's part on the set.
+
 Nothing is sampled or capped: every step removes only pairs that provably miss the list.
 """
 
@@ -36,8 +39,12 @@ from threadwise.session import cut_lineage
 SCORE_PLACES = 10
 # Slack for bounds, far above rounding error and far below SCORE_PLACES.
 SLACK = 1e-9
-# A term's postings are spread over one join key per this many documents.
+# A term's postings are spread over one join key per this many documents, its queries over one
+# per this many queries.
 POSTINGS_PER_KEY = 100_000
+QUERIES_PER_KEY = 10_000
+# First guesses per query, as a multiple of k.
+GUESSES = 2
 
 
 def _best(score: str, tie: str, k: int) -> Column:
@@ -45,7 +52,7 @@ def _best(score: str, tie: str, k: int) -> Column:
 
 
 def _floors(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -> DataFrame:
-    """(q, floor): the k-th best score among first guesses, where there are k of them."""
+    """(q, floor): the k-th best full score among first guesses, where there are k of them."""
     first_guess = (
         query.join(
             bounded_broadcast(
@@ -56,15 +63,23 @@ def _floors(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -> Da
         .groupBy("q", "doc")
         .agg(F.sum(F.col("w") * F.col("dw")).alias("bound"))
     )
-    return (
+    guesses = cut_lineage(
         first_guess.withColumn("rank", _best("bound", "doc", k))
-        .where(F.col("rank") <= k)
-        .groupBy("q")
-        .agg(
-            F.greatest(
-                F.max(F.when(F.col("rank") == k, F.col("bound"))), F.lit(min_score)
-            ).alias("floor")
-        )
+        .where(F.col("rank") <= GUESSES * k)
+        .select("q", "doc")
+    )
+    # Only the guessed documents' postings take part.
+    theirs = index.postings.join(guesses.select("doc").distinct(), "doc", "left_semi")
+    full = (
+        guesses.join(query, "q")
+        .join(theirs.select("doc", "term_id", F.col("w").alias("dw")), ["doc", "term_id"])
+        .groupBy("q", "doc")
+        .agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
+    )
+    return (
+        full.withColumn("rank", _best("score", "doc", k))
+        .where(F.col("rank") == k)
+        .select("q", F.greatest("score", F.lit(min_score)).alias("floor"))
     )
 
 
@@ -73,14 +88,21 @@ def _query_plan(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -
     impacts = bounded_broadcast(index.impacts, index.max_features)
     per_query = Window.partitionBy("q")
     common_first = per_query.orderBy(F.desc(F.col("docs") / F.col("gain")), "term_id")
-    gain = F.col("w") * F.col("max_w")
+    square = F.col("w") * F.col("w")
+    others = F.least(
+        F.col("total") - F.col("gain"), F.sqrt(F.greatest(F.col("squares") - square, F.lit(0.0)))
+    )
     return (
         query.join(impacts, "term_id")
         .join(_floors(query, index, k, min_score), "q", "left")
         .withColumn("floor", F.coalesce("floor", F.lit(min_score)) - SLACK)
-        .withColumn("gain", gain)
+        .withColumn("gain", F.col("w") * F.col("max_w"))
         .withColumn("total", F.sum("gain").over(per_query))
-        .withColumn("reach", F.sum("gain").over(common_first))
+        .withColumn("squares", F.sum(square).over(per_query))
+        .withColumn(
+            "reach",
+            F.least(F.sum("gain").over(common_first), F.sqrt(F.sum(square).over(common_first))),
+        )
         .select(
             "q",
             "term_id",
@@ -89,13 +111,13 @@ def _query_plan(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -
             "floor",
             "gain",
             (F.col("reach") < F.col("floor")).alias("aside"),
-            ((F.col("floor") - (F.col("total") - F.col("gain"))) / F.col("w")).alias("least"),
+            ((F.col("floor") - others) / F.col("w")).alias("least"),
         )
     )
 
 
-def _join_keys(docs: Column) -> Column:
-    return F.ceil(docs / POSTINGS_PER_KEY).cast("int")
+def _join_keys(rows: Column, per_key: int) -> Column:
+    return F.ceil(rows / per_key).cast("int")
 
 
 def best_vectors(
@@ -103,65 +125,86 @@ def best_vectors(
 ) -> DataFrame:
     """(q, doc, score): the k best vectors per query; ``query`` is (q, term_id, w)."""
     plan = cut_lineage(_query_plan(cut_lineage(query), index, k, min_score))
-    keyed_postings = index.postings.join(
-        bounded_broadcast(
-            index.impacts.select("term_id", _join_keys(F.col("docs")).alias("keys")),
-            index.max_features,
+    candidates = candidate_pairs(plan, index)
+    aside_terms = plan.where("aside").select("term_id").distinct()
+    aside_postings = index.postings.join(
+        bounded_broadcast(aside_terms, index.max_features), "term_id", "left_semi"
+    )
+    scored = (
+        candidates.select("q", "doc", "partial", F.explode_outer("rest").alias("rest"))
+        .select("q", "doc", "partial", F.col("rest.term_id").alias("term_id"), "rest.w")
+        .join(
+            aside_postings.select("doc", "term_id", F.col("w").alias("dw")),
+            ["doc", "term_id"],
+            "left",
+        )
+        .groupBy("q", "doc")
+        .agg(
+            (
+                F.max("partial") + F.sum(F.coalesce(F.col("w") * F.col("dw"), F.lit(0.0)))
+            ).alias("score")
+        )
+        .select("q", "doc", F.round("score", SCORE_PLACES).alias("score"))
+        .where(F.col("score") >= min_score)
+    )
+    return scored.withColumn("rank", _best("score", "doc", k)).where(F.col("rank") <= k).drop("rank")
+
+
+def candidate_pairs(plan: DataFrame, index: TfidfIndex) -> DataFrame:
+    """(q, doc, partial, rest): pairs that may be in a list; ``rest`` are the terms set aside."""
+    asked = plan.where("NOT aside").groupBy("term_id").agg(F.count("*").alias("asked"))
+    keys = bounded_broadcast(
+        index.impacts.select(
+            "term_id", _join_keys(F.col("docs"), POSTINGS_PER_KEY).alias("doc_keys")
+        ).join(
+            bounded_broadcast(
+                asked.select(
+                    "term_id", _join_keys(F.col("asked"), QUERIES_PER_KEY).alias("query_keys")
+                ),
+                index.max_features,
+            ),
+            "term_id",
         ),
+        index.max_features,
+    )
+    postings = index.postings.join(keys, "term_id").select(
         "term_id",
-    ).select(
-        "term_id",
-        F.pmod(F.xxhash64("doc"), F.col("keys")).cast("int").alias("key"),
+        F.pmod(F.xxhash64("doc"), F.col("doc_keys")).cast("int").alias("doc_key"),
+        F.explode(F.sequence(F.lit(0), F.col("query_keys") - 1)).alias("query_key"),
         "doc",
         F.col("w").alias("dw"),
     )
-    generators = plan.where("NOT aside").select(
+    generators = plan.where("NOT aside").join(keys, "term_id").select(
         "q",
         "term_id",
-        F.explode(F.sequence(F.lit(0), _join_keys(F.col("docs")) - 1)).alias("key"),
+        F.explode(F.sequence(F.lit(0), F.col("doc_keys") - 1)).alias("doc_key"),
+        F.pmod(F.xxhash64("q"), F.col("query_keys")).cast("int").alias("query_key"),
         "w",
         "least",
     )
     partial = (
-        generators.join(keyed_postings, ["term_id", "key"])
+        generators.join(postings, ["term_id", "doc_key", "query_key"])
         .where(F.col("dw") >= F.col("least"))
         .groupBy("q", "doc")
         .agg(F.sum(F.col("w") * F.col("dw")).alias("partial"))
     )
     # Bounded by the query's own length.
+    aside_square = F.when(F.col("aside"), F.col("w") * F.col("w")).otherwise(0.0)
     rest = plan.groupBy("q").agg(
         F.max("floor").alias("floor"),
-        F.sum(F.when(F.col("aside"), F.col("gain")).otherwise(0.0)).alias("rest_gain"),
+        F.least(
+            F.sum(F.when(F.col("aside"), F.col("gain")).otherwise(0.0)),
+            F.sqrt(F.sum(aside_square)),
+        ).alias("rest_gain"),
         F.collect_list(
             F.when(F.col("aside"), F.struct(F.col("term_id"), F.col("w")))
         ).alias("rest"),
     )
-    candidates = (
+    return (
         partial.join(rest, "q")
         .where(F.col("partial") + F.col("rest_gain") >= F.col("floor"))
-        .select("q", "doc", "partial", F.explode_outer("rest").alias("rest"))
-        .select("q", "doc", "partial", F.col("rest.term_id").alias("term_id"), "rest.w")
+        .select("q", "doc", "partial", "rest")
     )
-    aside_terms = plan.where("aside").select("term_id").distinct()
-    aside_postings = index.postings.join(
-        bounded_broadcast(aside_terms, index.max_features), "term_id", "left_semi"
-    )
-    scored = (
-        candidates.join(
-            aside_postings.select("doc", "term_id", F.col("w").alias("dw")),
-            ["doc", "term_id"],
-            "left",
-        )
-        .groupBy("q", "doc")
-        .agg(
-            (
-                F.max("partial") + F.sum(F.coalesce(F.col("w") * F.col("dw"), F.lit(0.0)))
-            ).alias("score")
-        )
-        .select("q", "doc", F.round("score", SCORE_PLACES).alias("score"))
-        .where(F.col("score") >= min_score)
-    )
-    return scored.withColumn("rank", _best("score", "doc", k)).where(F.col("rank") <= k).drop("rank")
 
 
 def retrieve_texts(

@@ -7,6 +7,7 @@ from threadwise.registry.catalog import QUERIES, SQL, Query
 
 def _load() -> None:
     from threadwise.registry import (  # noqa: F401
+        answer_queries,
         evaluation_queries,
         retrieval_queries,
         rule_queries,

@@ -336,7 +336,7 @@ def k7_heuristic_scores(spark, sf_dir):
     return _past_scores(spark, sf_dir)
 
 
-_JUDGED = sql.triage_ctes() + f""",
+JUDGED = sql.triage_ctes() + f""",
 {sql.rows("truths", "pid, truth", list(enumerate(PHRASE_TRUTHS)))},
 judged AS (
   SELECT CAST(r.msg_id AS VARCHAR) AS conversation_id, r.message, t.truth AS true_intent,
@@ -350,7 +350,7 @@ averaged AS (
 _FAILED_COLUMNS = "conversation_id, true_intent, pred_intent, true_action, pred_action"
 
 
-def _results(spark, sf_dir):
+def results(spark, sf_dir):
     """Triaged messages beside their truth, in the form of an evaluation run."""
     action = F.array(
         *[F.lit(SUPPORT_PACK.intent(name).default_action) for name in PHRASE_TRUTHS]
@@ -367,11 +367,11 @@ def _results(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    return quality.heuristic_scores(_results(spark, sf_dir))
+    return quality.heuristic_scores(results(spark, sf_dir))
 
 
 @query(
-    sql.with_(_JUDGED)
+    sql.with_(JUDGED)
     + "\nSELECT * FROM judged"
 )
 def k8_judged_results(spark, sf_dir):
@@ -382,7 +382,7 @@ def k8_judged_results(spark, sf_dir):
 
 
 @query(
-    sql.with_(_JUDGED)
+    sql.with_(JUDGED)
     + "".join(
         f"""
 {'UNION ALL ' if i else ''}SELECT '{name}' AS dimension, round(avg(judge_{name}), 3) AS mean FROM judged"""
@@ -394,7 +394,7 @@ def k9_mean_scores(spark, sf_dir):
 
 
 @query(
-    sql.with_(_JUDGED)
+    sql.with_(JUDGED)
     + f"""
 SELECT j.conversation_id, j.message, j.true_intent, j.pred_intent, r.confidence, j.true_action,
        j.pred_action, r.reason AS escalation_reason, j.reply, r.grounding = 'supported' AS reply_grounded,
@@ -405,15 +405,15 @@ SELECT j.conversation_id, j.message, j.true_intent, j.pred_intent, r.confidence,
 FROM judged j JOIN routed r ON CAST(r.msg_id AS VARCHAR) = j.conversation_id"""
 )
 def k10_agent_results(spark, sf_dir):
-    return _results(spark, sf_dir)
+    return results(spark, sf_dir)
 
 
-@query(sql.with_(_JUDGED) + f"\nSELECT {_FAILED_COLUMNS} FROM judged WHERE true_intent <> pred_intent")
+@query(sql.with_(JUDGED) + f"\nSELECT {_FAILED_COLUMNS} FROM judged WHERE true_intent <> pred_intent")
 def k11_intent_failures(spark, sf_dir):
     return quality.intent_failures(_judged(spark, sf_dir)).select(*_FAILED_COLUMNS.split(", "))
 
 
-@query(sql.with_(_JUDGED) + f"\nSELECT {_FAILED_COLUMNS} FROM judged WHERE true_action <> pred_action")
+@query(sql.with_(JUDGED) + f"\nSELECT {_FAILED_COLUMNS} FROM judged WHERE true_action <> pred_action")
 def k12_escalation_failures(spark, sf_dir):
     return quality.escalation_failures(_judged(spark, sf_dir)).select(*_FAILED_COLUMNS.split(", "))
 
@@ -432,7 +432,7 @@ def k13_low_quality(spark, sf_dir):
 
 
 @query(
-    sql.with_(_JUDGED)
+    sql.with_(JUDGED)
     + """
 SELECT conversation_id, round(avg_judge_score, 4) AS avg_judge_score FROM averaged"""
 )
@@ -445,13 +445,13 @@ def k13_mean_per_reply(spark, sf_dir):
 _ANY = "true_intent <> pred_intent OR true_action <> pred_action OR avg_judge_score < 3.0"
 
 
-@query(sql.with_(_JUDGED) + f"\nSELECT {_FAILED_COLUMNS} FROM averaged WHERE {_ANY}")
+@query(sql.with_(JUDGED) + f"\nSELECT {_FAILED_COLUMNS} FROM averaged WHERE {_ANY}")
 def k14_any_failure(spark, sf_dir):
     return quality.any_failure(_judged(spark, sf_dir)).select(*_FAILED_COLUMNS.split(", "))
 
 
 @query(
-    sql.with_(_JUDGED)
+    sql.with_(JUDGED)
     + f"""
 SELECT count(*) FILTER (true_intent <> pred_intent) AS intent_failures,
        count(*) FILTER (true_action <> pred_action) AS escalation_failures,
@@ -651,7 +651,7 @@ _agreement_query("l12_samples", "n_samples", "count(*)")
 
 
 @query(
-    sql.with_(_JUDGED)
+    sql.with_(JUDGED)
     + """
 SELECT conversation_id, message, reply, '' AS correctness, '' AS groundedness, '' AS helpfulness,
        '' AS tone, '' AS hallucination FROM judged ORDER BY conversation_id LIMIT 50"""

@@ -142,10 +142,13 @@ def e10_cosine_similarity(spark, sf_dir):
     )
 
 
-@query(
+RETRIEVED_SQL = (
     _SUPPORT
     + "\nSELECT msg_id, conversation_id, rank, round(similarity, 6) AS similarity FROM retrieved"
 )
+
+
+@query(RETRIEVED_SQL)
 def e11_retrieve_topk(spark, sf_dir):
     return _evidence(spark, sf_dir, columns=[]).select(
         "msg_id",

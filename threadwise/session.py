@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -36,13 +37,17 @@ def _local_scratch() -> tempfile.TemporaryDirectory:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that all executors can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, as in tests, may fall
-    back to a scratch folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``; a temporary folder of one machine is refused
+    there. Only a local session, as in tests, may fall back to a scratch folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if folder:
+        path = re.sub("^file:/*", "/", folder)
+        if not local and path.startswith((tempfile.gettempdir() + "/", "/tmp/", "/var/tmp/")):
+            raise ValueError(f"{folder} is a temporary folder of one machine")
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return _local_scratch().name
 
