@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,3 +54,14 @@ def set_aside(df: DataFrame, names) -> tuple[DataFrame, list[Column]]:
         F.col(f"`{renames[c]}`").alias(c) if c in renames else F.col(f"`{c}`") for c in df.columns
     ]
     return df.withColumnsRenamed(renames), restored
+
+
+def kept_by_worker(name: str, make: Callable):
+    """An object that a Python worker keeps from one task to the next, made when first asked for.
+
+    Functions travel to the workers whole, so their own modules start empty in every task.
+    """
+    store = sys.modules.setdefault("threadwise_kept", types.ModuleType("threadwise_kept"))
+    if name not in vars(store):
+        setattr(store, name, make())
+    return getattr(store, name)

@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadwise.llm.common import drop_columns, whole_text
+from threadwise.llm.common import drop_columns, kept_by_worker, whole_text
+from threadwise.operators.tfidf import most_frequent
 from threadwise.session import cut_lineage
 
 MARK = "▁"  # stands for a space
@@ -44,8 +46,8 @@ UNIT = rf"{MARK}*(?:[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}{MARK}]+)|{MARK}+"
 # Units whose pieces are broadcast, and their longest length: places of a unit are bits of a long.
 FREQUENT_UNITS = 1 << 18
 LONGEST_UNIT = 62
-# Chunks of text that one task remembers.
-REMEMBERED = 200_000
+# Chunks of text, and rare units, that one Python worker remembers.
+REMEMBERED = 150_000
 
 ADDED = ("ids", "n_tokens", "decoded")
 
@@ -115,9 +117,12 @@ def count_units(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_units(counts: DataFrame, most: int = FREQUENT_UNITS) -> DataFrame:
-    """At most ``most`` of the most frequent units, ties by unit."""
-    short = counts.filter(F.length("unit") <= LONGEST_UNIT)
-    return short.orderBy(F.desc("count"), "unit").limit(most).select("unit")
+    """At most ``most`` of the most frequent units, ties by unit.
+
+    A histogram of the counts comes first, so that little more than ``most`` rows are sorted.
+    """
+    short = cut_lineage(counts.filter(F.length("unit") <= LONGEST_UNIT))
+    return most_frequent(short, "count", "unit", most).select("unit")
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -256,9 +261,9 @@ def fold_unit(unit: str, model: Model) -> list[int]:
 class Encoder:
     """Encodes texts in a task: known units are looked up, others folded, chunks remembered."""
 
-    def __init__(self, model: Model, known: dict[str, bytes]):
+    def __init__(self, model: Model, known: dict[str, bytes], kept: tuple[dict, dict] | None = None):
         self.model, self.known = model, known
-        self.chunks: dict[str, bytes] = {}
+        self.chunks, self.units = kept or ({}, {})
         self.chunk = re.compile(f"{MARK}+[^{MARK}]*")
         self.unit = regex.compile(UNIT)
 
@@ -278,10 +283,12 @@ class Encoder:
         return b"".join(self._unit(unit) for unit in self.unit.findall(chunk))
 
     def _unit(self, unit: str) -> bytes:
-        ids = self.known.get(unit)
+        ids = self.known.get(unit) or self.units.get(unit)
         if ids is None:
+            if len(self.units) >= REMEMBERED:
+                self.units.clear()
             folded = fold_unit(unit, self.model)
-            ids = struct.pack(f">{len(folded)}i", *folded)
+            ids = self.units[unit] = struct.pack(f">{len(folded)}i", *folded)
         return ids
 
 
@@ -308,6 +315,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = False)
     """Add ``ids`` and ``n_tokens``; with ``check`` also ``decoded``: the ids decode to the text."""
     model = load(path)
     known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, model, text))
+    name = f"pieces_{zlib.crc32(repr((model.texts, model.scores)).encode())}"
     fields = [
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("n_tokens", T.LongType()),
@@ -317,13 +325,15 @@ def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = False)
 
     @F.pandas_udf(T.StructType(fields))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(model, known.value)
+        kept = kept_by_worker(name, lambda: ({}, {}))  # a unit's ids depend on the model alone
+        encoder = Encoder(model, known.value, kept)
         for texts in batches:
             ids = [encoder.encode(t).astype(np.int32) for t in texts]
             result = {"ids": ids, "n_tokens": [len(found) for found in ids]}
             if check:
                 result["decoded"] = [
-                    decode_ids(found, model) == t.replace(MARK, " ") for found, t in zip(ids, texts)
+                    decode_ids(found.tolist(), model) == t.replace(MARK, " ")
+                    for found, t in zip(ids, texts)
                 ]
             yield pd.DataFrame(result)
 
