@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadwise.llm.common import SPACE_CHARS, drop_columns, let, set_aside, whole_text
+from threadwise.llm.common import drop_columns, let, set_aside, whole_text
 from threadwise.session import cut_lineage
 
 # The part of the ids that is never learned from.
@@ -69,13 +69,22 @@ READER = frozenset(
 PLAIN = str.maketrans("01345789@$!|", "oieastbgasil", "*")
 
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0134578@$!|*]+[^\W\d_]+)+", re.IGNORECASE)
+# Starts at the head of a word and never gives back, so very long words are passed over once.
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0134578@$!|*]++[^\W\d_]++)++")
 DOTTED = re.compile(r"(?<!\w)[^\W\d_](?:[.\-_*·][^\W\d_]){2,}(?!\w)")
+# A sign before a letter, and a letter between signs: without these there is no disguise.
+SIGN_THEN_LETTER = re.compile(r"[0134578@$!|*][^\W\d_]")
+LETTER_AMONG_SIGNS = re.compile(r"[.\-_*·][^\W\d_][.\-_*·]")
 FEATURES = (
     "log_words", "insults", "learned", "beginnings", "weight", "top_weight", "near_reader",
     "near_hits", "readers", "disguised", "disguised_hits", "repeated",
+    "capitals", "exclamations", "signs", "digits",
 )
-SHARES = ("capitals", "exclamations", "signs", "digits")
+# Bytes whose share of a text is a feature.
+SHARES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"#*$%&|<>@^~", b"0123456789")
+SPACE_BYTES = b" \t\n\x0b\f\r"
+# Words that one task remembers.
+REMEMBERED = 300_000
 ADDED = ("toxicity", "score", "predicted", "held_out")
 # Columns that the fitted stages write on the way.
 WRITTEN = ("toxic_features", "toxic_raw", "toxic_calibrated", "probability", "prediction", "rawprediction")
@@ -90,48 +99,57 @@ class Lexicon:
 # --- one text ----------------------------------------------------------------------------------
 
 
-def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
+class Kinds(dict):
+    """(fixed insult, learned word, weight) of a word, or None; a word is classed when first met."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        weight = self.lexicon.words.get(word, 0.0)
+        beginnings = self.lexicon.beginnings
+        start = max(beginnings.get(word[:size], 0.0) if size < len(word) else 0.0 for size in BEGINNINGS)
+        found = (word in INSULTS, weight > 0, max(weight, start))
+        self[word] = kind = found if found[0] or found[2] else None
+        return kind
+
+
+def features(text: str, lexicon: Lexicon, kinds: Kinds | None = None) -> tuple[float, ...]:
     """The values of ``FEATURES`` for one text."""
+    kinds = Kinds(lexicon) if kinds is None else kinds
     words = WORD.findall(text.lower())
+    different = set(words)
     n = max(len(words), 1)
-    learned, beginnings = lexicon.words, lexicon.beginnings
-    hits, known, begun, weight, top = [], 0, 0, 0.0, 0.0
-    cache: dict[str, tuple[bool, bool, float]] = {}
-    for place, word in enumerate(words):
-        found = cache.get(word)
-        if found is None:
-            value = learned.get(word, 0.0)
-            start = max(
-                (beginnings.get(word[:size], 0.0) for size in BEGINNINGS if size < len(word)),
-                default=0.0,
-            )
-            found = cache[word] = (word in INSULTS, value > 0, max(value, start))
-        insult, is_known, value = found
-        if insult or value:
-            hits.append(place)
-            known += is_known
-            begun += not is_known and not insult
-            weight += value
-            top = max(top, value)
-    readers = [place for place, word in enumerate(words) if word in READER]
-    near = _near(hits, readers)
-    disguised = [match.group() for match in DISGUISED.finditer(text)]
-    plain = [word.lower().translate(PLAIN) for word in disguised]
-    dotted = [re.sub(r"[.\-_*·]", "", match.group().lower()) for match in DOTTED.finditer(text)]
-    undone = [word for word in plain + dotted if word in INSULTS or word in learned]
+    hot = {word: kind for word in different if (kind := kinds[word])}
+    hits = [place for place, word in enumerate(words) if word in hot] if hot else []
+    found = [hot[words[place]] for place in hits]
+    used = different & READER
+    readers = [place for place, word in enumerate(words) if word in READER] if used and hits else []
+    n_readers = len(readers) if hits else sum(map(words.count, used))
+    disguised, dotted = [], []
+    if SIGN_THEN_LETTER.search(text):
+        disguised = [m.group().lower().translate(PLAIN) for m in DISGUISED.finditer(text)]
+    if LETTER_AMONG_SIGNS.search(text):
+        dotted = [re.sub(r"[.\-_*·]", "", m.group().lower()) for m in DOTTED.finditer(text)]
+    undone = [w for w in disguised + dotted if w in INSULTS or w in lexicon.words]
+    raw = text.encode("utf-8", "surrogatepass").translate(None, SPACE_BYTES)
     return (
         math.log1p(len(words)),
-        sum(words[place] in INSULTS for place in hits) / n,
-        known / n,
-        begun / n,
-        weight / n,
-        top,
-        near / n,
+        sum(insult for insult, _, _ in found) / n,
+        sum(known for _, known, _ in found) / n,
+        sum(not insult and not known for insult, known, _ in found) / n,
+        sum(weight for _, _, weight in found) / n,
+        max((weight for _, _, weight in found), default=0.0),
+        _near(hits, readers) / n,
         float(len(hits)),
-        len(readers) / n,
+        n_readers / n,
         (len(disguised) + len(dotted)) / n,
         float(len(undone)),
-        1 - len(set(words)) / n if words else 0.0,
+        1 - len(different) / n if words else 0.0,
+        *(1 - len(raw.translate(None, group)) / len(raw) if raw else 0.0 for group in SHARES),
     )
 
 
@@ -177,67 +195,47 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
 
     def units(found: Column) -> Column:
+        """Words, and beginnings with a mark in front, each once."""
         starts = [
             F.transform(
                 F.filter(found, lambda word, size=size: F.length(word) > size),
-                lambda word, size=size: F.struct(
-                    F.lit(True).alias("begins"), F.substring(word, 1, size).alias("unit")
-                ),
+                lambda word, size=size: F.concat(F.lit("^"), F.substring(word, 1, size)),
             )
             for size in BEGINNINGS
         ]
-        whole = F.transform(
-            found, lambda word: F.struct(F.lit(False).alias("begins"), word.alias("unit"))
-        )
-        return F.array_distinct(F.concat(whole, *starts))
+        return F.array_distinct(F.concat(found, *starts))
 
     odds = F.log(((F.col("p") + 0.5) / (toxic + 1)) / ((F.col("q") + 0.5) / (other + 1)))
     best = (
-        texts.select("label", F.inline(let(words, units)))
-        .groupBy("begins", "unit")
+        texts.select("label", F.explode(let(words, units)).alias("unit"))
+        .groupBy("unit")
         .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
         .filter(F.col("p") >= MIN_TEXTS)
         .withColumn("odds", odds)
         .filter(F.col("odds") >= MIN_LOG_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.sqrt("p")), "begins", "unit")
+        .orderBy(F.desc(F.col("odds") * F.sqrt("p")), "unit")
         .limit(LEXICON_WORDS)
-        .select("begins", "unit", "odds")
+        .select("unit", "odds")
         .collect()
     )
     return Lexicon(
-        {row["unit"]: row["odds"] for row in best if not row["begins"]},
-        {row["unit"]: row["odds"] for row in best if row["begins"]},
+        {row["unit"]: row["odds"] for row in best if row["unit"][0] != "^"},
+        {row["unit"][1:]: row["odds"] for row in best if row["unit"][0] == "^"},
     )
 
 
 def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """Add a struct ``toxicity`` with ``FEATURES`` and ``SHARES``, all doubles."""
+    """Add a struct ``toxicity`` with ``FEATURES``, all doubles."""
 
     @F.pandas_udf(T.StructType([T.StructField(name, T.DoubleType()) for name in FEATURES]))
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kinds = Kinds(lexicon)
         for texts in batches:
-            yield pd.DataFrame([features(t, lexicon) for t in texts], columns=list(FEATURES))
-
-    whole = whole_text(text)
-    length = F.greatest(F.length(F.translate(whole, SPACE_CHARS, "")), F.lit(1))
-
-    def share(pattern: str) -> Column:
-        return (F.length(whole) - F.length(F.regexp_replace(whole, pattern, ""))) / length
+            yield pd.DataFrame(
+                [features(t, lexicon, kinds) for t in texts], columns=list(FEATURES), dtype=float
+            )
 
-    shares = {
-        "capitals": share(r"\p{Lu}+"),
-        "exclamations": share("[!?]+"),
-        "signs": share(r"[#*$%&|<>@^~]+"),
-        "digits": share("[0-9]+"),
-    }
-    counted = drop_columns(docs, *ADDED).withColumn("toxicity", count(whole))
-    return counted.withColumn(
-        "toxicity",
-        F.struct(
-            *[F.col("toxicity")[name].alias(name) for name in FEATURES],
-            *[shares[name].cast("double").alias(name) for name in SHARES],
-        ),
-    )
+    return drop_columns(docs, *ADDED).withColumn("toxicity", count(whole_text(text)))
 
 
 @dataclass
@@ -262,7 +260,7 @@ class Scorer:
 
 
 def _raw_scores(trees, featured: DataFrame) -> DataFrame:
-    flat = featured.select("*", *[F.col("toxicity")[n].alias(f"toxic_{n}") for n in FEATURES + SHARES])
+    flat = featured.select("*", *[F.col("toxicity")[n].alias(f"toxic_{n}") for n in FEATURES])
     found = trees.transform(flat)
     return found.select(
         *featured.columns, vector_to_array("probability")[1].alias("toxic_raw")
@@ -282,9 +280,9 @@ def fit(rows: DataFrame, seed: int = 42) -> Scorer:
     if len(counts) < 4:
         toxic = sum(n for (_, label), n in counts.items() if label == 1)
         return Scorer(constant=toxic / total if total else 0.0)
-    names = [f"toxic_{name}" for name in FEATURES + SHARES]
+    names = [f"toxic_{name}" for name in FEATURES]
     flat = rows.select("label", "lot", "toxicity", *[
-        F.col("toxicity")[name].alias(f"toxic_{name}") for name in FEATURES + SHARES
+        F.col("toxicity")[name].alias(f"toxic_{name}") for name in FEATURES
     ])
     trees = Pipeline(
         stages=[
