@@ -20,6 +20,7 @@ empty file and index. Other columns are not stored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,12 +32,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from threadwise.llm.common import whole_text
+from threadwise.llm.common import kept_by_worker, whole_text
 
 BLOCK_IDS = 65_536
-LEVEL = 3
-# Chunks of text that one task remembers.
-REMEMBERED = 400_000
+LEVEL = 1
+# Chunks of text, and words, that one Python worker remembers.
+REMEMBERED = 500_000
 
 SEGMENT = "struct<row: long, doc_id: long, part: int, start: int, length: int>"
 BLOCK = (
@@ -75,11 +76,41 @@ def from_planes(planes: list[bytes], n_ids: int, plane_bits: int = 8) -> np.ndar
 # --- encoding ----------------------------------------------------------------------------------
 
 
+def _shown_bytes() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: visible ones as themselves, others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [byte for byte in range(0x100) if byte not in visible]
+    return {byte: chr(0x100 + place) for place, byte in enumerate(hidden)}
+
+
+SHOWN = _shown_bytes()
+# A word of Latin letters and what punctuation follows: two pre-tokens, whatever comes next. A single
+# line break between two such words is a pre-token, too. Apostrophes are left out, since the
+# pattern knows contractions.
+_WORD = r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)"
+PLAIN = re.compile(rf"{_WORD}(?:\n(?=\S){_WORD})?")
+
+
+class Remembered(dict):
+    """Values by key, computed when a key is first asked for; a bounded number is kept."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = value = self.compute(key)
+        return value
+
+
 class Encoder:
     """Ids of whole texts as bytes, by chunks cut where the tokenizer always cuts.
 
     Its pattern starts a new pre-token at every space that a visible character follows, so the text
-    from one such space to the next is encoded on its own, and remembered.
+    from one such space to the next is encoded on its own, and remembered. Most chunks are a word
+    and punctuation, whose pre-tokens go straight to the tokenizer's model.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -89,24 +120,40 @@ class Encoder:
         self.special = [
             token.content for token in tokenizer.get_added_tokens_decoder().values()
         ]
-        self.chunks: dict[str, bytes] = {}
+        self.chunks = Remembered(self._encode_rest)
+        self.words = Remembered(self._encode_word)
         self.cut = re.compile(r" (?=\S)")
         self.uncut = re.compile(r" (?:\s|$)")
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids; special strings in a text are their special ids."""
         first, *rest = (self.cut.split if self.uncut.search(text) else _at_spaces)(text)
-        found = [self._encode_chunk(first)]
-        for chunk in rest:
-            ids = self.chunks.get(chunk)
-            if ids is None:
-                if len(self.chunks) >= REMEMBERED:
-                    self.chunks.clear()
-                ids = self.chunks[chunk] = self._encode_chunk(" " + chunk)
-            found.append(ids)
-        return b"".join(found)
+        return self._encode_chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
+
+    def _encode_rest(self, chunk: str) -> bytes:
+        """A chunk with the space before it."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[" " + chunk]
+        plain = PLAIN.fullmatch(chunk)
+        if not plain or not (plain[1] or plain[2]):
+            return self._encode_chunk(" " + chunk)
+        letters, signs, next_letters, next_signs = plain.groups()
+        found = [" " + letters, signs] if letters else [" " + signs]
+        if next_letters or next_signs:
+            found += ["\n", next_letters, next_signs]
+        return b"".join([self.words[word] for word in found if word])
+
+    def _encode_word(self, word: str) -> bytes:
+        """One pre-token, by the model alone."""
+        if word.isascii() and word != "\n":
+            shown = word.replace(" ", SHOWN[0x20])
+        else:
+            shown = word.encode().decode("latin-1").translate(SHOWN)
+        ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _encode_chunk(self, chunk: str) -> bytes:
+        """Any chunk, by the whole tokenizer where it holds a special string."""
         tokenizer = self.tokenizer
         if any(text in chunk for text in self.special):
             ids = tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -176,11 +223,11 @@ def write_ids(
     still many ranges.
     """
     stored = Tokenizer.from_file(tokenizer_path).to_str()
+    name = f"encoder_{zlib.crc32(stored.encode())}"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _blocks(
-            Encoder(Tokenizer.from_str(stored)), batches, end_id, block_ids, plane_bits
-        )
+        encoder = kept_by_worker(name, lambda: Encoder(Tokenizer.from_str(stored)))
+        yield from _blocks(encoder, batches, end_id, block_ids, plane_bits)
 
     whole = whole_text(text)
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
