@@ -42,6 +42,33 @@ def test_context(text, kinds):
     assert list(pii.find_spans(text)[1]) == kinds
 
 
+@pytest.mark.parametrize(
+    "before, account, after",
+    [
+        ("", "DE89 3704 0044 0532 0130 00", " I sent"),
+        ("", "DE89370400440532013000", " EUR 500"),
+        ("", "DE89 3704 0044 0532 0130 00", " BIC COBADEFF"),
+        ("", "GB29 NWBK 6016 1331 9268 19", " UK"),
+        ("to ", "de89 3704 0044 0532 0130 00", " 12 34"),
+        ("to ", "gb29nwbk60161331926819", "."),
+        ("AT61 ", "DE89 3704 0044 0532 0130 00", " 7"),
+    ],
+)
+def test_accounts_end_at_their_length(before, account, after):
+    text = before + account + after
+    assert pii.find_spans(text)[1].get("iban") == [(len(before), len(before + account))]
+    assert pii.mask(text) == f"{before}[IBAN]{after}"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["DE89370400440532013000EUR", "XDE89370400440532013000", "DE89  3704 0044 0532 0130 00",
+     "DE89 3704 0044 0532 0130", "XX89 3704 0044 0532 0130 00"],
+)
+def test_no_accounts(text):
+    assert "iban" not in pii.find_spans(text)[1]
+
+
 def test_query_columns(awkward):
     for row in pii.with_pii(awkward).collect():
         base = brute.base_spans(row.text or "")

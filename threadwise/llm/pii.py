@@ -80,8 +80,7 @@ IBAN_LENGTHS = {
 
 
 def _is_iban(match: re.Match) -> bool:
-    account = match.group().replace(" ", "").upper()
-    return IBAN_LENGTHS.get(account[:2]) == len(account) and mod97(account)
+    return mod97(match["span"].replace(" ", "").upper())
 
 
 def _is_short_card(match: re.Match) -> bool:
@@ -106,6 +105,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Exactly as many characters as the country registered. The match itself is empty, so that an
+# account is also found behind a start that turned out to be none.
+_IBAN = re.compile(
+    r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?=(?P<span>(?:"
+    + "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items())
+    + r")(?![A-Z0-9])))",
+    re.ASCII | re.IGNORECASE,
+)
 
 
 def emails(text: str) -> list[Span]:
@@ -141,7 +148,10 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 @dataclass(frozen=True)
 class Kind:
-    """A further kind of span: kept from ``THRESHOLD`` on, context words included."""
+    """A further kind of span: kept from ``THRESHOLD`` on, context words included.
+
+    The span is the pattern's group of that name, or the whole match.
+    """
 
     name: str
     pattern: re.Pattern
@@ -198,8 +208,7 @@ EXTRA_KINDS = (
     ),
     Kind(
         "iban",
-        re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{1,4}){3,8}(?![A-Za-z0-9])"),
-        _is_iban, 0.9, _ACCOUNTS, _NUMBERING,
+        _IBAN, _is_iban, 0.9, _ACCOUNTS, _NUMBERING,
     ),
     Kind(
         "ssn",
@@ -243,7 +252,7 @@ def find_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]
     added: dict[str, list[Span]] = {}
     for kind in EXTRA_KINDS:
         for match in kind.pattern.finditer(text):
-            start, end = match.span()
+            start, end = match.span("span" if "span" in kind.pattern.groupindex else 0)
             if overlaps(taken, start, end) or not kind.valid(match):
                 continue
             if context_score(text, start, end, kind) >= THRESHOLD:
