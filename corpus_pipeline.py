@@ -2,11 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
 next stage's documents. All but the last return the columns of ``documents``. A stage's decisions
-take effect: rejected documents and near copies go, personal data is masked, the mix drops or
+take effect: rejected documents, frequent lines and near copies go, personal data is masked, the mix drops or
 repeats documents, and the last stage returns the ids a model is trained on.
 
-Texts of kept documents stay whole in the quality stage: its line removal decides which documents
-are depleted. Nulls, empty texts, empty tables and extra columns behave as each operator documents.
+The quality stage takes frequent lines out of the texts it keeps, so later stages never see them.
+Nulls, empty texts, empty tables and extra columns behave as each operator documents.
 """
 
 from __future__ import annotations

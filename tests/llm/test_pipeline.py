@@ -1,6 +1,6 @@
 """The pipeline against plain functions, and every stage over awkward documents."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import brute
@@ -53,3 +53,53 @@ def test_stages_keep_the_columns(spark, clashing, nothing, tmp_path):
             result.write.mode("overwrite").parquet(str(tmp_path / name))
             docs = spark.read.parquet(str(tmp_path / name))
         assert "ids" in docs.columns
+
+
+def without_frequent_lines(rows):
+    """(doc id, text, n_chars) of the documents kept, by plain counts of their lines."""
+    def keys(text):
+        return [brute.line_key(line) for line in text.split("\n") if brute.words(line)]
+
+    held, documents = defaultdict(set), defaultdict(set)
+    for row in rows:
+        for key in keys(row.text):
+            held[row.source, key].add(min(keys(row.text)))
+            documents[row.source].add(min(keys(row.text)))
+
+    def frequent(source, line):
+        n = len(held[source, brute.line_key(line)]) if brute.words(line) else 0
+        limit = line_quality.MAX_SHARE * len(documents[source])
+        return n > line_quality.MIN_DOCUMENTS and n > limit
+
+    found = brute.verdicts(
+        [(r.source, r.text) for r in rows], line_quality.MIN_DOCUMENTS, line_quality.MAX_SHARE
+    )
+    result = Counter()
+    for row, (_, gone, kept) in zip(rows, found):
+        clean = "\n".join(s for s in row.text.split("\n") if not frequent(row.source, s))
+        if kept:
+            result[row.doc_id, clean, len(clean) if gone else row.n_chars] += 1
+    return result
+
+
+def test_frequent_lines_do_not_go_on(spark):
+    def prose(name, start, count):
+        """Words of letters only: digits don't tell lines apart."""
+        places = range(start, start + count)
+        return " ".join(f"{name}{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}" for n in places)
+
+    rows = []
+    for i in range(80):
+        first = prose("a", 7 * i, 40 if i % 4 else 4)
+        second = prose("b", 7 * i, 30 if i % 4 else 3)
+        text = f"{first}\n\nShared  Line {i % 10}\n{second}\n{prose('c', 0, 60)}\n{i}"
+        rows.append((i, text, "en", "h", 7))
+    rows.append((99, prose("d", 0, 80), "en", "other", 7))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    want = without_frequent_lines(docs.collect())
+    assert len(want) == 61 and not any("Shared" in text for _, text, _ in want)
+    assert all("\n\n" in text for doc_id, text, _ in want if doc_id < 80)
+    found = corpus_pipeline.quality_rules(spark, docs, "")
+    assert found.columns == docs.columns
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in found.collect()) == want
