@@ -36,6 +36,31 @@ def test_structure(source, want):
     assert text(source) == want
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<div class='layout has-sidebar'><p>x</p></div>", "x"),
+        ("<div class='page no-sidebar'><p>x</p></div>", "x"),
+        ("<div class='wrap nav-open'><article><p>x</p></article></div>", "x"),
+        ("<div class='page-with-menu'><main><p>x</p></main></div>", "x"),
+        ("<div class='sidebar-right'><i>m</i><main><p>x</p></main>y</div>", "x"),
+        ("<section id='nav'><div>m</div><article><p>x</p></article></section>", "x"),
+        ("<main><div class='sidebar-left'><b>m</b><article>x</article></div></main>", "x"),
+        ("<article class='post comments-open'><p>x</p></article>", "x"),
+        ("<main class='has-comments'><p>x</p></main>", "x"),
+        # What the class names is left out as before.
+        ("<article class='comment-body'><p>c</p></article><p>x</p>", "x"),
+        ("<p>x</p><div id=comments><article><p>c</p></article></div>", "x"),
+        ("<article><p>x</p></article><div class='sidebar'><article>teaser</article></div>", "x"),
+        ("<main><p>x</p></main><div class='sidebar'><article>teaser</article></div>", "x"),
+        ("<article><p>x</p><div class='menu'><article>other</article></div></article>", "x"),
+        ("<p>x</p><div class='sidebar'><p>s</p></div><div class='nav-bar'>n</div>", "x"),
+    ],
+)
+def test_classes_of_wrappers(source, want):
+    assert text(source) == want
+
+
 def test_deep_and_long_pages():
     assert text("<div>" * 3000 + "x") == "x"
     assert text("<article>" + "<p>ab</p>" * 5000 + "</article>") == "\n".join(["ab"] * 5000)

@@ -76,6 +76,14 @@ NO_ARTICLE = re.compile(
     r"|respond|repl(?:y|ies)|skip|hidden|sr-only|visually-hidden)(?:$|[\s_-]|\d)"
 )
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-]|\d)")
+COMMENT = re.compile(r"(?:^|[\s_-])comment(?:s|list|body|text)?(?:$|[\s_-]|\d)")
+# Classes that say what a page or wrapper has or how it stands, not what the element is.
+MODIFIER = re.compile(
+    r"(?:^|[_-])(?:has|have|no|not|with|without|show|hide)[_-]|^(?:category|tag)-"
+    r"|[_-](?:open|opened|closed|collapsed|expanded|active|visible|enabled|disabled)$"
+)
+# Boxes of other pages' articles and of comments: an article inside is not the page's.
+OTHERS = re.compile(r"comment|disqus|respond|repl(?:y|ies)|related|recommend|promo|sponsor|advert|widget")
 
 # --- one page ----------------------------------------------------------------------------------
 
@@ -99,7 +107,23 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
+def named_by(pattern: re.Pattern, named: str) -> bool:
+    """Whether a class or id that is no modifier matches."""
+    return bool(pattern.search(named)) and any(
+        pattern.search(token) and not MODIFIER.search(token) for token in named.split()
+    )
+
+
+def named(given: dict[str, str]) -> str:
+    return f"{given.get('class', '')} {given.get('id', '')}".lower()
+
+
 def is_no_article(name: str, given: dict[str, str], in_article: bool) -> bool:
+    return is_by_kind(name, given, in_article) or is_by_name(name, given, in_article)
+
+
+def is_by_kind(name: str, given: dict[str, str], in_article: bool) -> bool:
+    """The element's tag, role or style tells that it is no article."""
     if name in DROPPED or (name == "header" and not in_article):
         return True
     if name in ("html", "body"):
@@ -111,27 +135,37 @@ def is_no_article(name: str, given: dict[str, str], in_article: bool) -> bool:
             return True
         if NO_ARTICLE_ROLES & set(given.get("role", "").lower().split()):
             return True
-        named = f"{given.get('class', '')} {given.get('id', '')}".lower()
-        if named != " ":
-            if name == "main" or (name == "article" and not in_article):
-                return "comment" in named
-            if NO_ARTICLE.search(named) or (not in_article and HEADER.search(named)):
-                return True
     return False
 
 
+def is_by_name(name: str, given: dict[str, str], in_article: bool) -> bool:
+    """The element's class or id tells that it is no article."""
+    if name in ("html", "body") or not (given.get("class") or given.get("id")):
+        return False
+    if name == "main" or (name == "article" and not in_article):
+        return named_by(COMMENT, named(given))
+    return named_by(NO_ARTICLE, named(given)) or (
+        not in_article and named_by(HEADER, named(given))
+    )
+
+
 class Element:
-    """An open element: where its events and blocks start, and whether its text counts."""
+    """An open element: where its events and blocks start, and whether its text counts.
+
+    ``wrapper`` is the class and id of an element that was dropped for nothing else, and ``saved``
+    whether it lies in an article found inside of such an element.
+    """
 
-    __slots__ = ("name", "event", "block", "dropped", "article", "linked")
+    __slots__ = ("name", "event", "block", "dropped", "article", "linked", "wrapper", "saved")
 
-    def __init__(self, name, event, block, dropped, article, linked):
+    def __init__(self, name, event, block, dropped, article, linked, wrapper="", saved=False):
         self.name, self.event, self.block = name, event, block
         self.dropped, self.article, self.linked = dropped, article, linked
+        self.wrapper, self.saved = wrapper, saved
 
 
 class Page:
-    """Reads a page into blocks: [text, article number or -1, all in links, subtree hashes]."""
+    """Reads a page into blocks: [text, article number or -1, all in links, subtree hashes, saved]."""
 
     def __init__(self, source: str):
         self.blocks: list[list] = []
@@ -139,7 +173,7 @@ class Page:
         self.pending: list[str] = []
         self.pending_links = self.pending_plain = 0
         self.articles = 0
-        self.mains = 0
+        self.open_articles = 0
         self.stack = [Element("", 0, 0, False, -1, False)]
         self._read(source)
 
@@ -181,7 +215,7 @@ class Page:
             text = " ".join("".join(self.pending).split())
             if text:
                 only_links = self.pending_links > 0 and not self.pending_plain
-                self.blocks.append([text, self.stack[-1].article, only_links, []])
+                self.blocks.append([text, self.stack[-1].article, only_links, [], self.stack[-1].saved])
                 self.events.append(text)
             self.pending = []
             self.pending_links = self.pending_plain = 0
@@ -198,12 +232,22 @@ class Page:
         top = self.stack[-1]
         dropped = top.dropped
         values = attributes(given) if given.strip(" /\n\t\r") else {}
-        # A page may be wrapped in a form or leave its menu open: its main part is still found.
-        if dropped and name in ("main", "article") and self._only_wrapped():
+        saved = top.saved
+        # A page may be wrapped in a form, leave its menu open or stand in a box whose class only
+        # sounds like a menu: its main part is still found.
+        if dropped and name in ("main", "article") and self._only_wrapped(name):
             dropped = False
+            # Articles in such a box may be another page's: they count if there are no others.
+            saved = name == "article" and any(element.wrapper for element in self.stack)
         article = top.article
-        dropped = dropped or name in RAW or is_no_article(name, values, article >= 0)
-        if not dropped and article < 0 and (
+        by_name = False
+        if not dropped:
+            by_kind = name in RAW or is_by_kind(name, values, article >= 0)
+            by_name = not by_kind and is_by_name(name, values, article >= 0)
+            dropped = by_kind or by_name
+        if not dropped and not saved:
+            self.open_articles += name == "article"
+        if not dropped and article < 0 and not saved and (
             name in ("article", "main") or "main" in values.get("role", "").split()
         ):
             self.articles += 1
@@ -211,16 +255,31 @@ class Page:
         self.events.append("<" + name)
         self.stack.append(
             Element(
-                name, len(self.events), len(self.blocks), dropped, article, top.linked or name == "a"
+                name, len(self.events), len(self.blocks), dropped, article,
+                top.linked or name == "a", named(values) if by_name else "", saved,
             )
-        )
+        )
 
-    def _only_wrapped(self) -> bool:
+    def _only_wrapped(self, name: str) -> bool:
+        if any(element.name == "article" and not element.dropped for element in self.stack):
+            # Boxes in an article are no wrappers of the page.
+            return self._only_elements()
         return all(
             element.name in ("form", "header", "nav")
+            or (element.wrapper and (name == "main" or not OTHERS.search(element.wrapper)))
+            for element in self._drops()
+        )
+
+    def _only_elements(self) -> bool:
+        return all(element.name in ("form", "header", "nav") for element in self._drops())
+
+    def _drops(self) -> list[Element]:
+        """The open elements that began a drop."""
+        return [
+            element
             for before, element in zip(self.stack, self.stack[1:])
             if element.dropped and not before.dropped
-        )
+        ]
 
     def _close_open(self, names: set[str]) -> None:
         """Close an open element of these names, unless a scope lies in between."""
@@ -264,17 +323,22 @@ class Page:
 
     def main_blocks(self) -> list[tuple[str, list[int]]]:
         """The article's blocks; without one, all blocks that are not links alone."""
+        blocks = [
+            block[:4]
+            for block in self.blocks
+            if not (block[4] and (self.open_articles or (block[1] < 0 and self.articles)))
+        ]
         if not self.articles:
-            return [(text, nodes) for text, _, links, nodes in self.blocks if not links]
+            return [(text, nodes) for text, _, links, nodes in blocks if not links]
         sizes: dict[int, int] = {}
-        for text, article, _, _ in self.blocks:
+        for text, article, _, _ in blocks:
             if article >= 0:
                 sizes[article] = sizes.get(article, 0) + len(text)
         # Teasers of other articles are articles, too, but short ones.
         enough = max(sizes.values(), default=0) / 4
         return [
             (text, nodes)
-            for text, article, _, nodes in self.blocks
+            for text, article, _, nodes in blocks
             if article >= 0 and sizes[article] >= enough
         ]
 
