@@ -61,6 +61,11 @@ def test_classes_of_wrappers(source, want):
     assert text(source) == want
 
 
+def test_blocks_of_links_stay_without_an_article():
+    source = "<h1><a href='/t'>Title</a></h1><p>one</p><p><a href='/s'>Source</a></p><nav><a>m</a></nav>"
+    assert text(source) == "Title\none\nSource"
+
+
 def test_deep_and_long_pages():
     assert text("<div>" * 3000 + "x") == "x"
     assert text("<article>" + "<p>ab</p>" * 5000 + "</article>") == "\n".join(["ab"] * 5000)

@@ -156,25 +156,23 @@ class Element:
     whether it lies in an article found inside of such an element.
     """
 
-    __slots__ = ("name", "event", "block", "dropped", "article", "linked", "wrapper", "saved")
+    __slots__ = ("name", "event", "block", "dropped", "article", "wrapper", "saved")
 
-    def __init__(self, name, event, block, dropped, article, linked, wrapper="", saved=False):
+    def __init__(self, name, event, block, dropped, article, wrapper="", saved=False):
         self.name, self.event, self.block = name, event, block
-        self.dropped, self.article, self.linked = dropped, article, linked
-        self.wrapper, self.saved = wrapper, saved
+        self.dropped, self.article, self.wrapper, self.saved = dropped, article, wrapper, saved
 
 
 class Page:
-    """Reads a page into blocks: [text, article number or -1, all in links, subtree hashes, saved]."""
+    """Reads a page into blocks: [text, article number or -1, subtree hashes, saved]."""
 
     def __init__(self, source: str):
         self.blocks: list[list] = []
         self.events: list[str] = []
         self.pending: list[str] = []
-        self.pending_links = self.pending_plain = 0
         self.articles = 0
         self.open_articles = 0
-        self.stack = [Element("", 0, 0, False, -1, False)]
+        self.stack = [Element("", 0, 0, False, -1)]
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -203,22 +201,15 @@ class Page:
     def _text(self, text: str) -> None:
         top = self.stack[-1]
         if text and not top.dropped:
-            text = html.unescape(text) if "&" in text else text
-            self.pending.append(text)
-            if top.linked:
-                self.pending_links += len(text.strip())
-            else:
-                self.pending_plain += len(text.strip())
+            self.pending.append(html.unescape(text) if "&" in text else text)
 
     def _flush(self) -> None:
         if self.pending:
             text = " ".join("".join(self.pending).split())
             if text:
-                only_links = self.pending_links > 0 and not self.pending_plain
-                self.blocks.append([text, self.stack[-1].article, only_links, [], self.stack[-1].saved])
+                self.blocks.append([text, self.stack[-1].article, [], self.stack[-1].saved])
                 self.events.append(text)
             self.pending = []
-            self.pending_links = self.pending_plain = 0
 
     def _start(self, name: str, given: str) -> None:
         if name in BLOCKS:
@@ -256,7 +247,7 @@ class Page:
         self.stack.append(
             Element(
                 name, len(self.events), len(self.blocks), dropped, article,
-                top.linked or name == "a", named(values) if by_name else "", saved,
+                named(values) if by_name else "", saved,
             )
         )
 
@@ -319,26 +310,26 @@ class Page:
         subtree = "\x1f".join([element.name, *self.events[element.event :]])
         number = xxhash.xxh64_intdigest(subtree) - (1 << 63)
         for block in self.blocks[element.block :]:
-            block[3].append(number)
+            block[2].append(number)
 
     def main_blocks(self) -> list[tuple[str, list[int]]]:
-        """The article's blocks; without one, all blocks that are not links alone."""
+        """The article's blocks; without one, all blocks."""
         blocks = [
-            block[:4]
+            block[:3]
             for block in self.blocks
-            if not (block[4] and (self.open_articles or (block[1] < 0 and self.articles)))
+            if not (block[3] and (self.open_articles or (block[1] < 0 and self.articles)))
         ]
         if not self.articles:
-            return [(text, nodes) for text, _, links, nodes in blocks if not links]
+            return [(text, nodes) for text, _, nodes in blocks]
         sizes: dict[int, int] = {}
-        for text, article, _, _ in blocks:
+        for text, article, _ in blocks:
             if article >= 0:
                 sizes[article] = sizes.get(article, 0) + len(text)
         # Teasers of other articles are articles, too, but short ones.
         enough = max(sizes.values(), default=0) / 4
         return [
             (text, nodes)
-            for text, article, _, nodes in blocks
+            for text, article, nodes in blocks
             if article >= 0 and sizes[article] >= enough
         ]
 
