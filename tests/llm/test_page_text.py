@@ -90,6 +90,20 @@ def test_templates(spark):
     assert found[100].text == "Welcome to the site"
 
 
+def test_limit_grows_slower_than_the_host(spark):
+    def box(i):
+        return "<div>Buy now</div>" * (i < 76) + "<div>Rare box</div>" * (i < 19)
+
+    rows = [
+        (i, f"https://h.example/{i}", f"<article><p>own {i}</p>{box(i)}</article>", None)
+        for i in range(400)
+    ]
+    found = {r.page_id: r.text for r in page_text.with_text(pages(spark, rows)).collect()}
+    # On 76 of 400 pages, 19 %; and on 19, less than the square root of 400.
+    assert found[50] == "own 50"
+    assert found[3] == "own 3\nRare box"
+
+
 def test_article_passages_stay_but_boxes_go(spark):
     rows = [
         (i, "https://h.example/x",

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from threadwise.llm.common import drop_columns
 from threadwise.session import cut_lineage
 
-# A subtree is template from this many differing pages of a host on, and this share of them.
+# A subtree is template from this many differing pages of a host on. Where that many are less than
+# this share of the host's pages, the limit grows with the square root of the pages.
 MIN_PAGES = 5
 MIN_SHARE = 0.2
 
@@ -387,7 +388,7 @@ def templates(
     )
     return (
         found.join(pages, "page_host")
-        .filter(F.col("found") >= min_share * F.col("pages"))
+        .filter(F.col("found") * F.col("found") >= min_pages * min_share * F.col("pages"))
         .select("page_host", "node")
     )
 
