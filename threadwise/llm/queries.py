@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from threadwise.llm import (
     bitplanes,
     line_quality,
+    merkle,
     mixing,
     onebit_search,
     page_text,
@@ -98,6 +99,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.drop("text")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof, and whether its row still folds up to the root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return merkle.with_proofs(docs, tampered="crc32(CAST(doc_id AS STRING)) % 3 = 0")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -111,5 +118,6 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_simhash,
         op10_token_counts,
+        op12_merkle,
     )
 }
