@@ -176,9 +176,41 @@ LEFT JOIN proofs p ON p.r = l.r
 JOIN folded f ON f.r = l.r AND f.step = coalesce(p.last, 0)
 """
 
+OP13_HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10
+              ELSE CAST(label AS BIGINT) END AS label,
+         list_transform(embedding,
+                        lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, c.r AS c, c.vec_id, a.label = c.label AS same,
+         CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1),
+                                               lambda i: a.v[i] * c.v[i])), 0) AS BIGINT) AS score
+  FROM usable a JOIN usable c ON a.r <> c.r AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT a, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, c) AS place
+  FROM pairs WHERE same),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, n.vec_id AS negative_id,
+         n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.a, p.place
+                                 ORDER BY n.score DESC, n.vec_id NULLS LAST, n.c) AS INTEGER) AS rank
+  FROM positives p JOIN pairs n ON p.a = n.a AND NOT n.same
+    AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+  WHERE p.place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5
+"""
+
 SQL = {
     "op3_line_quality": OP3_LINE_QUALITY,
     "op5_mixing": OP5_MIXING,
     "op6_onebit_search": OP6_ONEBIT_SEARCH,
     "op12_merkle": OP12_MERKLE,
+    "op13_hard_negatives": OP13_HARD_NEGATIVES,
 }

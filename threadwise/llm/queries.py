@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadwise.llm import (
     bitplanes,
+    hard_negatives,
     line_quality,
     merkle,
     mixing,
@@ -105,6 +106,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_proofs(docs, tampered="crc32(CAST(doc_id AS STRING)) % 3 = 0")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every positive of the vectors whose id is divisible by 100."""
+    label = "IF(vec_id % 7 = 0, (CAST(label AS LONG) + 1) % 10, CAST(label AS LONG)) AS label"
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "embedding", label)
+    return hard_negatives.mined(hard_negatives.quantised(vectors), "vec_id % 100 = 0")
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -119,5 +127,6 @@ QUERIES: dict[str, Query] = {
         op9_simhash,
         op10_token_counts,
         op12_merkle,
+        op13_hard_negatives,
     )
 }
