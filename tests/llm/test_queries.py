@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_toxicity": "doc_id held_out score predicted",
     "op9_simhash": "doc_id fingerprint component_id",
     "op10_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op11_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
+    "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
@@ -38,4 +41,4 @@ def test_columns(spark, name):
 
 
 def test_one_query_per_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from threadwise.llm.license_templates import PHRASE_WEIGHT, PHRASES, TEMPLATES
+
 OP5_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source,
@@ -207,10 +211,67 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 FROM ranked WHERE rank <= 5
 """
 
+
+def _template_pattern(markup: str) -> str:
+    """A template as a regular expression over lower-case words, each with a space behind it."""
+    parts = []
+    for token in re.findall(r"<<[^>]*>>|[0-9A-Za-z]+(?:\|[0-9A-Za-z]+)*", markup):
+        if token.startswith("<<begin"):
+            parts.append("(?:")
+        elif token.startswith("<<end"):
+            parts.append(")?")
+        elif token.startswith("<<var"):
+            low, high = re.findall(r"[0-9]+", token)[-2:]
+            parts.append(f"(?:[^ ]+ ){{{low},{high}}}")
+        else:
+            parts.append(f"(?:{token.lower()}) " if "|" in token else token.lower() + " ")
+    return " " + "".join(parts)
+
+
+_ACCEPTED = ",\n    ".join(
+    f"CASE WHEN regexp_matches(line, '{_template_pattern(markup)}') "
+    f"THEN {{'label': '{label}', 'weight': {weight}::DOUBLE}} END"
+    for label, weight, markup in TEMPLATES
+)
+_PLACES = ",\n    ".join(
+    f"list_transform(list_filter(range(1, len(words) + 1), "
+    f"lambda i: words[i:i + {len(phrase.split()) - 1}] = {phrase.split()!r}), "
+    f"lambda i: {{'label': '{label}', 'word': i - 1}})"
+    for phrase, label in PHRASES
+)
+OP11_LICENSE_SCAN = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+lines AS (SELECT *, ' ' || array_to_string(words, ' ') || ' ' AS line FROM split),
+found AS (
+  SELECT doc_id, words, flatten([
+    {_PLACES}]) AS base,
+    list_filter([
+    {_ACCEPTED}], lambda x: x IS NOT NULL) AS accepted
+  FROM lines),
+labelled AS (
+  SELECT doc_id, len(words) AS n_words, base, accepted,
+         list_transform(base, lambda x: x.label) AS base_list,
+         list_transform(accepted, lambda x: x.label) AS own_list
+  FROM found)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(base) AS BIGINT) AS n_base,
+       CAST(list_min(list_transform(base, lambda x: x.word)) AS BIGINT) AS first_word,
+       CAST(list_max(list_transform(base, lambda x: x.word)) AS BIGINT) AS last_word,
+       array_to_string(list_sort(list_distinct(base_list)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base_list, own_list))), ',') AS labels,
+       greatest(coalesce(list_max(list_transform(accepted, lambda x: x.weight)), 0),
+                CASE WHEN len(base) > 0 THEN {PHRASE_WEIGHT} ELSE 0 END)::DOUBLE AS score
+FROM labelled
+"""
+
 SQL = {
     "op3_line_quality": OP3_LINE_QUALITY,
     "op5_mixing": OP5_MIXING,
     "op6_onebit_search": OP6_ONEBIT_SEARCH,
+    "op11_license_scan": OP11_LICENSE_SCAN,
     "op12_merkle": OP12_MERKLE,
     "op13_hard_negatives": OP13_HARD_NEGATIVES,
 }

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from threadwise.llm import (
     bitplanes,
     hard_negatives,
+    license_scan,
     line_quality,
     merkle,
     mixing,
@@ -100,6 +101,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.drop("text")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence phrases and accepted licence templates of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.with_licenses(docs).drop("text", "matches")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, roots and proof, and whether its row still folds up to the root."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -126,6 +133,7 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_simhash,
         op10_token_counts,
+        op11_license_scan,
         op12_merkle,
         op13_hard_negatives,
     )
