@@ -24,15 +24,15 @@ KNOWN_REPLIES = {
     "dark_theme": "The dark look is one of two pictures in Settings > Display & Brightness.\nWith Automatic the phone follows sunset and sunrise.",
     "update_system": "A new release takes a while, so let the phone rest on its charger within reach of Wi-Fi.\nSettings > General > Software Update offers it; pick Download and Install.",
     "recover_password": "The quickest way is a device on which you are still signed in: Settings, your name, Sign-In & Security, Change Password.\nIf there is none, iforgot.apple.com begins the recovery, and our support can assist on the way.",
-    "recover_account": "Being locked out is annoying, sorry.\nRecovery gives the account a new password once you have shown that it is yours; support can guide you if a step fails.",
+    "recover_account": "We appreciate how much hangs on this.\nThe wait built into recovery can take days and nobody can shorten it, so begin it before anything else and keep one old phone signed in meanwhile. Support can tell you the day it ends.",
     "account_compromised": "That is alarming, and we are sorry.\nA stranger using your account is a case for our security people: contact them through support, and start the recovery now to lock the stranger out.",
     "boot_loop": "A start that never ends is no fun, sorry.\nTell support which model you hold and which version it ran, and they will take it from there.",
     "dead_after_update": "Sorry, a dark display straight after an update should not be.\nTell support the model, the version and what happened right before.",
-    "physical_damage": "Sorry to hear about the damage.\nMind sharp edges, and let support or an approved workshop look at it.",
+    "physical_damage": "A repair is priced before any work begins, and a plan that covers accidents lowers the price.\nWe understand the worry about the pictures on it: save a copy of them, then book a bench visit through support.",
     "no_power": "Sorry, that sounds frustrating.\nLet support know the model and whether anything shows while it is on power.",
     "no_charge": "Often the cable is worn or there is dust in the port.\nSwap the cable, clean the port and use another charger; support can look at the battery if nothing changes.",
     "overheating": "Take the phone out of its case and into the shade, and let it rest.\nA phone that is hot without any work to do is one for our support.",
-    "restarting": "Sorry that the phone will not stay on.\nAn update can cure this: check that there is room, install it, restart once and leave accessories off. Support can read the logs if it comes back.",
+    "restarting": "Does it restart at any hour, or only with one program open?\nThank you for noting it down for a day: one program alone is cured by its own update from the store, and anything else the team will check in the logs.",
     "double_charge": "Sorry, nobody should pay twice.\nOnly billing can see your account and compare each charge with its transaction, so support will pass this on to them.",
     "unrecognised_charge": "Sorry, a charge you do not recognize is unsettling.\nSend its details to support; billing will trace the transaction without your having to do more.",
     "cancel_subscription": "Every running subscription has a cancel button on its own page.\nIs it missing, or is the plan still there tomorrow? Then support will end it for you.",
@@ -43,14 +43,14 @@ TEMPLATE_REPLIES = {
     "device_hardware_issue": KNOWN_REPLIES["no_power"],
     "device_storage_issue": KNOWN_REPLIES["storage_intent"],
     "device_how_to": "Gladly! What exactly would you like the phone to do?",
-    "software_update_issue": "Sorry that the update went badly.\nA restart and some free room cure most of it; check both, and support can take over if they do not.",
-    "account_appleid_issue": "Sorry that you are locked out.\nRecovery gives the account a new password, and support can verify that it is yours if recovery gets stuck.",
-    "payment_billing_issue": "Sorry about this charge.\nThe receipt shows what it was for: check it, and send its details to support if billing should look.",
-    "card_atm_issue": "Sorry that the card is refused.\nPlease check its details and limits; should the next transaction fail as well, support can look up the reason.",
-    "subscription_services": "Sorry about the bother with this subscription.\nThe account page in Settings is where you manage and cancel each of them; support can step in if one will not end.",
-    "app_store_issue": "Sorry that the store will not play along.\nSign out, restart, sign in and try the download again; support can look into what remains.",
-    "order_shipping_issue": "Sorry that the parcel keeps you waiting.\nThe details in the confirmation lead to its tracking page; check there first, and support can ask the carrier if nothing moves.",
-    "other_general": "Thank you for reaching support.\nA few more details would show us where to begin.",
+    "software_update_issue": "Two questions to narrow it down, and thank you for your patience.\nWhich release was the update, and does the trouble survive a restart? The team will check what others on that release report.",
+    "account_appleid_issue": "We appreciate that this is urgent.\nWrite back which of the two is gone, the password or the number that receives the codes: each has its own way in, and the team will name it.",
+    "payment_billing_issue": "Thank you for raising this.\nReply with the day and the amount of the charge, but without card numbers. With those details billing can check the entry, and one of the team will write to you.",
+    "card_atm_issue": "Cards are blocked by the bank that issued them, so the number on the back is the one to call first.\nWe understand how awkward that is at a till: share the time of the refused transaction, and the team will check whether the block came from us.",
+    "subscription_services": "Which plan is it about? We appreciate its exact name, since trials and bundles end differently.\nAll of them stand under your account in Settings with the day of the next renewal, and the team can undo a subscription begun by mistake.",
+    "app_store_issue": "Thank you for telling us. Does one title fail, or every download?\nA single one is usually withdrawn or too new for the phone; if all of them hang, a restart clears the queue. Support reads along here.",
+    "order_shipping_issue": "Parcels change hands twice on the way, and the page often lags a day behind.\nWe understand the wait is hard: send the order number and the details of the address, and the team will check with the depot where it lies.",
+    "other_general": "Hello, and thank you for writing.\nIs it about a device, a payment or an order? One sentence on what happened is enough for the team to pick it up.",
 }
 DAMAGE_REPLY = KNOWN_REPLIES["physical_damage"]
 GENERATION_ERROR_REPLY = "Sorry, something went wrong on our side. Send us a DM and the team will answer."
@@ -119,51 +119,40 @@ CASE_CUT_MARK = " shortened"
 JUDGE_CASE_BLOCK = """<case rank="{rank}"><answer>{answer}</answer><question>{question}</question></case>"""
 CASE_SEPARATOR = "\n"
 
-INTENT_PROMPT = """Label one customer-support message.
-
-Answer with one JSON object and nothing else:
-- "intent": the best label from the list
-- "intents": every fitting label, best first
-- "confidence": a number from 0.0 to 1.0
-- "reasoning": one short sentence
-
-Labels:
+INTENT_PROMPT = """You sort the inbox of a support desk. These are its pigeonholes and what goes into each:
 {taxonomy}
 
-When in doubt pick the closest label and lower the confidence. Fraud, security and takeover
-signals belong to the account or payment labels.
+Return a JSON object of four fields. "intent" is the pigeonhole of the colleague who should open the
+message first. "intents" is an array of the pigeonholes of everybody who will have work with it, in
+the order of that work. "confidence" is a fraction: of many colleagues, how many would have sorted
+the message as you did? "reasoning" quotes the words that decided.
 
-Customer message:
+The next message reads:
 {message}"""
 
-REPLY_PROMPT = """Draft a short support reply of two to four sentences.
-
-Use only the past cases below. Invent no policy, refund, date or procedure. Prefer the specific
-step a past reply gave over asking for a private message. If the cases do not cover the issue,
-say so kindly and ask for more detail.
-
-Past cases:
-{evidence}
-
-Customer message:
+REPLY_PROMPT = """A customer wrote to us about {intent}:
 {message}
 
-Intent: {intent}
-
-Answer with the reply text only."""
+Solved cases that resemble it, nearest first:
+{evidence}
 
-GROUNDING_PROMPT = """Decide whether the reply is grounded in the past cases.
+Find the solved case that asks what the customer asks. Retell its answer in fresh words and in the
+same order, no longer than a text message. Where no case asks the same, ask for the one fact that
+would tell which of them applies. Every number, date, name and address you write down has to stand
+in a case or in the message. Your output goes to the customer unchanged."""
 
-It is grounded when at least one past reply supports every step it recommends; shared topic
-words alone do not count, and any unsupported step, link, policy or promise makes it false.
+GROUNDING_PROMPT = """Audit a reply against solved cases.
 
-Answer with JSON only: {{"grounded": true or false, "reason": "one sentence"}}
+The reply:
+{reply}
 
-Past cases:
+The solved cases:
 {evidence}
 
-Reply:
-{reply}"""
+Go through the reply and note each thing that it asks of the customer or announces. Tick it off if
+the answer of some case asks or announces the same. Report as JSON with two fields: "grounded" is
+true if nothing is left without a tick, false if something is; "reason" names the first thing
+without a tick, or else the case that covers the most."""
 
 JUDGE_PROMPT = """Score a support reply from 1 (worst) to 5 (best) on five dimensions:
 correctness, groundedness, helpfulness, tone, and hallucination (5 means nothing invented).
