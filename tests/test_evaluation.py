@@ -32,7 +32,9 @@ def test_prepare_from_csv(spark, tmp_path):
     assert (summary.conversations, summary.with_reply, summary.mean_turns) == (1, 1, 2.0)
     flat = tables.read_conversations(spark, str(tmp_path / "out/conversations")).first()
     assert flat.initial_query == 'my "app" does not install'
-    assert flat.full_dialogue.endswith("| Desk: try again, please & wait")
+    assert flat.dialogue_head.endswith("| Desk: try again, please & wait")
+    part = tables.read_dialogue_parts(spark, str(tmp_path / "out/dialogues")).first()
+    assert part.dialogue == flat.dialogue_head and flat.dialogue_chars == len(part.dialogue)
     nested = spark.read.json(str(tmp_path / "out/conversations_nested")).first()
     assert [t.turn_index for t in nested.turns] == [0, 1]
 

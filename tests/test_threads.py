@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadwise.operators import selection, threads
+from threadwise.sources import tables
 
 BRAND = "Desk"
 SCHEMA = (
@@ -52,12 +53,13 @@ def test_conversations(spark, sample):
     first = flat["1"]
     assert (first.num_turns, first.customer_id) == (3, "ann")
     assert first.initial_query == "help & hurry"
-    assert first.full_dialogue == (
+    assert first.dialogue_head == (
         "Customer: @Desk help &amp; hurry | Desk: try this | Customer: thanks"
     )
+    assert first.dialogue_chars == len(first.dialogue_head)
     assert first.first_support_reply == "try this" and first.has_support_reply
     assert flat["5"].num_turns == 1 and not flat["5"].has_support_reply
-    assert flat["8"].full_dialogue == "Customer: new text | Customer: first child"
+    assert flat["8"].dialogue_head == "Customer: new text | Customer: first child"
 
 
 def test_summary(spark, sample):
@@ -85,19 +87,67 @@ def test_long_paths_and_loops(spark):
     assert {r.head_id for r in found} == {"0"}
 
 
+TURNS = (
+    "root_tweet_id string, turn_index int, tweet_id string, author_id string, inbound boolean, "
+    "text string, created_at string"
+)
+
+
 def test_long_dialogues_lose_no_turn(spark):
     rows = [("r", i, str(i), "a", True, f"t{i}", "") for i in range(10)]
-    turns = spark.createDataFrame(
-        rows,
-        "root_tweet_id string, turn_index int, tweet_id string, author_id string, "
-        "inbound boolean, text string, created_at string",
+    turns = spark.createDataFrame(rows, TURNS)
+    parts = sorted(tuple(p) for p in threads.dialogue_parts(turns, BRAND, turns_per_part=4).collect())
+    assert [number for _, number, _ in parts] == [0, 1, 2]
+    whole = " | ".join(f"Customer: t{i}" for i in range(10))
+    assert " | ".join(text for *_, text in parts) == whole
+    nested = sorted(threads.turn_parts(turns, turns_per_part=4).collect(), key=lambda r: r.part)
+    assert [turn.turn_index for part in nested for turn in part.turns] == list(range(10))
+    (flat,) = threads.flat_conversations(turns, BRAND).collect()
+    assert (flat.dialogue_head, flat.dialogue_chars) == (whole, len(whole))
+
+
+def test_heads_are_cut_and_lengths_are_not(spark):
+    """Empty and null texts, one turn longer than a head, and more turns than a head may need."""
+    rows = [("long", 0, "l", "a", True, "x" * 5000, ""), ("long", 1, "m", "a", False, None, "")]
+    rows += [("many", i, f"n{i}", "a", False, "", "") for i in range(400)]
+    found = {r.root_tweet_id: r for r in threads.dialogue_heads(spark.createDataFrame(rows, TURNS), "").collect()}
+    assert found["long"].dialogue_head == ("Customer: " + "x" * 5000)[:1000]
+    assert found["long"].dialogue_chars == 5010 + 3 + 2
+    assert found["many"].dialogue_head == (" | ".join([": "] * 400))[:1000]
+    assert found["many"].dialogue_chars == 400 * 5 - 3
+
+
+def test_one_thread_with_a_third_of_all_turns(spark, tmp_path):
+    """No value grows with the thread, and its files hold its parts in order."""
+    count = 30_000
+    turns = spark.range(count).selectExpr(
+        f"IF(id < {count // 3}, 'hot', concat('r', id % 5000)) AS root_tweet_id",
+        f"cast(IF(id < {count // 3}, id, (id - {count // 3}) div 5000) AS int) AS turn_index",
+        "cast(id AS string) AS tweet_id", "'a' AS author_id", "id % 2 = 0 AS inbound",
+        "concat('turn ', id, repeat(' word', 40)) AS text", "'t' AS created_at",
     )
-    (whole,) = threads.dialogues(turns, BRAND, turns_per_part=4).collect()
-    assert whole.full_dialogue == " | ".join(f"Customer: t{i}" for i in range(10))
-    parts = threads.dialogue_parts(turns, BRAND, turns_per_part=4)
-    assert sorted(p.dialogue_part for p in parts.collect()) == [0, 1, 2]
-    (nested,) = threads.nested_conversations(turns, BRAND, turns_per_part=4).collect()
-    assert [turn.turn_index for turn in nested.turns] == list(range(10))
+    parts = threads.dialogue_parts(turns, BRAND)
+    nested = threads.turn_parts(turns)
+    largest = parts.agg(F.max(F.octet_length("dialogue"))).first()[0]
+    assert largest < 100_000 and nested.agg(F.max(F.size("turns"))).first()[0] == 128
+    assert parts.agg(F.max(F.size(F.split("dialogue", " [|] ")))).first()[0] == 128
+    written = tables.in_file_order(parts, "root_tweet_id", "dialogue_part")
+    tables.write_flat(written, str(tmp_path / "parts"), "csv")
+    files = sorted(f for f in (tmp_path / "parts").iterdir() if f.suffix == ".csv")
+    read = []
+    for file in files:
+        read += tables.read_dialogue_parts(spark, str(file), "csv").collect()
+    hot = [r for r in read if r.root_tweet_id == "hot"]
+    assert [r.dialogue_part for r in hot] == list(range(len(hot))) and len(hot) == 79
+    lines = " | ".join(r.dialogue for r in hot).split(" | ")
+    assert [int(line.split()[2]) for line in lines] == list(range(count // 3))
+    assert sum(len(r.dialogue.split(" | ")) for r in read) == count
+
+
+def test_tables_with_whole_dialogues_are_read(spark, tmp_path):
+    (tmp_path / "old.csv").write_text("conversation_id,full_dialogue\nc1," + "x" * 1500 + "\n")
+    row = tables.read_conversations(spark, str(tmp_path / "old.csv"), "csv").first()
+    assert (row.conversation_id, len(row.dialogue_head), row.dialogue_chars) == ("c1", 1000, 1500)
 
 
 def test_selection_is_one_hop(spark):

@@ -15,8 +15,12 @@ from threadwise.functions.text import clean_key, clean_text, strip_handles
 from threadwise.operators.selection import is_brand_author
 from threadwise.session import cut_lineage
 
-# Turns that are put together at once; a longer thread is put together from such parts.
-TURNS_PER_PART = 4096
+# Turns of a part; a longer thread is a table of such parts.
+TURNS_PER_PART = 128
+LINE_SEPARATOR = " | "
+# The beginning of a dialogue that travels with its record. A line and its separator have five
+# characters at least, so a head of this length never needs more turns than these.
+HEAD_CHARS, HEAD_TURNS = 1000, 256
 
 
 def unique_tweets(tweets: DataFrame, entities: str = "common") -> DataFrame:
@@ -177,66 +181,85 @@ def conversation_records(turns: DataFrame, brand: str, entities: str = "common")
     )
 
 
+def dialogue_line(brand_label: str) -> Column:
+    """``"Role: text"`` of a turn."""
+    role = F.when(F.col("inbound"), F.lit("Customer")).otherwise(F.lit(brand_label))
+    return F.concat(role, F.lit(": "), F.coalesce("text", F.lit("")))
+
+
+def part_of(turns_per_part: int) -> Column:
+    """The part of its thread that a turn belongs to, from 0."""
+    return F.floor(F.col("turn_index") / turns_per_part).cast("int")
+
+
 def dialogue_parts(
     turns: DataFrame, brand_label: str, turns_per_part: int = TURNS_PER_PART
 ) -> DataFrame:
-    """(root_tweet_id, dialogue_part, text): ``"Role: text"`` of a part's turns, in order."""
-    role = F.when(F.col("inbound"), F.lit("Customer")).otherwise(F.lit(brand_label))
-    line = F.struct("turn_index", F.concat(role, F.lit(": "), "text").alias("line"))
-    part = F.floor(F.col("turn_index") / turns_per_part).cast("int")
+    """(root_tweet_id, dialogue_part, dialogue): the lines of a part's turns joined by `` | ``.
+
+    The parts of a thread in their order, joined in the same way, are the whole dialogue. No value
+    holds more than ``turns_per_part`` turns, however long a thread is.
+    """
+    line = F.struct("turn_index", dialogue_line(brand_label).alias("line"))
     return (
-        turns.groupBy("root_tweet_id", part.alias("dialogue_part"))
+        turns.groupBy("root_tweet_id", part_of(turns_per_part).alias("dialogue_part"))
         .agg(F.sort_array(F.collect_list(line)).alias("lines"))
         .select(
             "root_tweet_id",
             "dialogue_part",
-            F.array_join(F.col("lines.line"), " | ").alias("text"),
+            F.array_join(F.col("lines.line"), LINE_SEPARATOR).alias("dialogue"),
         )
     )
 
 
-def dialogues(
-    turns: DataFrame, brand_label: str, turns_per_part: int = TURNS_PER_PART
-) -> DataFrame:
-    """``"Role: text"`` of all turns joined by `` | ``, one row per thread.
+def turn_parts(turns: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+    """(conversation_id, root_tweet_id, part, turns): the turns of each part as an array, in order."""
+    turn = F.struct("turn_index", "tweet_id", "author_id", "inbound", "text", "created_at")
+    return (
+        turns.groupBy("root_tweet_id", part_of(turns_per_part).alias("part"))
+        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+        .select(
+            F.concat(F.lit("conv_"), "root_tweet_id").alias("conversation_id"),
+            "root_tweet_id",
+            "part",
+            "turns",
+        )
+    )
+
 
-    Turns are sorted in parts first, so only finished parts of a long thread meet.
+def dialogue_heads(turns: DataFrame, brand_label: str) -> DataFrame:
+    """(root_tweet_id, dialogue_head, dialogue_chars): how a dialogue begins, and its whole length.
+
+    Only the first turns of a thread are held together, each cut to the length of a head, so the
+    state per thread is bounded.
     """
-    parts = F.sort_array(F.collect_list(F.struct("dialogue_part", "text")))
+    line = dialogue_line(brand_label)
+    early = F.col("turn_index") < HEAD_TURNS
+    head = F.struct("turn_index", F.substring(line, 1, HEAD_CHARS).alias("line"))
     return (
-        dialogue_parts(turns, brand_label, turns_per_part)
-        .groupBy("root_tweet_id")
-        .agg(parts.alias("parts"))
-        .select("root_tweet_id", F.array_join(F.col("parts.text"), " | ").alias("full_dialogue"))
+        turns.groupBy("root_tweet_id")
+        .agg(
+            F.sort_array(F.collect_list(F.when(early, head))).alias("first"),
+            F.sum(F.length(line).cast("long") + len(LINE_SEPARATOR)).alias("chars"),
+        )
+        .select(
+            "root_tweet_id",
+            F.substring(F.array_join("first.line", LINE_SEPARATOR), 1, HEAD_CHARS).alias(
+                "dialogue_head"
+            ),
+            (F.col("chars") - len(LINE_SEPARATOR)).alias("dialogue_chars"),
+        )
     )
 
 
 def flat_conversations(turns: DataFrame, brand: str, entities: str = "common") -> DataFrame:
-    """Conversation records with their whole dialogue, one row per conversation."""
-    records = conversation_records(turns, brand, entities)
-    return records.join(dialogues(turns, brand), "root_tweet_id").select(
-        *records.columns, "full_dialogue"
-    )
-
+    """Conversation records with the beginning and the length of their dialogue.
 
-def nested_conversations(
-    turns: DataFrame,
-    brand: str,
-    entities: str = "common",
-    turns_per_part: int = TURNS_PER_PART,
-) -> DataFrame:
-    """Conversation records with an array of all their turns, one row per conversation."""
-    turn = F.struct("turn_index", "tweet_id", "author_id", "inbound", "text", "created_at")
-    part = F.floor(F.col("turn_index") / turns_per_part).cast("int")
-    parts = turns.groupBy("root_tweet_id", part.alias("part")).agg(
-        F.sort_array(F.collect_list(turn)).alias("turns")
-    )
-    arrays = parts.groupBy("root_tweet_id").agg(
-        F.sort_array(F.collect_list(F.struct("part", "turns"))).alias("parts")
-    )
+    The dialogue itself is the table of ``dialogue_parts``, under the same root.
+    """
     records = conversation_records(turns, brand, entities)
-    return records.join(arrays, "root_tweet_id").select(
-        *records.columns, F.flatten("parts.turns").alias("turns")
+    return records.join(dialogue_heads(turns, brand), "root_tweet_id").select(
+        *records.columns, "dialogue_head", "dialogue_chars"
     )
 
 

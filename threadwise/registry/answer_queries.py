@@ -13,7 +13,7 @@ from threadwise.registry import sqltext as sql
 from threadwise.registry.catalog import query
 from threadwise.registry.inputs import BRAND, SUPPORT_TURNS
 from threadwise.rules import wording
-from threadwise.session import shared_folder
+from threadwise.session import cut_lineage, shared_folder
 from threadwise.sources import tables
 
 # --- M: answers -----------------------------------------------------------------------------------
@@ -157,8 +157,10 @@ SELECT concat('conv_', CAST(root_tweet_id AS VARCHAR)) AS conversation_id,
        max(CASE WHEN turn_index = 0 THEN {sql.strip_handles("body")} END) AS initial_query,
        arg_min(body, turn_index) FILTER (turn_index > 0 AND NOT inbound) AS first_support_reply,
        count(*) FILTER (turn_index > 0 AND NOT inbound) > 0 AS has_support_reply,
-       string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE '{BRAND}' END, ': ', body), ' | '
-                  ORDER BY turn_index) AS full_dialogue
+       left(string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE '{BRAND}' END, ': ', body), ' | '
+                       ORDER BY turn_index), 1000) AS dialogue_head,
+       CAST(length(string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE '{BRAND}' END, ': ',
+                                     body), ' | ' ORDER BY turn_index)) AS BIGINT) AS dialogue_chars
 FROM numbered GROUP BY root_tweet_id"""
 )
 def a5_conversations_read_back(spark, sf_dir):
@@ -170,15 +172,32 @@ def a5_conversations_read_back(spark, sf_dir):
     return tables.read_conversations(spark, folder, "csv")
 
 
+@query(
+    sql.with_(SUPPORT_TURNS)
+    + f"""
+SELECT CAST(root_tweet_id AS VARCHAR) AS root_tweet_id,
+       CAST(turn_index // 128 AS INTEGER) AS dialogue_part,
+       string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE '{BRAND}' END, ': ', text), ' | '
+                  ORDER BY turn_index) AS dialogue
+FROM support_turns GROUP BY ALL"""
+)
+def a5_dialogues_read_back(spark, sf_dir):
+    """The parts of all dialogues written in order as CSV and scanned again."""
+    folder = _folder(spark, "dialogues")
+    parts = cut_lineage(threads.dialogue_parts(inputs.support_turns(spark, sf_dir), BRAND))
+    tables.write_flat(tables.in_file_order(parts, "root_tweet_id", "dialogue_part"), folder, "csv")
+    return tables.read_dialogue_parts(spark, folder, "csv")
+
+
 @query(
     sql.with_(SUPPORT_TURNS)
     + "\nSELECT root_tweet_id, turn_index, tweet_id, author_id, inbound, text FROM support_turns"
 )
 def a6_nested_read_back(spark, sf_dir):
-    """Conversations written as JSON with all their turns, unnested again."""
+    """Turns written as JSON, an array per part of a conversation, unnested again."""
     folder = _folder(spark, "nested")
-    nested = threads.nested_conversations(inputs.support_turns(spark, sf_dir), BRAND)
-    tables.write_nested(nested, folder)
+    nested = cut_lineage(threads.turn_parts(inputs.support_turns(spark, sf_dir)))
+    tables.write_nested(tables.in_file_order(nested, "root_tweet_id", "part"), folder)
     read = tables.read_table(spark, folder, nested.schema, "json")
     return read.select("root_tweet_id", F.inline("turns")).drop("created_at")
 

@@ -222,7 +222,7 @@ messages AS (
 
 
 def support_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation records with their dialogue; ids are numbers."""
+    """Conversation records with the beginning of their dialogue; ids are numbers."""
     return flat_conversations(support_turns(spark, sf_dir), BRAND).withColumn(
         "conversation_id", F.col("root_tweet_id")
     )
@@ -237,8 +237,8 @@ support_conversations AS (
          max(CASE WHEN turn_index = 0 THEN trim(regexp_replace(text, '[\\s\\x{A0}]+', ' ', 'g')) END)
            AS initial_query,
          arg_min(text, turn_index) FILTER (turn_index > 0 AND NOT inbound) AS first_support_reply,
-         string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE 'BrandSupport' END, ': ', text),
-                    ' | ' ORDER BY turn_index) AS full_dialogue
+         left(string_agg(concat(CASE WHEN inbound THEN 'Customer' ELSE 'BrandSupport' END, ': ',
+                                text), ' | ' ORDER BY turn_index), 1000) AS dialogue_head
   FROM support_turns GROUP BY root_tweet_id),
 corpus AS (
   SELECT * FROM support_conversations
@@ -277,13 +277,13 @@ def document_index(spark: SparkSession, sf_dir: str) -> TfidfIndex:
 
 
 def triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message triaged against the index, with dialogues in the evidence."""
+    """Every message triaged against the index, with heads of dialogues in the evidence."""
     def build() -> DataFrame:
         return cut_lineage(
             triage(
                 messages(spark, sf_dir),
                 support_index(spark, sf_dir),
-                columns=("initial_query", "first_support_reply", "full_dialogue"),
+                columns=("initial_query", "first_support_reply", "dialogue_head"),
             )
         )
 

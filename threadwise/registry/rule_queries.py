@@ -447,8 +447,8 @@ _CASES = _cases(
         score="printf('%.3f', round(e.similarity_score, 3))",
         question="e.initial_query",
         answer="e.first_support_reply",
-        cut=f"CASE WHEN length(e.full_dialogue) > 300 THEN {sql.lit(wording.CASE_CUT_MARK)} ELSE '' END",
-        thread="left(e.full_dialogue, 300)",
+        cut=f"CASE WHEN length(e.dialogue_head) > 300 THEN {sql.lit(wording.CASE_CUT_MARK)} ELSE '' END",
+        thread="left(e.dialogue_head, 300)",
     ),
     wording.NO_EVIDENCE_BLOCK,
 )

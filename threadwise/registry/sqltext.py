@@ -259,7 +259,7 @@ drafted AS (
 GROUNDED = f"""{GROUPS},
 evidence AS (
   SELECT r.msg_id, r.rank, r.similarity_score, c.conversation_id, c.initial_query,
-         c.first_support_reply, c.full_dialogue
+         c.first_support_reply, c.dialogue_head
   FROM retrieved r JOIN corpus c USING (conversation_id)),
 evidence_text AS (
   SELECT msg_id, count(*) AS cases, max(similarity_score) AS top,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _S, _I, _D, _B = T.StringType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+_L = T.LongType()
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -18,9 +19,11 @@ TWEETS = _struct(
 
 CONVERSATIONS = _struct(
     conversation_id=_S, root_tweet_id=_S, customer_id=_S, num_turns=_I, initial_query=_S,
-    first_support_reply=_S, has_support_reply=_B, full_dialogue=_S,
+    first_support_reply=_S, has_support_reply=_B, dialogue_head=_S, dialogue_chars=_L,
 )
 
+DIALOGUE_PARTS = _struct(root_tweet_id=_S, dialogue_part=_I, dialogue=_S)
+
 GOLDEN = _struct(
     conversation_id=_S, message=_S, intent=_S, expected_action=_S, first_support_reply=_S,
     label_source=_S, review_status=_S, notes=_S,

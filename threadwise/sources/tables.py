@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadwise.operators.threads import HEAD_CHARS
 from threadwise.sources import schemas
 
 
@@ -64,7 +65,18 @@ def read_table(
 
 
 def read_conversations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return read_table(spark, path, schemas.CONVERSATIONS, fmt)
+    """Conversation records. Tables that hold each dialogue whole, as ``full_dialogue``, fit too."""
+    schema = T.StructType([*schemas.CONVERSATIONS, T.StructField("full_dialogue", T.StringType())])
+    whole = F.col("full_dialogue")
+    return read_table(spark, path, schema, fmt).select(
+        *schemas.CONVERSATIONS.names[:-2],
+        F.coalesce("dialogue_head", F.substring(whole, 1, HEAD_CHARS)).alias("dialogue_head"),
+        F.coalesce("dialogue_chars", F.length(whole).cast("long")).alias("dialogue_chars"),
+    )
+
+
+def read_dialogue_parts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return read_table(spark, path, schemas.DIALOGUE_PARTS, fmt)
 
 
 def read_golden(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -83,11 +95,22 @@ def write_flat(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     """Write a table without nested columns as Parquet or as CSV with a header."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     else:
         writer.parquet(path)
 
 
+def in_file_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Range-sorted by ``keys``: files in the order of their names hold the rows in that order.
+
+    A thread of any length is dealt over files by its parts and can be streamed part by part. The
+    ranges come from a sample of ``df``, so hand over a written table, or it is computed twice.
+    """
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def write_nested(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write a table with nested columns as JSON lines; empty fields are kept."""
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
