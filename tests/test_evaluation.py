@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +235,30 @@ def test_linear_baseline_learns(spark):
     assert (got[1], got[2]) == ("odd", "even") and got[3] in ("odd", "even")
 
 
+def test_gradient_tells_a_fitted_model_from_another(spark):
+    rows = [(i, f"word{i % 5} word{i % 3} tail{i % 2}", f"label{i * i % 4}") for i in range(80)]
+    rows += [(90, None, "label0"), (91, "", "label1"), (92, "the of", "label0")]
+    train = spark.createDataFrame(rows, "msg_id long, message string, label string")
+    model = baselines.fit_text_classifier(train)
+    cells = model.gradient(train).collect()
+    terms = model.vocab.count()
+    assert len(cells) == len(model.labels) * (terms + 1)
+    assert max(abs(cell.gradient) for cell in cells) < 1e-6
+    held = {cell.label: cell.held for cell in cells if cell.term_id is None}
+    assert held == Counter(label for _, _, label in rows)
+    model.coefficients = model.coefficients.withColumn(
+        "coefficients", F.transform("coefficients", lambda x: x * 1.01)
+    )
+    assert max(abs(cell.gradient) for cell in model.gradient(train).collect()) > 1e-5
+
+
+def test_one_label_is_always_predicted(spark):
+    train = spark.createDataFrame([(1, "a word", "x"), (2, "b", "x")], "msg_id long, message string, label string")
+    model = baselines.fit_text_classifier(train)
+    assert [r.predicted for r in model.predict(train).collect()] == ["x", "x"]
+    assert all(cell.gradient == 0 for cell in model.gradient(train).collect())
+
+
 def test_majority_default(spark):
     empty = spark.createDataFrame([], "label string")
     assert baselines.majority_label(empty).first().majority == "other_general"

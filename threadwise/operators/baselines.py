@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +24,8 @@ from threadwise.session import cut_lineage
 
 # A taxonomy is a list people keep in mind; more labels are a mistake in the caller's table.
 MAX_LABELS = 1000
+# Relative change of the loss at which fitting ends.
+TOLERANCE = 1e-12
 
 
 def majority_label(
@@ -42,11 +44,6 @@ def predict_majority(
     return messages.withColumn("predicted", majority_label(training, label).scalar())
 
 
-@F.udf(VectorUDT())
-def _sparse(size, entries):
-    return SparseVector(size, [(e["term_id"], e["w"]) for e in entries or []])
-
-
 @dataclass
 class TextClassifier:
     """A fitted linear model as tables: (term_id, coefficients) over the vocabulary."""
@@ -57,34 +54,129 @@ class TextClassifier:
     labels: list[str]
     max_features: int
     stop_words: list[str]
+    penalty: float = 0.0
 
-    def predict(self, messages: DataFrame, key: str = "msg_id", text: str = "message") -> DataFrame:
-        """(key, predicted); every message gets a row, also one without known terms."""
+    def vectors(self, messages: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, term_id, w): the weights of the messages' known terms."""
         rows = messages.select(
             key, F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(1).alias("copies")
         )
-        vectors = weights(
-            term_counts(rows, key, self.stop_words), key, self.vocab, self.max_features
-        )
+        counts = term_counts(rows, key, self.stop_words)
+        return weights(counts, key, self.vocab, self.max_features)
+
+    def scores(self, messages: DataFrame, key: str = "msg_id", text: str = "message") -> DataFrame:
+        """(key, scores): a score per label for every message, also one without known terms."""
         sums = [
             F.sum(F.col("w") * F.col("coefficients")[i]).alias(f"s{i}")
             for i in range(len(self.labels))
         ]
-        scored = (
-            vectors.join(bounded_broadcast(self.coefficients, self.max_features), "term_id")
+        summed = (
+            self.vectors(messages, key, text)
+            .join(bounded_broadcast(self.coefficients, self.max_features), "term_id")
             .groupBy(key)
             .agg(*sums)
         )
-        classes = [
+        scores = F.array(
+            *[
+                F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + self.intercepts[i]
+                for i in range(len(self.labels))
+            ]
+        )
+        return messages.select(key).join(summed, key, "left").select(key, scores.alias("scores"))
+
+    def predict(self, messages: DataFrame, key: str = "msg_id", text: str = "message") -> DataFrame:
+        """(key, predicted): the label with the highest score, ties alphabetical."""
+        best = F.array_position("scores", F.array_max("scores")).cast("int")
+        names = F.array(*[F.lit(name) for name in self.labels])
+        return self.scores(messages, key, text).select(
+            key, F.element_at(names, best).alias("predicted")
+        )
+
+    def gradient(
+        self, training: DataFrame, key: str = "msg_id", text: str = "message", label: str = "label"
+    ) -> DataFrame:
+        """(label, term_id, held, gradient): how far each coefficient is from the optimum.
+
+        ``held`` is the weight of a term in the training rows of a label, ``gradient`` the
+        derivative of the penalised loss by the coefficient. The loss is convex, so the model is
+        the one that a training table asks for exactly where all gradients vanish; that can be
+        checked without fitting again. Intercepts have the null ``term_id``; labels and terms of
+        the model are all there, also those that never meet.
+        """
+        rows = training.select(key, text, label)
+        highest = F.array_max("scores")
+        exps = F.transform("scores", lambda s: F.exp(s - highest))
+        total = F.aggregate(exps, F.lit(0.0), lambda x, y: x + y)
+        names = F.array(*[F.lit(name) for name in self.labels])
+        shares = (
+            self.scores(rows, key, text)
+            .select(key, F.transform(exps, lambda e: e / total).alias("shares"))
+            .join(rows.select(key, F.col(label).alias("truth")), key)
+        )
+        shares = cut_lineage(shares)
+        weighed = self.vectors(rows, key, text).unionByName(
+            rows.select(key, F.lit(None).cast("int").alias("term_id"), F.lit(1.0).alias("w"))
+        )
+        # A term and a label meet in one row per task: sums are combined before the shuffle.
+        sums = [
             F.struct(
-                (F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + self.intercepts[i]).alias("score"),
-                F.lit(-i).alias("order"),
-                F.lit(name).alias("label"),
+                F.sum(F.when(F.col("truth") == name, F.col("w")).otherwise(0.0)).alias("held"),
+                F.sum(F.col("w") * F.col("shares")[i]).alias("expected"),
             )
             for i, name in enumerate(self.labels)
         ]
-        best = F.array_max(F.array(*classes)) if len(classes) > 1 else classes[0]
-        return rows.select(key).join(scored, key, "left").select(key, best["label"].alias("predicted"))
+        per_term = (
+            weighed.join(shares, key)
+            .groupBy("term_id")
+            .agg(*[column.alias(f"m{i}") for i, column in enumerate(sums)])
+        )
+        n = rows.agg(F.count("*").alias("n")).scalar()
+        coefficients = self.coefficients.withColumnRenamed("term_id", "of_term")
+        moments = F.arrays_zip(
+            names.alias("label"),
+            F.array(*[F.col(f"m{i}") for i in range(len(self.labels))]).alias("moment"),
+            F.coalesce(
+                "coefficients", F.array_repeat(F.lit(0.0), len(self.labels))
+            ).alias("coefficient"),
+        )
+        found = per_term.join(
+            bounded_broadcast(coefficients, self.max_features),
+            F.col("term_id") == F.col("of_term"),
+            "left",
+        ).select("term_id", F.explode(moments).alias("of"))
+        return found.select(
+            F.col("of.label").alias("label"),
+            "term_id",
+            F.col("of.moment.held").alias("held"),
+            (
+                (F.col("of.moment.expected") - F.col("of.moment.held")) / n
+                + self.penalty * F.col("of.coefficient")
+            ).alias("gradient"),
+        )
+
+
+# How a vector column lies in a file: its own kind is read over plain columns of this shape.
+SPARSE = 0
+
+
+def sparse_vectors(entries: DataFrame, label: str, size: int) -> DataFrame:
+    """(label, features): ``entries`` (term_id, w), sorted by term, as vectors of length ``size``.
+
+    The columns of a vector are written as what they are and read again as a vector, so no row
+    passes through Python.
+    """
+    plain = F.struct(
+        F.lit(SPARSE).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.col("entries.term_id").cast("array<int>").alias("indices"),
+        F.col("entries.w").cast("array<double>").alias("values"),
+    )
+    return cut_lineage(
+        entries.select(F.col(label).cast("double").alias("label"), plain.alias("features")),
+        T.StructType(
+            [T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]
+        ),
+    )
 
 
 def fit_text_classifier(
@@ -123,8 +215,13 @@ def fit_text_classifier(
         F.sort_array(F.collect_list(F.struct("term_id", "w"))).alias("entries")
     )
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1
-    features = rows.join(vectors, key, "left").select(
-        index.cast("double").alias("label"), _sparse(F.lit(size), "entries").alias("features")
+    none = F.array().cast("array<struct<term_id:int,w:double>>")
+    features = sparse_vectors(
+        rows.join(vectors, key, "left").select(
+            index.alias("class"), F.coalesce("entries", none).alias("entries")
+        ),
+        "class",
+        size,
     )
     n = rows.count()
     if len(labels) == 1:
@@ -132,8 +229,10 @@ def fit_text_classifier(
         return TextClassifier(
             vocab, spark.createDataFrame([], schema), [0.0], labels, max_features, stop_words
         )
+    penalty = 1.0 / (c * n)
     model = LogisticRegression(
-        family="multinomial", maxIter=max_iter, regParam=1.0 / (c * n), standardization=False
+        family="multinomial", maxIter=max_iter, regParam=penalty, standardization=False,
+        tol=TOLERANCE,
     ).fit(features)
     matrix = model.coefficientMatrix.toArray()
     coefficients = spark.createDataFrame(
@@ -147,5 +246,5 @@ def fit_text_classifier(
     )
     return TextClassifier(
         vocab, coefficients, model.interceptVector.toArray().tolist(), labels, max_features,
-        stop_words,
+        stop_words, penalty,
     )

@@ -499,7 +499,21 @@ def k15_majority_metrics(spark, sf_dir):
     return metrics.model_comparison({plan.MAJORITY: cells})
 
 
-@query()
+_LINEAR = sql.recursive(
+    sql.with_(
+        _PREDICTIONS,
+        """labelled AS (
+  SELECT m.msg_id, coalesce(b.intent, 'other_general') AS label
+  FROM messages m LEFT JOIN best b USING (msg_id))""",
+        sql.tfidf("messages", "msg_id", "message", fixed.BASELINE_MAX_FEATURES),
+        sql.linear_fit([x.name for x in SUPPORT_PACK.intents]),
+        """linear_predictions AS MATERIALIZED (
+  SELECT p.truth, l.predicted FROM predictions p JOIN linear l USING (msg_id))""",
+    )
+)
+
+
+@query(_LINEAR + "\n" + _comparison_sql("TF-IDF + LogReg", "linear_predictions"))
 def k15_linear_metrics(spark, sf_dir):
     rows = _weakly_labelled(spark, sf_dir)
     predicted = baselines.fit_text_classifier(rows).predict(rows)

@@ -17,6 +17,7 @@ from threadwise.registry.inputs import MESSAGES, SUPPORT_CONVERSATIONS
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK
+from threadwise.session import cut_lineage
 
 _SCORED = sql.with_(MESSAGES, sql.scored("messages", "msg_id", "message"))
 _CLASSIFIED = sql.with_(sql.CLASSIFIED)
@@ -157,13 +158,58 @@ def f11_majority_baseline(spark, sf_dir):
     return baselines.predict_majority(messages, training).select("msg_id", "predicted")
 
 
-@query()
+_LABELLED = f"""labelled AS (
+  SELECT m.msg_id, coalesce(b.intent, {_GENERAL}) AS label
+  FROM messages m LEFT JOIN best b USING (msg_id))"""
+_MESSAGE_TERMS = sql.tfidf("messages", "msg_id", "message", fixed.BASELINE_MAX_FEATURES)
+
+
+@query(
+    sql.recursive(
+        _SCORED + ",\n" + ",\n".join(
+            [_LABELLED, _MESSAGE_TERMS, sql.linear_fit([x.name for x in SUPPORT_PACK.intents])]
+        )
+    )
+    + "\nSELECT msg_id, predicted FROM linear"
+)
 def f12_linear_baseline(spark, sf_dir):
     messages = inputs.messages(spark, sf_dir)
     model = baselines.fit_text_classifier(intent.weak_label(messages, label="label"))
     return model.predict(messages)
 
 
+@query(
+    _SCORED
+    + f""",
+{_LABELLED},
+{_MESSAGE_TERMS},
+held AS (
+  SELECT label, term, sum(w) AS held FROM labelled JOIN doc_weights USING (msg_id) GROUP BY ALL
+  UNION ALL
+  SELECT label, NULL, count(*) FROM labelled GROUP BY label),
+cells AS (
+  SELECT label, term FROM (SELECT DISTINCT label FROM labelled),
+         (SELECT term FROM vocab UNION ALL SELECT NULL))
+SELECT c.label, c.term, round(coalesce(h.held, 0), 5) AS held, TRUE AS vanishes
+FROM cells c LEFT JOIN held h ON c.label = h.label AND c.term IS NOT DISTINCT FROM h.term"""
+)
+def f12_optimality(spark, sf_dir):
+    """Whether the fitted model is the one its training rows ask for, coefficient by coefficient."""
+    training = intent.weak_label(inputs.messages(spark, sf_dir), label="label")
+    training = cut_lineage(training.select("msg_id", "message", "label"))
+    model = baselines.fit_text_classifier(training)
+    return (
+        model.gradient(training)
+        .join(model.vocab.select("term_id", "term"), "term_id", "left")
+        .select(
+            "label",
+            "term",
+            F.round("held", 5).alias("held"),
+            (F.abs("gradient") < 1e-5).alias("vanishes"),
+        )
+    )
+
+
 @query(
     rf"""
 SELECT word, count(*) AS occurrences

@@ -212,6 +212,62 @@ def support_retrieval(k: int = fixed.AGENT_TOP_K) -> str:
     )
 
 
+def linear_fit(labels: list[str], steps: int = 1500) -> str:
+    """CTEs up to ``linear``: a logistic regression of ``labelled`` fitted again, by other means.
+
+    Every row has a weight per label, which scales its vector; scores come from the inner products
+    of rows. Steps along the gradient with momentum end at the optimum of the penalised loss, where
+    any other method has to end as well. a and b are weights and intercepts, o and q the ones before.
+    """
+    names = sorted(labels)
+    classes = range(len(names))
+
+    def each(template: str, separator: str = ", ") -> str:
+        return separator.join(template.replace("#", str(c)) for c in classes)
+
+    truth = ", ".join(
+        f"CAST(label = {lit(name)} AS INTEGER)::DOUBLE AS y{c}, "
+        f"count(*) FILTER (label = {lit(name)}) OVER () > 0 AS k{c}"
+        for c, name in enumerate(names)
+    )
+    return f"""grams AS MATERIALIZED (
+  SELECT x.msg_id AS i, y.msg_id AS j, sum(x.w * y.w) AS g
+  FROM doc_weights x JOIN doc_weights y USING (term) GROUP BY ALL),
+rates AS MATERIALIZED (
+  SELECT count(*) AS n, 1.0 / count(*) AS shrink,
+         (sqrt(count(*)) - 1) / (sqrt(count(*)) + 1) AS beta FROM labelled),
+truth AS MATERIALIZED (SELECT msg_id AS i, {truth} FROM labelled),
+fit AS (
+  SELECT 0 AS step, i, {each("0::DOUBLE AS a#, 0::DOUBLE AS o#, 0::DOUBLE AS b#, 0::DOUBLE AS q#")}
+  FROM truth
+  UNION ALL
+  SELECT step + 1, i,
+         {each("(1 - shrink) * v# - d# / n, a#, u# - sum(d#) OVER () / n, b#")}
+  FROM (SELECT *, {each("e# / total - y# AS d#")}
+    FROM (SELECT *, {each("e#", " + ")} AS total
+      FROM (SELECT z.*, {each("y#, CASE WHEN k# THEN exp(coalesce(s#, 0) + u#) ELSE 0 END AS e#")}
+        FROM (SELECT x.*, r.*, {each("a# + beta * (a# - o#) AS v#, b# + beta * (b# - q#) AS u#")}
+              FROM fit x, rates r WHERE step < {steps}) z
+        LEFT JOIN (SELECT g.i AS si, {each("sum(g * (a# + beta * (a# - o#))) AS s#")}
+                   FROM fit JOIN rates ON TRUE JOIN grams g ON g.j = fit.i GROUP BY g.i) w
+          ON w.si = z.i
+        JOIN truth t ON t.i = z.i)))),
+linear_scores AS (
+  SELECT f.i, [{each("CASE WHEN k# THEN coalesce(s#, 0) + b# ELSE -1e300 END")}] AS scores
+  FROM (SELECT * FROM fit WHERE step = {steps}) f JOIN truth t ON t.i = f.i
+  LEFT JOIN (SELECT g.i AS si, {each("sum(g * a#) AS s#")}
+             FROM (SELECT * FROM fit WHERE step = {steps}) m JOIN grams g ON g.j = m.i
+             GROUP BY g.i) w ON w.si = f.i),
+linear AS MATERIALIZED (
+  SELECT i AS msg_id,
+         [{", ".join(map(lit, names))}][list_position(scores, list_max(scores))] AS predicted
+  FROM linear_scores)"""
+
+
+def recursive(query: str) -> str:
+    return query.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # --- replies and routing --------------------------------------------------------------------------
 
 REPLY_RULE = case(

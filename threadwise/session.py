@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings every job relies on. Partition counts are left to the cluster and to AQE.
 SETTINGS = {
@@ -52,15 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_scratch().name
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the written table.
 
     A lost executor then costs a re-read instead of a recomputation, and a table used several
-    times is computed once.
+    times is computed once. ``schema`` may name another kind with the same columns in the file.
     """
     path = f"{shared_folder(df.sparkSession)}/threadwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
