@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from threadwise.operators import index_store, similarity, tfidf
+from threadwise.session import cut_lineage
 
 STOP = ["the", "and"]
 
@@ -88,6 +90,66 @@ def test_postings_of_hot_terms_are_split(spark, monkeypatch):
     test_equals_brute_force(spark, 5, 30, 6, 1000, 5, 0.01)
 
 
+@pytest.mark.parametrize("k", [100, 300])
+def test_long_lists_equal_brute_force(spark, k):
+    """Beyond the first champions, and beyond the stored ones."""
+    test_equals_brute_force(spark, 6, 40, 8, 1000, k, 0.01)
+
+
+def test_candidates_stay_few_whatever_k_is(spark):
+    """Floors exist for long lists too, so pruning does not fall away."""
+    corpus = random_texts(11, 4000, 400, 12)
+    queries = random_texts(12, 40, 400, 8)
+    index = tfidf.build_index(
+        spark.createDataFrame(corpus, "id long, body string"), "body", "id", 5000, STOP
+    )
+    texts = spark.createDataFrame(queries, "q long, text string")
+    query = cut_lineage(tfidf.transform(texts, "q", "text", index))
+    every = query.join(index.postings.select("doc", "term_id"), "term_id")
+    every = every.select("q", "doc").distinct().count()
+    pairs = {}
+    for k in (5, 20, 100):
+        plan = cut_lineage(similarity._query_plan(query, index, k, 0.01))
+        assert plan.where("floor < 0.01").select("q").distinct().count() <= 4
+        pairs[k] = similarity.candidate_pairs(plan, index).count()
+    assert pairs[5] <= pairs[20] <= pairs[100] < every / 3, (pairs, every)
+
+
+def test_no_join_on_documents_and_terms(spark):
+    corpus = random_texts(13, 60, 30, 6)
+    index = tfidf.build_index(
+        spark.createDataFrame(corpus, "id long, body string"), "body", "id", 100, STOP
+    )
+    texts = spark.createDataFrame([(1, corpus[0][1])], "q long, text string")
+    found = similarity.best_vectors(tfidf.transform(texts, "q", "text", index), index, 5, 0.01)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    both = [j for j in joins if re.search(r"doc#\w+ = doc#", j) and re.search(r"term_id#\w+ = term_id#", j)]
+    assert joins and not both
+
+
+def test_stored_postings_are_read_by_the_terms_asked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tfidf, "TERMS_PER_BUCKET", 4)
+    corpus = random_texts(14, 120, 60, 6)
+    built = tfidf.build_index(
+        spark.createDataFrame(corpus, "id long, body string"), "body", "id", 200, STOP
+    )
+    index = index_store.save_index(built, str(tmp_path / "index"))
+    assert len(list((tmp_path / "index").glob("version-*/postings/bucket=*"))) > 10
+    texts = spark.createDataFrame([(1, corpus[3][1])], "q long, text string")
+    plan = cut_lineage(
+        similarity._query_plan(tfidf.transform(texts, "q", "text", index), index, 3, 0.01)
+    )
+    pairs = similarity.candidate_pairs(plan, index)
+    assert "dynamicpruning" in pairs._jdf.queryExecution().executedPlan().toString()
+    messages = spark.createDataFrame(corpus[:20], "msg_id long, message string")
+    stored, fresh = (
+        sorted(map(tuple, similarity.retrieve(messages, x, k=3, columns=[]).collect()))
+        for x in (index, built)
+    )
+    assert stored == fresh
+
+
 def test_most_frequent_ties_and_tail(spark):
     rows = [(f"t{i:03d}", 1 + (i % 4 == 0) * 5 + (i == 7) * 100) for i in range(200)]
     counted = spark.createDataFrame(rows, "term string, cf long")

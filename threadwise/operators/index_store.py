@@ -8,7 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadwise.operators.tfidf import TfidfIndex, build_index, champions, term_impacts
+from threadwise.operators.tfidf import (
+    TfidfIndex,
+    build_index,
+    champions,
+    term_impacts,
+    with_buckets,
+)
 from threadwise.rules import fixed_values as fixed
 
 
@@ -30,16 +36,19 @@ def save_index(index: TfidfIndex, folder: str) -> TfidfIndex:
     """Write a new version, then the row of ``settings`` that makes it the current one.
 
     Every table is written once, each derived from the ones already written. A job that fails on
-    the way leaves the earlier version in use. Postings lie in the order of their terms, so a few
-    queries read few row groups. Old versions stay until the folder is cleaned.
+    the way leaves the earlier version in use. Postings lie in a folder per range of terms, in the
+    order of their terms: a few queries read the folders of their own terms and no others. Old
+    versions stay until the folder is cleaned.
     """
     spark = index.postings.sparkSession
     name = f"version-{uuid.uuid4().hex}"
     version = f"{folder}/{name}"
     index.vocab.write.parquet(f"{version}/vocab")
     by_term = index.postings.repartitionByRange("term_id", "doc")
-    by_term.sortWithinPartitions("term_id", "doc").write.parquet(f"{version}/postings")
+    by_term = with_buckets(by_term.sortWithinPartitions("term_id", "doc"))
+    by_term.write.partitionBy("bucket").parquet(f"{version}/postings")
     index.records.write.parquet(f"{version}/records")
+    index.vectors.write.parquet(f"{version}/vectors")
     postings = _read(spark, version, "postings")
     term_impacts(postings).write.parquet(f"{version}/impacts")
     champions(postings).write.parquet(f"{version}/champions")

@@ -3,15 +3,16 @@
 Weights are non-negative and vectors have unit length, so the score of a pair is the sum of
 products over shared terms, and a term adds at most ``query weight x largest document weight``.
 
-1. *First guess.* The few documents in which a query's terms weigh most are scored in full; the
-   k-th best score is one the final list must reach.
+1. *First guess.* The documents in which a query's terms weigh most, k of each term at least, are
+   scored in full; the k-th best score is one the final list must reach.
 2. *Skip common terms.* Starting from the term that spares the most postings for what it can add
    to a score, terms are set aside while all of them together could not reach that score. A
    document that shares only those cannot be in the list, so they generate no candidates.
 3. *Candidates.* The remaining terms are joined with the postings; a posting too light to reach
    the score, even with every other term at its largest, is dropped inside the join. Terms held
    by many documents or asked by many queries are split over several join keys.
-4. *Exact scores.* The set-aside terms are added for the surviving candidates only.
+4. *Exact scores.* The surviving candidates meet the vectors of their documents once, and the
+   set-aside terms are added from there.
 
 What a set of terms can add is bounded twice, and the smaller bound counts: by the sum of what each
 can add, and, since no vector is longer than one, by the length of the query's part on the set.
@@ -25,11 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadwise.functions.arrays import settle
 from threadwise.operators.tfidf import (
-    CHAMPIONS,
     TfidfIndex,
     bounded_broadcast,
     distinct_texts,
+    term_bucket,
     transform,
 )
 from threadwise.rules import fixed_values as fixed
@@ -43,23 +45,30 @@ SLACK = 1e-9
 # per this many queries.
 POSTINGS_PER_KEY = 100_000
 QUERIES_PER_KEY = 10_000
-# First guesses per query, as a multiple of k.
+# First guesses per query, as a multiple of k, and the least number of documents they take per term.
 GUESSES = 2
+LEAST_CHAMPIONS = 16
 
 
 def _best(score: str, tie: str, k: int) -> Column:
     return F.row_number().over(Window.partitionBy("q").orderBy(F.desc(score), tie))
 
 
+def _dot(entries: Column) -> Column:
+    """The sum of products of ``entries`` (term_id, w) with a document's terms and weights."""
+    def product(entry: Column) -> Column:
+        place = F.array_position("terms", entry["term_id"]).cast("int") - 1
+        return entry["w"] * F.coalesce(F.get("weights", place), F.lit(0.0))
+
+    return F.aggregate(entries, F.lit(0.0), lambda total, entry: total + product(entry))
+
+
 def _floors(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -> DataFrame:
     """(q, floor): the k-th best full score among first guesses, where there are k of them."""
+    size = max(LEAST_CHAMPIONS, k)
+    lists = index.champion_lists(query, size)
     first_guess = (
-        query.join(
-            bounded_broadcast(
-                index.champions.withColumnRenamed("w", "dw"), index.max_features * CHAMPIONS
-            ),
-            "term_id",
-        )
+        query.join(bounded_broadcast(lists, index.max_features * size), "term_id")
         .groupBy("q", "doc")
         .agg(F.sum(F.col("w") * F.col("dw")).alias("bound"))
     )
@@ -68,13 +77,11 @@ def _floors(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -> Da
         .where(F.col("rank") <= GUESSES * k)
         .select("q", "doc")
     )
-    # Only the guessed documents' postings take part.
-    theirs = index.postings.join(guesses.select("doc").distinct(), "doc", "left_semi")
+    entries = query.groupBy("q").agg(F.collect_list(F.struct("term_id", "w")).alias("entries"))
     full = (
-        guesses.join(query, "q")
-        .join(theirs.select("doc", "term_id", F.col("w").alias("dw")), ["doc", "term_id"])
-        .groupBy("q", "doc")
-        .agg(F.sum(F.col("w") * F.col("dw")).alias("score"))
+        guesses.join(entries, "q")
+        .join(index.vectors, "doc")
+        .select("q", "doc", _dot(F.col("entries")).alias("score"))
     )
     return (
         full.withColumn("rank", _best("score", "doc", k))
@@ -110,7 +117,8 @@ def _query_plan(query: DataFrame, index: TfidfIndex, k: int, min_score: float) -
             "docs",
             "floor",
             "gain",
-            (F.col("reach") < F.col("floor")).alias("aside"),
+            # As a number: Spark prunes by a comparison, and makes none out of a flag.
+            (F.col("reach") < F.col("floor")).cast("int").alias("aside"),
             ((F.col("floor") - others) / F.col("w")).alias("least"),
         )
     )
@@ -125,34 +133,24 @@ def best_vectors(
 ) -> DataFrame:
     """(q, doc, score): the k best vectors per query; ``query`` is (q, term_id, w)."""
     plan = cut_lineage(_query_plan(cut_lineage(query), index, k, min_score))
-    candidates = candidate_pairs(plan, index)
-    aside_terms = plan.where("aside").select("term_id").distinct()
-    aside_postings = index.postings.join(
-        bounded_broadcast(aside_terms, index.max_features), "term_id", "left_semi"
-    )
-    scored = (
-        candidates.select("q", "doc", "partial", F.explode_outer("rest").alias("rest"))
-        .select("q", "doc", "partial", F.col("rest.term_id").alias("term_id"), "rest.w")
-        .join(
-            aside_postings.select("doc", "term_id", F.col("w").alias("dw")),
-            ["doc", "term_id"],
-            "left",
-        )
-        .groupBy("q", "doc")
-        .agg(
-            (
-                F.max("partial") + F.sum(F.coalesce(F.col("w") * F.col("dw"), F.lit(0.0)))
-            ).alias("score")
-        )
+    exact = (
+        candidate_pairs(plan, index)
+        .join(index.vectors, "doc")
+        .select("q", "doc", (F.col("partial") + _dot(F.col("rest"))).alias("score"))
         .select("q", "doc", F.round("score", SCORE_PLACES).alias("score"))
-        .where(F.col("score") >= min_score)
     )
+    # Settled, or the filter would compute every score a second time inside the join.
+    scored = settle(exact, "score").where(F.col("score") >= min_score)
     return scored.withColumn("rank", _best("score", "doc", k)).where(F.col("rank") <= k).drop("rank")
 
 
 def candidate_pairs(plan: DataFrame, index: TfidfIndex) -> DataFrame:
-    """(q, doc, partial, rest): pairs that may be in a list; ``rest`` are the terms set aside."""
-    asked = plan.where("NOT aside").groupBy("term_id").agg(F.count("*").alias("asked"))
+    """(q, doc, partial, rest): pairs that may be in a list; ``rest`` are the terms set aside.
+
+    The terms asked are few and broadcast, so a stored index reads only the buckets that hold them.
+    """
+    generating = plan.where("aside = 0")
+    asked = generating.groupBy("term_id").agg(F.count("*").alias("asked"))
     keys = bounded_broadcast(
         index.impacts.select(
             "term_id", _join_keys(F.col("docs"), POSTINGS_PER_KEY).alias("doc_keys")
@@ -164,17 +162,17 @@ def candidate_pairs(plan: DataFrame, index: TfidfIndex) -> DataFrame:
                 index.max_features,
             ),
             "term_id",
-        ),
+        ).withColumn("bucket", term_bucket(F.col("term_id"))),
         index.max_features,
     )
-    postings = index.postings.join(keys, "term_id").select(
+    postings = index.postings.join(keys, ["bucket", "term_id"]).select(
         "term_id",
         F.pmod(F.xxhash64("doc"), F.col("doc_keys")).cast("int").alias("doc_key"),
         F.explode(F.sequence(F.lit(0), F.col("query_keys") - 1)).alias("query_key"),
         "doc",
         F.col("w").alias("dw"),
     )
-    generators = plan.where("NOT aside").join(keys, "term_id").select(
+    generators = generating.join(keys, "term_id").select(
         "q",
         "term_id",
         F.explode(F.sequence(F.lit(0), F.col("doc_keys") - 1)).alias("doc_key"),
@@ -189,15 +187,15 @@ def candidate_pairs(plan: DataFrame, index: TfidfIndex) -> DataFrame:
         .agg(F.sum(F.col("w") * F.col("dw")).alias("partial"))
     )
     # Bounded by the query's own length.
-    aside_square = F.when(F.col("aside"), F.col("w") * F.col("w")).otherwise(0.0)
+    aside_square = F.when(F.col("aside") == 1, F.col("w") * F.col("w")).otherwise(0.0)
     rest = plan.groupBy("q").agg(
         F.max("floor").alias("floor"),
         F.least(
-            F.sum(F.when(F.col("aside"), F.col("gain")).otherwise(0.0)),
+            F.sum(F.when(F.col("aside") == 1, F.col("gain")).otherwise(0.0)),
             F.sqrt(F.sum(aside_square)),
         ).alias("rest_gain"),
         F.collect_list(
-            F.when(F.col("aside"), F.struct(F.col("term_id"), F.col("w")))
+            F.when(F.col("aside") == 1, F.struct(F.col("term_id"), F.col("w")))
         ).alias("rest"),
     )
     return (
@@ -221,11 +219,15 @@ def retrieve_texts(
     """
     if columns is None:
         columns = [c for c in index.records.columns if c not in ("doc", "record_id")]
-    vectors = best_vectors(transform(texts, "q", "text", index), index, k, min_score)
-    # Only the k smallest ids among copies of a record can appear in a list of k.
+    vectors = cut_lineage(
+        best_vectors(transform(texts, "q", "text", index), index, k, min_score)
+    )
+    # Only the k smallest ids among copies of a record can appear in a list of k, and only records
+    # of vectors found are sorted.
     member = F.row_number().over(Window.partitionBy("doc").orderBy("record_id"))
     members = (
         index.records.select("doc", "record_id")
+        .join(vectors.select("doc").distinct(), "doc", "left_semi")
         .withColumn("member", member)
         .where(F.col("member") <= k)
         .drop("member")

@@ -21,8 +21,11 @@ from threadwise.session import cut_lineage
 
 # Per-term tables up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
-# Documents remembered per term as a first guess at the best matches.
-CHAMPIONS = 16
+# Documents remembered per term, heaviest first; lists of up to this many results begin with a
+# prefix of them, longer ones read the postings.
+CHAMPIONS = 128
+# Postings are laid out by ranges of so many terms.
+TERMS_PER_BUCKET = 128
 # Counts are histogrammed in this many steps per factor of two.
 STEPS_PER_OCTAVE = 16
 
@@ -139,28 +142,63 @@ def term_impacts(postings: DataFrame) -> DataFrame:
 
 
 def champions(postings: DataFrame, per_term: int = CHAMPIONS) -> DataFrame:
-    """(term_id, doc, w): the documents in which each term weighs most."""
+    """(term_id, doc, w, place): the documents in which each term weighs most, heaviest first."""
     rank = F.row_number().over(Window.partitionBy("term_id").orderBy(F.desc("w"), "doc"))
     return (
-        postings.withColumn("rank", rank)
-        .where(F.col("rank") <= per_term)
-        .select("term_id", "doc", "w")
+        postings.withColumn("place", rank)
+        .where(F.col("place") <= per_term)
+        .select("term_id", "doc", "w", "place")
+    )
+
+
+def term_bucket(term_id: Column) -> Column:
+    """The range of terms that a posting is stored with."""
+    return F.floor(term_id / TERMS_PER_BUCKET).cast("int")
+
+
+def with_buckets(postings: DataFrame) -> DataFrame:
+    return postings.withColumn("bucket", term_bucket(F.col("term_id")))
+
+
+def document_vectors(postings: DataFrame) -> DataFrame:
+    """(doc, terms, weights): a document's postings in one row, at most one entry per term."""
+    entry = F.struct("term_id", "w")
+    entries = postings.groupBy("doc").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    return entries.select(
+        "doc", F.col("entries.term_id").alias("terms"), F.col("entries.w").alias("weights")
     )
 
 
 @dataclass
 class TfidfIndex:
-    """The index as tables. ``records`` maps every corpus row to the vector (``doc``) it shares."""
+    """The index as tables. ``records`` maps every corpus row to the vector (``doc``) it shares.
+
+    Weights are there twice: by term and its bucket as ``postings``, by document as ``vectors``.
+    """
 
     vocab: DataFrame
     postings: DataFrame
+    vectors: DataFrame
     impacts: DataFrame
     champions: DataFrame
     records: DataFrame
     max_features: int
     stop_words: list[str]
 
-    TABLES = ("vocab", "postings", "impacts", "champions", "records")
+    TABLES = ("vocab", "postings", "vectors", "impacts", "champions", "records")
+
+    def champion_lists(self, terms: DataFrame, per_term: int) -> DataFrame:
+        """(term_id, doc, dw): the heaviest documents of ``terms`` (term_id), so many of each.
+
+        Prefixes of the stored lists, or, beyond their length, of the postings themselves.
+        """
+        asked = bounded_broadcast(terms.select("term_id").distinct(), self.max_features)
+        if per_term <= CHAMPIONS:
+            found = self.champions.where(F.col("place") <= per_term).join(asked, "term_id")
+        else:
+            held = self.postings.join(asked, "term_id", "left_semi")
+            found = champions(held, per_term)
+        return found.select("term_id", "doc", F.col("w").alias("dw"))
 
 
 def build_index(
@@ -184,7 +222,8 @@ def build_index(
     )
     return TfidfIndex(
         vocab,
-        postings,
+        with_buckets(postings),
+        cut_lineage(document_vectors(postings)),
         cut_lineage(term_impacts(postings)),
         cut_lineage(champions(postings)),
         records,
