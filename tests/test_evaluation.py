@@ -1,12 +1,14 @@
 import math
+import re
 from collections import Counter
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
 from threadwise.operators import agreement, baselines, golden, metrics, quality
 from threadwise.operators.tfidf import build_index, evidence_corpus
-from threadwise.plans.evaluate import evaluate, rate_agreement
+from threadwise.plans.evaluate import evaluate, rate_agreement, summary_rows
 from threadwise.plans.prepare import prepare
 from threadwise.sources import schemas, tables
 from threadwise.sources.schemas import DIMENSIONS
@@ -224,6 +226,93 @@ def test_rate_agreement_suffixes(spark):
     assert (template.conversation_id, template.tone) == ("c1", "")
 
 
+# --- violations, samples, documents -----------------------------------------------------------------------
+
+def test_all_rating_violations_are_reported(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(
+        "conversation_id,Correctness,groundedness,helpfulness,hallucination\n"
+        "c1,5,4,3,2\nc1,6,4,,2\nc2,3.5,4,x,2\nc9,1,1,1,1\n"
+    )
+    path = str(tmp_path / "r.csv")
+    absent = tables.absent_columns(spark, path, schemas.HUMAN_RATINGS)
+    assert absent == ["message", "reply", "tone"]
+    results = spark.createDataFrame([("c1",), ("c2",)], "conversation_id string")
+    ratings = tables.read_ratings(spark, path)
+    found = agreement.rating_violations(ratings, results, ["tone"])
+    assert sorted(map(tuple, found.collect())) == [
+        ("invalid_score", "correctness", 2), ("invalid_score", "helpfulness", 2),
+        ("missing_column", "tone", 0), ("repeated_id", "c1", 2), ("unknown_id", "c9", 1),
+    ]
+    empty = ratings.where("false")
+    assert [r.check for r in agreement.rating_violations(empty).collect()] == ["empty"]
+    nameless = ratings.select("correctness")
+    checks = {(r.check, r.subject) for r in agreement.rating_violations(nameless, results).collect()}
+    assert ("missing_column", "conversation_id") in checks and ("repeated_id", "c1") not in checks
+
+
+def test_all_golden_violations_are_reported(spark):
+    rows = [("a", "m", "odd", "AUTO_HANDLE", None, "s", "reviewed", "n")] * 2
+    df = spark.createDataFrame(rows, schemas.GOLDEN)
+    found = {(r.check, r.subject): r["rows"] for r in golden.golden_violations(df, ["notes"]).collect()}
+    assert found == {
+        ("missing_column", "notes"): 0, ("row_count", None): 1, ("unique_id", None): 1,
+        ("known_intent", None): 2,
+    }
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_quotas_equal_a_full_ranking(spark, monkeypatch, hot):
+    """A histogram draws the rows that ranking all of a label would draw."""
+    names = list(golden.quotas())
+    rows = [(f"c{i}", names[0 if hot and i % 3 else i % 5], i) for i in range(3000)] + [("x", "odd", 0)]
+    labelled = spark.createDataFrame(rows, "conversation_id string, weak_label string, other int")
+    for total in (0, 33, 4400, 11 * 2500):
+        shares = golden.quotas(total)
+        want = Counter()
+        for name, share in shares.items():
+            mine = [r for r in rows if r[1] == name]
+            mine.sort(key=lambda r: md5(f"42:{r[0]}".encode()).hexdigest())
+            want.update(mine[:share])
+        assert Counter(map(tuple, golden.histogram_sample(labelled, shares).collect())) == want
+    monkeypatch.setattr(golden, "WINDOW_QUOTA", 1)
+    assert golden.stratified_sample(labelled, total=4400).columns == labelled.columns
+
+
+def test_large_quotas_sort_no_whole_label(spark):
+    labelled = spark.range(100).selectExpr("cast(id AS string) AS conversation_id", "'other_general' AS weak_label")
+    sample = golden.stratified_sample(labelled, total=11 * 100_000)
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    (ranked,) = [part for part in plan.split("Window [")[1:] if part.startswith("row_number")]
+    assert re.search(r"_head#\w+ = _last#", ranked)
+
+
+def test_documents_as_rows(spark, tmp_path):
+    (tmp_path / "d.json").write_text(
+        '{"a": {"x": 1, "y": 2.5, "t": "text"}, "list": [{"name": "n 1", "v": 3}, {"name": "n 2", "v": null}], "n": 4}'
+    )
+    found = dict(map(tuple, summary_rows(spark.read.json(str(tmp_path / "d.json"))).collect()))
+    assert found == {"a.x": 1.0, "a.y": 2.5, "list.n 1.v": 3.0, "list.n 2.v": None, "n": 4.0}
+
+
+def test_conversion_keeps_and_counts_what_does_not_parse(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text(CSV)
+    (tmp_path / "in/b.csv").write_text(
+        CSV.split("\n")[0] + '\n5,eve,perhaps,now,"two\nlines",,\n6,too,few\n7,a,True,now,ok,,,one,more\n'
+    )
+    report = tables.convert_tweets(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    found = {(r.file.rsplit("/", 1)[1], r.item): r.n for r in report.collect()}
+    assert found["a.csv", "rows"] == 4 and found["b.csv", "rows"] == 3
+    assert found["a.csv", "malformed"] == 0 and found["b.csv", "malformed"] == 2
+    assert found["a.csv", "inbound"] == 0 and found["b.csv", "inbound"] == 2
+    assert len(found) == 2 * (2 + len(schemas.TWEETS))
+    kept = {r.tweet_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert kept["6"].malformed == "6,too,few" and kept["5"].unparsed == ["inbound"]
+    tweets = tables.read_converted(spark, str(tmp_path / "out"))
+    assert [r.tweet_id for r in tweets.orderBy("ord").collect()] == ["1", "2", "3", "4", "5", "6", "7"]
+    assert tweets.where("tweet_id = '5'").first().text == "two\nlines"
+
+
 # --- baselines and the whole run ------------------------------------------------------------------------------
 
 def test_linear_baseline_learns(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadwise.operators.golden import missing_columns
+from threadwise.operators.golden import missing_columns, violation_rows
 from threadwise.rules import fixed_values as fixed
 from threadwise.sources.schemas import DIMENSIONS
 
@@ -48,6 +48,50 @@ def unknown_ids(
     )
 
 
+def rating_violations(
+    ratings: DataFrame,
+    results: DataFrame | None = None,
+    absent: list[str] | tuple[str, ...] = (),
+    key: str = "conversation_id",
+) -> DataFrame:
+    """(check, subject, rows): everything that is wrong with ratings, instead of the first error.
+
+    ``absent`` are columns that the file of the ratings lacks; reading it leaves them null, and no
+    further check looks at them. A table without rows, an id rated more than once, an id that the
+    results don't know and a dimension with invalid scores are one row each.
+    """
+    spark = ratings.sparkSession
+    lacking = sorted(set(absent) | set(missing_columns(ratings, REQUIRED)))
+    found = violation_rows(spark, "missing_column", lacking)
+    empty = ratings.agg(F.count("*").alias("n")).where("n = 0")
+    found = found.unionByName(
+        empty.select(
+            F.lit("empty").alias("check"), F.lit(None).cast("string").alias("subject"),
+            F.lit(0).cast("long").alias("rows"),
+        )
+    )
+    dimensions = tuple(name for name in DIMENSIONS if name not in lacking)
+    if dimensions:
+        found = found.unionByName(
+            invalid_dimensions(ratings, dimensions).select(
+                F.lit("invalid_score").alias("check"), F.col("dimension").alias("subject"),
+                F.col("invalid").alias("rows"),
+            )
+        )
+    if key not in lacking:
+        subject = F.col(key).cast("string").alias("subject")
+        found = found.unionByName(
+            repeated_ids(ratings, key).select(F.lit("repeated_id").alias("check"), subject, "rows")
+        )
+        if results is not None:
+            found = found.unionByName(
+                unknown_ids(ratings, results, key).select(
+                    F.lit("unknown_id").alias("check"), subject, F.lit(1).cast("long").alias("rows")
+                )
+            )
+    return found
+
+
 def validate_ratings(
     ratings: DataFrame, results: DataFrame | None = None, key: str = "conversation_id"
 ) -> None:

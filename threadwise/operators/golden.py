@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,10 +13,13 @@ from threadwise.operators.intent import first_match, weak_label
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK, RulePack
+from threadwise.session import cut_lineage
 
 REQUIRED = (
     "conversation_id", "message", "intent", "expected_action", "label_source", "review_status",
 )
+# Up to this quota Spark cuts the rows of a ranking before its shuffle.
+WINDOW_QUOTA = 1000
 # A random order keyed by the id: the same rows are drawn in every run and on every engine.
 
 
@@ -59,6 +65,8 @@ def stratified_sample(
 ) -> DataFrame:
     """At most the quota of rows per intent, drawn in hash order."""
     shares = quotas(total, pack)
+    if max(shares.values()) > WINDOW_QUOTA:
+        return histogram_sample(labelled, shares, key, label, seed)
     order = Window.partitionBy(label).orderBy(draw_order(key, seed), F.col(key))
     # The constant limit lets every task drop rows before the shuffle, however large an intent is.
     return (
@@ -69,6 +77,45 @@ def stratified_sample(
     )
 
 
+def histogram_sample(
+    labelled: DataFrame, shares: dict[str, int], key: str = "conversation_id",
+    label: str = "weak_label", seed: int = fixed.SEED,
+) -> DataFrame:
+    """The rows of ``stratified_sample`` for quotas of any size.
+
+    A histogram of the heads of the hashes gives every label the head that completes its quota.
+    Rows of smaller heads are drawn as they are; only those of that one head, about one in 65,536
+    of a label, are put in order.
+    """
+    wanted = [F.col(label) == name for name, share in shares.items() if share > 0]
+    keyed = labelled.where(reduce(or_, wanted)) if wanted else labelled.where("false")
+    # Read three times: once for the histogram, twice for the rows.
+    keyed = cut_lineage(keyed.withColumn("_draw", draw_order(key, seed)))
+    keyed = keyed.withColumn("_head", F.substring("_draw", 1, 4))
+    counts = keyed.groupBy(label, "_head").agg(F.count("*").alias("rows"))
+    # At most 65,536 heads per label, so each window is small by construction.
+    reached = counts.withColumn(
+        "so_far", F.sum("rows").over(Window.partitionBy(label).orderBy("_head"))
+    ).withColumn("quota", quota_column(F.col(label), shares))
+    full = F.col("so_far") >= F.col("quota")
+    limits = reached.groupBy(label).agg(
+        F.min(F.when(full, F.col("_head"))).alias("_last"),
+        (
+            F.max("quota") - F.coalesce(F.max(F.when(~full, F.col("so_far"))), F.lit(0))
+        ).alias("_left"),
+    )
+    # One row per label of the pack.
+    dealt = keyed.join(F.broadcast(limits), label)
+    whole = dealt.where(F.col("_last").isNull() | (F.col("_head") < F.col("_last")))
+    order = Window.partitionBy(label).orderBy("_draw", key)
+    partly = (
+        dealt.where(F.col("_head") == F.col("_last"))
+        .withColumn("_place", F.row_number().over(order))
+        .where(F.col("_place") <= F.col("_left"))
+    )
+    return whole.select(labelled.columns).unionByName(partly.select(labelled.columns))
+
+
 def golden_set(
     conversations: DataFrame, total: int = fixed.GOLDEN_TOTAL, seed: int = fixed.SEED,
     pack: RulePack = SUPPORT_PACK,
@@ -157,6 +204,30 @@ MESSAGES = {
 }
 
 
+def golden_violations(
+    golden: DataFrame, absent: list[str] | tuple[str, ...] = (),
+    row_range: tuple[int, int] = fixed.GOLDEN_ROW_RANGE, pack: RulePack = SUPPORT_PACK,
+) -> DataFrame:
+    """(check, subject, rows): everything that is wrong with a set, instead of the first error.
+
+    ``absent`` are columns that its file lacks; reading it leaves them null.
+    """
+    missing = violation_rows(golden.sparkSession, "missing_column", absent)
+    found = golden_checks(golden, row_range, pack).where("violations > 0")
+    return missing.unionByName(
+        found.select("check", F.lit(None).cast("string").alias("subject"),
+                     F.col("violations").alias("rows"))
+    )
+
+
+def violation_rows(spark: SparkSession, check: str, subjects) -> DataFrame:
+    """(check, subject, rows) for names known without reading a table."""
+    names = F.array(*[F.lit(name) for name in subjects]).cast("array<string>")
+    return spark.range(1).select(
+        F.lit(check).alias("check"), F.explode(names).alias("subject"), F.lit(0).cast("long").alias("rows")
+    )
+
+
 def validate_golden(
     golden: DataFrame, require_reviewed: bool = False,
     row_range: tuple[int, int] = fixed.GOLDEN_ROW_RANGE, pack: RulePack = SUPPORT_PACK,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadwise.operators.agreement import agreement, join_ratings, long_scores, validate_ratings
 from threadwise.operators.baselines import fit_text_classifier, predict_majority
@@ -110,6 +111,34 @@ class Evaluation:
         write_nested(self.summary(), f"{folder}/evaluation_summary")
 
 
+def summary_rows(document: DataFrame) -> DataFrame:
+    """(path, value): every number of a nested document, as read from its JSON file.
+
+    A path is made of the names of the fields; an element of an array goes by its first text field.
+    """
+    found = [_numbers(field.dataType, F.col(field.name), F.lit(field.name)) for field in document.schema]
+    return document.select(F.inline(F.concat(*found)))
+
+
+def _numbers(kind: T.DataType, value: Column, path: Column) -> Column:
+    if isinstance(kind, T.StructType):
+        parts = [
+            _numbers(field.dataType, value[field.name], F.concat(path, F.lit(f".{field.name}")))
+            for field in kind
+        ]
+        return F.concat(*parts)
+    if isinstance(kind, T.ArrayType):
+        element = kind.elementType
+        named = [f.name for f in element if isinstance(f.dataType, T.StringType)][0]
+        return F.flatten(
+            F.transform(
+                value, lambda e: _numbers(element, e, F.concat(path, F.lit("."), e[named]))
+            )
+        )
+    number = F.struct(path.alias("path"), value.try_cast("double").alias("value"))
+    return F.array(number) if isinstance(kind, T.NumericType) else F.slice(F.array(number), 1, 0)
+
+
 def evaluate(
     golden: DataFrame,
     conversations: DataFrame,
@@ -120,10 +149,14 @@ def evaluate(
     judged = cut_lineage(heuristic_scores(run_agent(golden, index, pack=pack)))
     predictions = baseline_predictions(golden, training_rows(conversations, training, pack))
     cells = {
-        name: cut_lineage(confusion(rows, "intent", "predicted"))
-        for name, rows in predictions.items()
+        name: confusion(rows, "intent", "predicted") for name, rows in predictions.items()
     }
-    cells[AGENT] = cut_lineage(confusion(judged, "true_intent", "pred_intent"))
+    return evaluation_of(judged, cells | {AGENT: confusion(judged, "true_intent", "pred_intent")})
+
+
+def evaluation_of(judged: DataFrame, cells: dict[str, DataFrame]) -> Evaluation:
+    """All tables of an evaluation from judged rows and a confusion table per model."""
+    cells = {name: cut_lineage(table) for name, table in cells.items()}
     actions = cut_lineage(confusion(judged, "true_action", "pred_action"))
     counts = binary_counts(actions)
     escalation = binary_scores(actions).withColumns(

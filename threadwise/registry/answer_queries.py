@@ -11,10 +11,10 @@ from threadwise.registry import evaluation_queries as evaluation
 from threadwise.registry import inputs, retrieval_queries
 from threadwise.registry import sqltext as sql
 from threadwise.registry.catalog import query
-from threadwise.registry.inputs import BRAND, SUPPORT_TURNS
+from threadwise.registry.inputs import BRAND, SUPPORT_TURNS, TWEETS
 from threadwise.rules import wording
 from threadwise.session import cut_lineage, shared_folder
-from threadwise.sources import tables
+from threadwise.sources import schemas, tables
 
 # --- M: answers -----------------------------------------------------------------------------------
 # Every message gets an answer by its id: usable, fenced, broken or beside the point.
@@ -172,6 +172,59 @@ def a5_conversations_read_back(spark, sf_dir):
     return tables.read_conversations(spark, folder, "csv")
 
 
+# An export with line breaks and quotes in its texts, and with flags that are none in every seventh row.
+_QUIRK = 'concat(text, chr(10), \'"quoted", again\')'
+
+
+def _export(spark, sf_dir) -> str:
+    """The tweets as several CSV files."""
+    folder = _folder(spark, "export")
+    rows = inputs.tweets(spark, sf_dir).select(
+        *[
+            F.expr("IF(ord % 7 = 0, 'maybe', cast(inbound AS string))").alias("inbound")
+            if name == "inbound"
+            else F.concat("text", F.lit('\n"quoted", again')).alias("text")
+            if name == "text"
+            else name
+            for name in schemas.TWEETS.names
+        ]
+    )
+    tables.write_flat(rows.repartition(5), folder, "csv")
+    return folder
+
+
+@query(
+    sql.with_(TWEETS)
+    + f"""
+SELECT tweet_id, author_id, ord % 7 <> 0 AND inbound AS inbound, created_at, {_QUIRK} AS text,
+       response_tweet_id, in_response_to_tweet_id FROM tweets"""
+)
+def a1_tweets_read_back(spark, sf_dir):
+    """A raw export of several files, converted once and read."""
+    converted = _folder(spark, "converted")
+    tables.convert_tweets(spark, _export(spark, sf_dir), converted)
+    return tables.read_converted(spark, converted).drop("ord")
+
+
+@query(
+    sql.with_(TWEETS)
+    + """
+SELECT 'rows' AS item, count(*) AS n, 5 AS files FROM tweets
+UNION ALL SELECT 'malformed', 0, 5
+UNION ALL SELECT 'inbound', count(*) FILTER (ord % 7 = 0), 5 FROM tweets
+"""
+    + "".join(
+        f"UNION ALL SELECT '{name}', 0, 5\n" for name in schemas.TWEETS.names if name != "inbound"
+    )
+)
+def a1_parse_report(spark, sf_dir):
+    """What did not parse in a raw export, summed over its files."""
+    report = tables.convert_tweets(spark, _export(spark, sf_dir), _folder(spark, "converted"))
+    return report.groupBy("item").agg(
+        F.sum("n").alias("n"), F.count_distinct("file").cast("int").alias("files")
+    )
+
+
 @query(
     sql.with_(SUPPORT_TURNS)
     + f"""

@@ -15,7 +15,8 @@ from threadwise.registry.inputs import MESSAGES, PROBLEMS, SUPPORT_CONVERSATIONS
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules import wording
 from threadwise.rules.pack import SUPPORT_PACK
-from threadwise.session import shared_folder
+from threadwise.session import cut_lineage, shared_folder
+from threadwise.sources import schemas, tables
 from threadwise.sources.schemas import DIMENSIONS
 from threadwise.streaming.triage_stream import read_messages, start_triage
 
@@ -93,6 +94,26 @@ def j4_stratified_sample(spark, sf_dir):
     return sample.select("conversation_id", "weak_label")
 
 
+_SHARES = golden.quotas(110)
+
+
+@query(
+    sql.with_(MESSAGES, sql.scored("messages", "msg_id", "message"))
+    + """,
+labelled AS (
+  SELECT m.msg_id, coalesce(b.intent, 'other_general') AS weak_label
+  FROM messages m LEFT JOIN best b USING (msg_id)),
+drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY weak_label
+           ORDER BY md5(concat('42:', CAST(msg_id AS VARCHAR))), msg_id) AS place FROM labelled)
+SELECT msg_id, weak_label FROM drawn WHERE place <= 10"""
+)
+def j4_histogram_sample(spark, sf_dir):
+    """The way large quotas are drawn, here with small ones, so that some labels exceed theirs."""
+    labelled = intent.weak_label(inputs.messages(spark, sf_dir)).select("msg_id", "weak_label")
+    return golden.histogram_sample(labelled, _SHARES, "msg_id")
+
+
 @query(_LABELLED + "\nSELECT * FROM golden")
 def j5_golden_set(spark, sf_dir):
     return _golden(spark, sf_dir)
@@ -536,6 +557,92 @@ def k16_model_comparison(spark, sf_dir):
     )
 
 
+def _means(name: str) -> str:
+    return f"SELECT 'reply_quality.{name}.mean' AS path, round(avg(judge_{name}), 3) AS value FROM judged"
+
+
+def _beside(ctes: str) -> str:
+    """The CTEs of a vocabulary under other names, for use beside those of the index."""
+    return ctes.replace("doc_", "own_").replace("vocab", "own_vocab")
+
+
+_K17_MODELS = {
+    plan.MAJORITY: "majority_predictions", plan.LINEAR: "linear_predictions",
+    plan.AGENT: "agent_predictions",
+}
+_K17_ACTIONS = """action_counts AS (
+  SELECT count(*) FILTER (true_action = 'ESCALATE' AND pred_action = 'ESCALATE') AS true_positives,
+         count(*) FILTER (true_action <> 'ESCALATE' AND pred_action = 'ESCALATE') AS false_positives,
+         count(*) FILTER (true_action = 'ESCALATE' AND pred_action <> 'ESCALATE') AS false_negatives,
+         count(*) FILTER (true_action <> 'ESCALATE' AND pred_action <> 'ESCALATE') AS true_negatives
+  FROM judged),
+action_scores AS (
+  SELECT *, CASE WHEN true_positives + false_positives = 0 THEN 0 ELSE
+              round(true_positives / (true_positives + false_positives), 4) END AS precision,
+         CASE WHEN true_positives + false_negatives = 0 THEN 0 ELSE
+              round(true_positives / (true_positives + false_negatives), 4) END AS recall,
+         CASE WHEN 2 * true_positives + false_positives + false_negatives = 0 THEN 0 ELSE round(
+              2 * true_positives / (2 * true_positives + false_positives + false_negatives), 4) END AS f1
+  FROM action_counts)"""
+
+
+@query(
+    sql.recursive(
+        sql.with_(
+            JUDGED,
+            "agent_predictions AS (SELECT true_intent AS truth, pred_intent AS predicted FROM judged)",
+            """labelled AS (
+  SELECT m.msg_id, coalesce(b.intent, 'other_general') AS label
+  FROM messages m LEFT JOIN best b USING (msg_id))""",
+            "majority AS (SELECT label FROM labelled GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
+            """majority_predictions AS (
+  SELECT truth, (SELECT label FROM majority) AS predicted FROM agent_predictions)""",
+            _beside(sql.tfidf("messages", "msg_id", "message", fixed.BASELINE_MAX_FEATURES)),
+            _beside(sql.linear_fit([x.name for x in SUPPORT_PACK.intents])),
+            """linear_predictions AS MATERIALIZED (
+  SELECT j.true_intent AS truth, l.predicted
+  FROM judged j JOIN linear l ON CAST(l.msg_id AS VARCHAR) = j.conversation_id)""",
+            _K17_ACTIONS,
+            "compared AS ("
+            + "\nUNION ALL\n".join(_comparison_sql(m, rows) for m, rows in _K17_MODELS.items())
+            + ")",
+        )
+    )
+    + """
+SELECT concat('models.', model, '.', metric) AS path, value FROM (
+  UNPIVOT (SELECT model, accuracy::DOUBLE AS accuracy, macro_f1::DOUBLE AS macro_f1,
+                  macro_precision::DOUBLE AS macro_precision, macro_recall::DOUBLE AS macro_recall,
+                  weighted_f1::DOUBLE AS weighted_f1 FROM compared)
+  ON accuracy, macro_f1, macro_precision, macro_recall, weighted_f1
+  INTO NAME metric VALUE value)
+UNION ALL
+SELECT concat('escalation.', metric), value FROM (
+  UNPIVOT (SELECT precision::DOUBLE AS precision, recall::DOUBLE AS recall, f1::DOUBLE AS f1,
+                  true_positives::DOUBLE AS true_positives, false_positives::DOUBLE AS false_positives,
+                  false_negatives::DOUBLE AS false_negatives, true_negatives::DOUBLE AS true_negatives
+           FROM action_scores)
+  ON precision, recall, f1, true_positives, false_positives, false_negatives, true_negatives
+  INTO NAME metric VALUE value)
+UNION ALL
+"""
+    + "\nUNION ALL\n".join(_means(name) for name in DIMENSIONS)
+)
+def k17_summary(spark, sf_dir):
+    """The summary of an evaluation, written as a nested document and read back as rows."""
+    judged = cut_lineage(_judged(spark, sf_dir))
+    rows = cut_lineage(_weakly_labelled(spark, sf_dir).select("msg_id", "message", "truth", "label"))
+    linear = baselines.fit_text_classifier(rows).predict(rows)
+    cells = {
+        plan.MAJORITY: metrics.confusion(baselines.predict_majority(rows, rows), "truth", "predicted"),
+        plan.LINEAR: metrics.confusion(rows.join(linear, "msg_id"), "truth", "predicted"),
+        plan.AGENT: metrics.confusion(judged, "true_intent", "pred_intent"),
+    }
+    run = plan.evaluation_of(judged, cells)
+    folder = f"{shared_folder(spark)}/threadwise-summary-{uuid.uuid4().hex}"
+    tables.write_nested(run.summary(), folder)
+    return plan.summary_rows(spark.read.json(folder))
+
+
 # --- L: agreement ------------------------------------------------------------------------------------------
 
 # Human and judge scores for all five dimensions, derived from every labelled document; "tone"
@@ -674,6 +781,90 @@ def l13_rating_template(spark, sf_dir):
     return agreement.rating_template(_judged(spark, sf_dir))
 
 
+# --- A, L: tables with defects, reported whole ----------------------------------------------------------
+
+@query(_LABELLED + "\nSELECT * FROM golden")
+def a3_golden_read_back(spark, sf_dir):
+    """An evaluation set written as CSV and scanned again."""
+    folder = f"{shared_folder(spark)}/threadwise-golden-{uuid.uuid4().hex}"
+    tables.write_flat(_golden(spark, sf_dir), folder, "csv")
+    return tables.read_golden(spark, folder).withColumn(
+        "conversation_id", F.col("conversation_id").cast("long")
+    )
+
+
+# Ratings of all labelled documents without their tone; every seventh is rated twice, every ninth
+# unknown to the results, some scores are fractions, blanks or out of range.
+_FAULTY_SCORES = {
+    "correctness": "CASE WHEN doc_id % 5 = 0 THEN '3.5' ELSE '4' END",
+    "groundedness": "CASE WHEN doc_id % 11 = 0 THEN '' ELSE '2' END",
+    "helpfulness": "CASE WHEN toxic = 1 THEN '6' ELSE '5.0' END",
+    "hallucination": "'1'",
+}
+_FAULTY = f"""faulty AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, {", ".join(f"{v} AS {k}" for k, v in _FAULTY_SCORES.items())}
+  FROM labels JOIN (SELECT 1 AS copy UNION ALL SELECT 2) ON copy = 1 OR doc_id % 7 = 0)"""
+_GOOD_SCORE = "coalesce(TRY_CAST({0} AS DOUBLE) BETWEEN 1 AND 5 AND TRY_CAST({0} AS DOUBLE) % 1 = 0, FALSE)"
+
+
+@query(
+    sql.with_(_FAULTY)
+    + """
+SELECT 'missing_column' AS check, 'tone' AS subject, CAST(0 AS BIGINT) AS rows
+UNION ALL
+SELECT 'repeated_id', id, count(*) FROM faulty GROUP BY id HAVING count(*) > 1
+UNION ALL
+SELECT DISTINCT 'unknown_id', id, CAST(1 AS BIGINT) FROM faulty WHERE CAST(id AS BIGINT) % 9 = 0
+"""
+    + "".join(
+        f"""UNION ALL
+SELECT 'invalid_score', '{name}', count(*) FROM faulty WHERE NOT {_GOOD_SCORE.format(name)}
+HAVING count(*) > 0
+"""
+        for name in _FAULTY_SCORES
+    )
+)
+def l2_rating_violations(spark, sf_dir):
+    """Everything that is wrong with a file of ratings, read as it was written."""
+    labels = inputs.read(spark, sf_dir, "labels")
+    copies = F.explode(F.expr("IF(doc_id % 7 = 0, array(1, 2), array(1))"))
+    ratings = labels.select("*", copies.alias("copy")).selectExpr(
+        "cast(doc_id AS string) AS conversation_id", "'m' AS message", "'r' AS reply",
+        *[f"{value} AS {name}" for name, value in _FAULTY_SCORES.items()],
+    )
+    folder = f"{shared_folder(spark)}/threadwise-ratings-{uuid.uuid4().hex}"
+    tables.write_flat(ratings, folder, "csv")
+    results = labels.where("doc_id % 9 <> 0").selectExpr("cast(doc_id AS string) AS conversation_id")
+    return agreement.rating_violations(
+        tables.read_ratings(spark, folder),
+        results,
+        tables.absent_columns(spark, folder, schemas.HUMAN_RATINGS),
+    )
+
+
+@query(
+    sql.with_(_RATED)
+    + "\nSELECT conversation_id, "
+    + ", ".join(f"CAST({name} AS VARCHAR) AS {name}" for name in DIMENSIONS)
+    + ", judge_tone FROM rated"
+)
+def a4_ratings_read_back(spark, sf_dir):
+    """Ratings and judged results written as CSV, scanned again and joined."""
+    folder = f"{shared_folder(spark)}/threadwise-rated-{uuid.uuid4().hex}"
+    rows = _rated(spark, sf_dir)
+    tables.write_flat(
+        rows.select("conversation_id", *[F.col(name).cast("string") for name in DIMENSIONS]),
+        f"{folder}/ratings", "csv",
+    )
+    tables.write_flat(
+        rows.select("conversation_id", *[f"judge_{name}" for name in DIMENSIONS]),
+        f"{folder}/results", "csv",
+    )
+    ratings = tables.read_ratings(spark, f"{folder}/ratings").select("conversation_id", *DIMENSIONS)
+    judged = tables.read_judged(spark, f"{folder}/results").select("conversation_id", "judge_tone")
+    return ratings.join(judged, "conversation_id")
+
+
 # --- S: streaming -------------------------------------------------------------------------------------------
 
 @query(

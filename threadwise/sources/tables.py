@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from threadwise.operators.threads import HEAD_CHARS
 from threadwise.sources import schemas
 
+# Where the reader leaves a record that has not the fields of the header.
+CORRUPT = "_corrupt_record"
+
 
 def read_csv(
     spark: SparkSession, path: str | list[str], schema: T.StructType
@@ -38,6 +41,69 @@ def read_csv(
     )
 
 
+def absent_columns(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, fmt: str = "csv"
+) -> list[str]:
+    """Columns of ``schema`` that a file's header, or a table's own schema, does not have."""
+    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    found = {name.strip().lower() for name in reader.format(fmt).load(path).columns}
+    return sorted(name for name in schema.names if name.lower() not in found)
+
+
+def scan_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """``read_csv`` with what did not parse: ``file``, ``malformed`` and ``unparsed`` per row.
+
+    ``malformed`` is the text of a record with too few or too many fields, else null; ``unparsed``
+    names the columns whose value is there but not of their type.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "enforceSchema": False}
+    names = spark.read.options(**options).csv(path).columns
+    text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
+    found = spark.read.options(**options, columnNameOfCorruptRecord=CORRUPT).schema(text).csv(path)
+    by_name = {name.strip().lower(): F.col(f"`{name}`") for name in names}
+    values = {f.name: by_name.get(f.name.lower(), F.lit(None).cast("string")) for f in schema}
+    failed = [
+        F.when(values[f.name].isNotNull() & values[f.name].try_cast(f.dataType).isNull(), f.name)
+        for f in schema
+    ]
+    return found.select(
+        *[values[f.name].try_cast(f.dataType).alias(f.name) for f in schema],
+        F.col("_metadata.file_path").alias("file"),
+        F.col(CORRUPT).alias("malformed"),
+        F.array_compact(F.array(*failed)).alias("unparsed"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def parse_report(scanned: DataFrame, schema: T.StructType) -> DataFrame:
+    """(file, item, n): rows and malformed rows of each file, and unparsed values of each column."""
+    items = {"rows": F.count("*"), "malformed": F.count("malformed")}
+    for name in schema.names:
+        items[name] = F.count_if(F.array_contains("unparsed", name))
+    counts = scanned.groupBy("file").agg(*[n.alias(name) for name, n in items.items()])
+    return counts.unpivot(["file"], list(items), "item", "n")
+
+
+def convert_tweets(spark: SparkSession, path: str | list[str], output: str) -> DataFrame:
+    """Convert a raw export to Parquet once, all its files side by side; returns the parse report.
+
+    Every record becomes a row, also one that did not parse; its text is kept beside it.
+    """
+    scan_csv(spark, path, schemas.TWEETS).write.parquet(output)
+    return parse_report(spark.read.parquet(output), schemas.TWEETS)
+
+
+def read_converted(spark: SparkSession, path: str) -> DataFrame:
+    """The tweets of a converted export, as ``read_tweets`` gives them."""
+    return spark.read.parquet(path).select(
+        *[
+            F.coalesce("inbound", F.lit(False)).alias(name) if name == "inbound" else name
+            for name in schemas.TWEETS.names
+        ],
+        F.struct("file", "row").alias("ord"),
+    )
+
+
 def read_tweets(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scan a raw export and add ``ord``, the position of each row in file order."""
     # Rows of one file stay in order inside one task, so (file, running id) is file order.
