@@ -68,24 +68,35 @@ def line_key(line):
     return hashlib.md5(re.sub(r"[\x20\x09-\x0D0-9]+", " ", lowered).strip(" ").encode()).hexdigest()
 
 
-def verdicts(rows, min_documents, max_share):
-    """(measures, removed words, kept) of (host, text) rows."""
-    held, documents = defaultdict(set), defaultdict(set)
+def frequent(rows, min_documents):
+    """The (host, line key) pairs held by too many different texts of the host."""
+    held, texts = defaultdict(set), defaultdict(set)
     for host, text in rows:
-        keys = [line_key(line) for line in (text or "").split("\n") if words(line)]
-        for key in keys:
-            held[host, key].add(min(keys))
-            documents[host].add(min(keys))
+        for line in (text or "").split("\n"):
+            if words(line):
+                held[host, line_key(line)].add(text)
+                texts[host].add(text)
+    return {
+        (host, key)
+        for (host, key), found in held.items()
+        if len(found) > min_documents and len(found) ** 2 > len(texts[host])
+    }
+
+
+def verdicts(rows, min_documents):
+    """(measures, removed words, kept) of (host, text) rows."""
+    above = frequent(rows, min_documents)
     result = []
     for host, text in rows:
         gone = 0
         for line in (text or "").split("\n"):
-            n = len(held[host, line_key(line)]) if words(line) else 0
-            if n > min_documents and n > max_share * len(documents[host]):
+            if words(line) and (host, line_key(line)) in above:
                 gone += len(words(line))
         found = measures(text)
         left = found["n_words"] - gone
-        depleted = gone > 0 and left < 50 and left < 0.5 * found["n_words"]
+        depleted = gone > 0 and (
+            (left < 50 and left < 0.5 * found["n_words"]) or left < 0.2 * found["n_words"]
+        )
         result.append((found, gone, not found["base_failed"] and not depleted))
     return result
 

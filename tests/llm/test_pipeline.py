@@ -1,6 +1,6 @@
 """The pipeline against plain functions, and every stage over awkward documents."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 from pathlib import Path
 
 import brute
@@ -8,18 +8,29 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import Row
 
 from threadwise.llm import line_quality, pii
 
 TESTDATA = Path("/root/testdata/sf0.001")
 
 
+def without(row, above):
+    """The row without the lines that are above the limits."""
+    lines = [
+        line
+        for line in (row.text or "").split("\n")
+        if not brute.words(line) or (row.source, brute.line_key(line)) not in above
+    ]
+    return Row(**(row.asDict() | {"text": row.text and "\n".join(lines)}))
+
+
 def plain_run(rows):
     """(doc id, lang, source, ids) of the documents that remain, by the operators' definitions."""
-    found = brute.verdicts(
-        [(r.source, r.text) for r in rows], line_quality.MIN_DOCUMENTS, line_quality.MAX_SHARE
-    )
-    rows = [r for r, (_, _, kept) in zip(rows, found) if kept]
+    texts = [(r.source, r.text) for r in rows]
+    above = brute.frequent(texts, line_quality.MIN_DOCUMENTS)
+    found = brute.verdicts(texts, line_quality.MIN_DOCUMENTS)
+    rows = [without(r, above) for r, (_, _, kept) in zip(rows, found) if kept]
     prints = [(r.doc_id, brute.fingerprint(r.text)) for r in rows]
     chosen = {}
     for row, component in zip(rows, brute.component_ids(prints)):
@@ -57,26 +68,12 @@ def test_stages_keep_the_columns(spark, clashing, nothing, tmp_path):
 
 def without_frequent_lines(rows):
     """(doc id, text, n_chars) of the documents kept, by plain counts of their lines."""
-    def keys(text):
-        return [brute.line_key(line) for line in text.split("\n") if brute.words(line)]
-
-    held, documents = defaultdict(set), defaultdict(set)
-    for row in rows:
-        for key in keys(row.text):
-            held[row.source, key].add(min(keys(row.text)))
-            documents[row.source].add(min(keys(row.text)))
-
-    def frequent(source, line):
-        n = len(held[source, brute.line_key(line)]) if brute.words(line) else 0
-        limit = line_quality.MAX_SHARE * len(documents[source])
-        return n > line_quality.MIN_DOCUMENTS and n > limit
-
-    found = brute.verdicts(
-        [(r.source, r.text) for r in rows], line_quality.MIN_DOCUMENTS, line_quality.MAX_SHARE
-    )
+    texts = [(r.source, r.text) for r in rows]
+    above = brute.frequent(texts, line_quality.MIN_DOCUMENTS)
+    found = brute.verdicts(texts, line_quality.MIN_DOCUMENTS)
     result = Counter()
     for row, (_, gone, kept) in zip(rows, found):
-        clean = "\n".join(s for s in row.text.split("\n") if not frequent(row.source, s))
+        clean = without(row, above).text
         if kept:
             result[row.doc_id, clean, len(clean) if gone else row.n_chars] += 1
     return result

@@ -69,13 +69,12 @@ line_rows AS (
              'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D0-9]+', ' ', 'g'))) AS key,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
   FROM (SELECT source, t, unnest(lines) AS line FROM (SELECT DISTINCT source, t, lines FROM w))),
-sketched AS (SELECT *, min(key) OVER (PARTITION BY source, t) AS document FROM line_rows),
-hosts AS (SELECT source, count(DISTINCT document) AS documents FROM sketched GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT t) AS documents FROM line_rows GROUP BY source),
 frequent AS (
-  SELECT s.source, s.key FROM sketched s
+  SELECT s.source, s.key FROM line_rows s
   JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
   GROUP BY s.source, s.key, h.documents
-  HAVING count(DISTINCT document) > 20 AND count(DISTINCT document) > 0.1 * h.documents),
+  HAVING count(DISTINCT t) > 20 AND count(DISTINCT t) > sqrt(h.documents)),
 removed AS (
   SELECT l.source, l.t, sum(l.n) AS n
   FROM line_rows l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.key = f.key
@@ -90,7 +89,8 @@ measured AS (
   LEFT JOIN removed m ON w.source IS NOT DISTINCT FROM m.source AND w.t = m.t),
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         gone > 0 AND n_words - gone < 50 AND n_words - gone < 0.5 * n_words AS depleted
+         gone > 0 AND (n_words - gone < 50 AND n_words - gone < 0.5 * n_words
+                       OR n_words - gone < 0.2 * n_words) AS depleted
   FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT depleted AS kept

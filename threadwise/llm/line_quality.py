@@ -1,9 +1,9 @@
 """Quality rules: measures of a text, and how often its lines occur across a host's documents.
 
-Lines are normalised and hashed. A line's frequency is the number of distinct documents of its host
-that hold it, where documents count as one if they share their smallest line hash, so that copies
-and near copies of one document do not make its lines look like boilerplate. Lines above the limit
-are removed, and a document is rejected if too little of it remains.
+Lines are normalised and hashed. A line's frequency is the number of distinct texts of its host that
+hold it, so exact copies count once. Lines above the limit, which grows with the square root of the
+host's texts, are removed, and a document is rejected if too little of it remains: too few words
+after losing half of them, or too small a share of its words whatever their number.
 
 Defined results: null text has no words and fails the base rules; a null host is a host of its own;
 a text without lines has nothing to remove; equal rows get equal results; an empty table gives an
@@ -30,12 +30,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
-# A line is removed when more documents of a host hold it than both limits allow.
+# A line is removed when more texts of a host hold it than this and than the root of their number.
 MIN_DOCUMENTS = 20
-MAX_SHARE = 0.1
-# A document is depleted when fewer words remain than this and less than this share of its words.
+# A document is depleted when fewer words remain than this and less than this share of its words,
+# or less than the smaller share, however many words that is.
 MIN_LEFT = 50
 MIN_LEFT_SHARE = 0.5
+LEAST_SHARE = 0.2
 # A line in most documents of a host is one key with most rows: its rows are dealt to this many.
 SALTS = 32
 
@@ -148,35 +149,22 @@ def _keyed(docs: DataFrame, text: str, host: str) -> DataFrame:
     )
 
 
-def frequent_lines(
-    texts: DataFrame, min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE
-) -> DataFrame:
+def frequent_lines(texts: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(host, line key) of the lines above the limits.
 
-    ``texts`` holds each text of a host once. Distinct (line, document) pairs are shuffled first,
-    so a line that a third of all documents hold is spread over their number.
+    ``texts`` holds each text of a host once; its lines are counted in every task before they are
+    shuffled, so a line that a third of all texts hold arrives as one row per task.
     """
-    documents = texts.withColumn("document", F.array_min("quality_lines.line"))
-    size = (
-        documents.select("quality_host", "document")
-        .distinct()
-        .groupBy("quality_host")
-        .agg(F.count("*").alias("documents"))
-    )
+    size = texts.groupBy("quality_host").agg(F.count("*").alias("documents"))
     held = (
-        documents.select(
-            "quality_host",
-            "document",
-            F.explode(F.array_distinct("quality_lines.line")).alias("line"),
-        )
-        .distinct()
+        texts.select("quality_host", F.explode(F.array_distinct("quality_lines.line")).alias("line"))
         .groupBy("quality_host", "line")
         .agg(F.count("*").alias("frequency"))
         .filter(F.col("frequency") > min_documents)
     )
     return (
         held.join(size, "quality_host")
-        .filter(F.col("frequency") > max_share * F.col("documents"))
+        .filter(F.col("frequency") > F.sqrt("documents"))
         .select("quality_host", "line")
     )
 
@@ -202,7 +190,6 @@ def with_verdict(
     text: str = "text",
     host: str = "source",
     min_documents: int = MIN_DOCUMENTS,
-    max_share: float = MAX_SHARE,
 ) -> DataFrame:
     """Add the measures, ``removed_words``, ``clean_text`` (frequent lines removed) and ``kept``.
 
@@ -223,17 +210,15 @@ def with_verdict(
         .agg(F.any_value("quality_lines").alias("quality_lines"))
         .filter(F.size("quality_lines") > 0)
     )
-    removed = removed_lines(texts, frequent_lines(texts, min_documents, max_share))
+    # Written, so that a text with a third of all rows as copies can be split in the join below.
+    removed = cut_lineage(removed_lines(texts, frequent_lines(texts, min_documents)))
     judged = with_measures(keyed, text)
     judged = judged.join(removed, ["quality_host", "quality_text"], "left").withColumn(
         "removed_words", F.coalesce("removed_words", F.lit(0))
     )
     left = F.col("n_words") - F.col("removed_words")
-    depleted = (
-        (F.col("removed_words") > 0)
-        & (left < MIN_LEFT)
-        & (left < MIN_LEFT_SHARE * F.col("n_words"))
-    )
+    few = (left < MIN_LEFT) & (left < MIN_LEFT_SHARE * F.col("n_words"))
+    depleted = (F.col("removed_words") > 0) & (few | (left < LEAST_SHARE * F.col("n_words")))
     clean = F.array_join(
         F.filter(
             F.split(F.col(text), "\n", -1),
