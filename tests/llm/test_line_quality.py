@@ -70,7 +70,7 @@ def test_the_limit_does_not_grow_with_the_host(spark):
 
 def test_a_small_share_of_own_words_is_too_little(spark):
     shared = "\n".join(prose(60 * n, 60) for n in range(5))
-    rows = [(i, "h", f"{shared}\n{prose(320 + 9 * i, own)}") for i, own in enumerate([60] * 25 + [300])]
+    rows = [(i, "h", f"{shared}\n{prose(9 * i, own).replace('word', 'own')}") for i, own in enumerate([60] * 25 + [300])]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert [r.doc_id for r in check(docs) if r.kept] == [25]
 
