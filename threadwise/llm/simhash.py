@@ -40,7 +40,7 @@ GROUP_ROWS = 50_000
 CHUNK = 200_000
 SMALL = 16
 
-ADDED = ("fingerprint", "component_root", "component_id")
+ADDED = ("fingerprint", "component_root", "component_id", "simhash_row", "simhash_id")
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -312,7 +312,10 @@ def near_duplicates(
         "smallest",
     )
     rooted = cut_lineage(rooted)
-    ids = rooted.groupBy("component_root").agg(F.min("smallest").alias("component_id"))
+    # Both sides of the join are written tables, so a component of any size can be split in it.
+    ids = cut_lineage(
+        rooted.groupBy("component_root").agg(F.min("smallest").alias("component_id"))
+    )
     labels = rooted.drop("smallest").join(ids, "component_root")
     return fingerprinted.join(labels, "fingerprint")
 
@@ -324,8 +327,34 @@ def deduplicated(
     shingle: int = SHINGLE,
     errors: int = MAX_DISTANCE,
 ) -> DataFrame:
-    """One document of each component: the one with the smallest id, with the input's columns."""
+    """One document of each component: the one with the smallest id, with the input's columns.
+
+    Texts are read and fingerprinted once and written with a row number. The decision is made on
+    numbers, ids and fingerprints alone, and only the numbers of the rows that go come back.
+    """
     inputs, restored = set_aside(docs, ADDED)
-    labelled = near_duplicates(with_fingerprint(inputs, text, shingle), doc_id, errors)
-    first = labelled.filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["component_root"]).select(*restored)
+    stored = cut_lineage(
+        with_fingerprint(inputs, text, shingle).withColumn(
+            "simhash_row", F.monotonically_increasing_id()
+        )
+    )
+    labelled = near_duplicates(
+        stored.select("simhash_row", F.col(doc_id).alias("simhash_id"), "fingerprint"),
+        "simhash_id",
+        errors,
+    )
+    labelled = cut_lineage(
+        labelled.select(
+            "simhash_row",
+            "component_root",
+            F.col("simhash_id").eqNullSafe(F.col("component_id")).alias("smallest"),
+        )
+    )
+    first = (
+        labelled.filter("smallest").groupBy("component_root")
+        .agg(F.min("simhash_row").alias("simhash_row"))
+    )
+    others = cut_lineage(
+        labelled.select("simhash_row").join(first, "simhash_row", "left_anti")
+    )
+    return stored.join(others, "simhash_row", "left_anti").select(*restored)
