@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -19,6 +20,38 @@ def test_encoder_equals_library(text):
     assert pieces.decode_ids(ids, MODEL) == LIBRARY.decode(ids) == text.replace("▁", " ")
 
 
+def test_decoding_at_once_equals_decoding_one_by_one(monkeypatch):
+    monkeypatch.setattr(pieces, "DECODED_AT_ONCE", 3)
+    texts = ["", "a", " two  words", "▁x Größe 日本 😀", "last\n"]
+    lists = [LIBRARY.encode(text) for text in texts]
+    ids = np.array([number for found in lists for number in found], dtype=np.int32)
+    offsets = np.cumsum([0, *map(len, lists)])
+    decoder = pieces.Decoder(MODEL)
+    assert decoder.decode(ids).decode() == "".join(
+        b"".join(MODEL.texts[n] for n in found).decode() for found in lists
+    )
+    assert decoder.matches(ids, offsets, texts) == [True] * 5
+    assert decoder.matches(ids, offsets, ["", "b", "two words", "x", "last"]) == [True] + [False] * 4
+
+
+def test_other_models_are_refused(monkeypatch):
+    class Unigram(sentencepiece.SentencePieceProcessor):
+        def get_score(self, number):
+            return super().get_score(number) - 0.5
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError, match="byte-pair"):
+        pieces.load(PATH)
+
+    class Folding(sentencepiece.SentencePieceProcessor.__mro__[1]):
+        def encode(self, text):
+            return super().encode(text.strip())
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="spaces"):
+        pieces.load(PATH)
+
+
 def test_lattice_equals_library(spark, awkward):
     units = pieces.frequent_units(pieces.count_units(awkward))
     rows = pieces.folded_units(units, MODEL).collect()

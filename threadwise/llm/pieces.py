@@ -31,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,10 @@ FREQUENT_UNITS = 1 << 18
 LONGEST_UNIT = 62
 # Chunks of text, and rare units, that one Python worker remembers.
 REMEMBERED = 150_000
+# Ids whose texts are put together at once.
+DECODED_AT_ONCE = 1 << 19
+# Texts on which a model has to agree with the library, spaces at all places among them.
+PROBES = ("a  b ", " x", "\t\n", "Ａ①e\u0301", "Zoë's 日本 1999", "word\u00a0word", "")
 
 ADDED = ("ids", "n_tokens", "decoded")
 
@@ -82,13 +87,20 @@ def load(path: str) -> Model:
     crossing = [piece for piece in scores if not regex.fullmatch(UNIT, piece)]
     if crossing:
         raise ValueError(f"pieces reach across units: {crossing[:5]}")
-    return Model(
+    # The scores of a byte-pair model are the ranks of its merges.
+    if any(score != int(score) for score, _ in scores.values()):
+        raise ValueError("the scores are no ranks of merges: this is no byte-pair model")
+    model = Model(
         scores,
         tuple(bytes_[value] for value in range(256)) if len(bytes_) == 256 else (),
         library.unk_id(),
         tuple(texts),
         max(map(len, scores)),
     )
+    differing = [t for t in PROBES if Encoder(model, {}).encode(t).tolist() != library.encode(t)]
+    if differing:
+        raise ValueError(f"the model normalises or marks spaces in another way: {differing[:2]}")
+    return model
 
 
 def marked(text: str) -> str:
@@ -269,6 +281,9 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids as big-endian 32-bit numbers."""
+        return np.frombuffer(self.packed(text), dtype=">i4")
+
+    def packed(self, text: str) -> bytes:
         found = []
         for chunk in self.chunk.findall(marked(text)):
             ids = self.chunks.get(chunk)
@@ -277,7 +292,7 @@ class Encoder:
                     self.chunks.clear()
                 ids = self.chunks[chunk] = self._chunk(chunk)
             found.append(ids)
-        return np.frombuffer(b"".join(found), dtype=">i4")
+        return b"".join(found)
 
     def _chunk(self, chunk: str) -> bytes:
         return b"".join(self._unit(unit) for unit in self.unit.findall(chunk))
@@ -298,6 +313,34 @@ def decode_ids(ids, model: Model) -> str:
     return text.removeprefix(" ")
 
 
+class Decoder:
+    """Puts the texts of many ids together at once: a gather from one buffer of all pieces."""
+
+    def __init__(self, model: Model):
+        self.buffer = np.frombuffer(b"".join(model.texts), dtype=np.uint8)
+        self.lengths = np.array([len(text) for text in model.texts], dtype=np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        parts = []
+        for at in range(0, len(ids), DECODED_AT_ONCE):  # bounded memory for very long texts
+            some = ids[at : at + DECODED_AT_ONCE]
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(self.starts[some] - ends + lengths, lengths)
+            parts.append(self.buffer[shift + np.arange(len(shift))].tobytes())
+        return b"".join(parts)
+
+    def matches(self, ids: np.ndarray, offsets: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether the ids between each two offsets decode to the text."""
+        whole = self.decode(ids)
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])[offsets].tolist()
+        return [
+            whole[start:end] == ((" " + text.replace(MARK, " ")).encode() if text else b"")
+            for text, start, end in zip(texts, ends, ends[1:])
+        ]
+
+
 # --- operators ---------------------------------------------------------------------------------
 
 
@@ -322,20 +365,24 @@ def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = False)
     ]
     if check:
         fields.append(T.StructField("decoded", T.BooleanType()))
+    names = [field.name for field in fields]
 
-    @F.pandas_udf(T.StructType(fields))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType(fields))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = kept_by_worker(name, lambda: ({}, {}))  # a unit's ids depend on the model alone
         encoder = Encoder(model, known.value, kept)
-        for texts in batches:
-            ids = [encoder.encode(t).astype(np.int32) for t in texts]
-            result = {"ids": ids, "n_tokens": [len(found) for found in ids]}
-            if check:
-                result["decoded"] = [
-                    decode_ids(found.tolist(), model) == t.replace(MARK, " ")
-                    for found, t in zip(ids, texts)
-                ]
-            yield pd.DataFrame(result)
+        decoder = Decoder(model) if check else None
+        for batch in batches:
+            texts = batch.to_pylist()
+            packed = [encoder.packed(text) for text in texts]
+            counts = np.array([len(part) // 4 for part in packed], dtype=np.int64)
+            ids = np.frombuffer(b"".join(packed), dtype=">i4").astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
+            columns = [lists, pa.array(counts)]
+            if decoder:
+                columns.append(pa.array(decoder.matches(ids, offsets, texts), pa.bool_()))
+            yield pa.StructArray.from_arrays(columns, names)
 
     return (
         drop_columns(docs, *ADDED, "pieces")
