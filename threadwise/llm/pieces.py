@@ -344,20 +344,34 @@ class Decoder:
 # --- operators ---------------------------------------------------------------------------------
 
 
-def dictionary(docs: DataFrame, model: Model, text: str = "text") -> dict[str, bytes]:
-    """Ids of the most frequent units; at most ``FREQUENT_UNITS`` rows of bounded length."""
+def dictionary(docs: DataFrame, model: Model, text: str = "text") -> bytes:
+    """Ids of the most frequent units, as an Arrow stream: (``unit``, ``ids``).
+
+    At most ``FREQUENT_UNITS`` rows of bounded length; the driver hands them on as they arrive.
+    """
     units = cut_lineage(frequent_units(count_units(docs, text)))
     packed = F.unhex(
         F.array_join(F.transform("ids", lambda number: F.lpad(F.hex(number), 8, "0")), "")
     )
-    rows = folded_units(units, model).select("unit", packed.alias("ids")).toPandas()
-    return {unit: bytes(ids) for unit, ids in zip(rows["unit"], rows["ids"])}
+    rows = folded_units(units, model).select("unit", packed.alias("ids")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def looked_up(stream: bytes) -> dict[str, bytes]:
+    rows = pa.ipc.open_stream(stream).read_all()
+    return dict(zip(rows["unit"].to_pylist(), rows["ids"].to_pylist()))
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = False) -> DataFrame:
     """Add ``ids`` and ``n_tokens``; with ``check`` also ``decoded``: the ids decode to the text."""
     model = load(path)
-    known = docs.sparkSession.sparkContext.broadcast(dictionary(docs, model, text))
+    stream = dictionary(docs, model, text)
+    table = zlib.crc32(stream)
+    known = docs.sparkSession.sparkContext.broadcast(stream)
+    del stream
     name = f"pieces_{zlib.crc32(repr((model.texts, model.scores)).encode())}"
     fields = [
         T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -370,7 +384,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = False)
     @F.arrow_udf(T.StructType(fields))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = kept_by_worker(name, lambda: ({}, {}))  # a unit's ids depend on the model alone
-        encoder = Encoder(model, known.value, kept)
+        lookup = kept_by_worker(f"{name}_{table}", lambda: looked_up(known.value))
+        encoder = Encoder(model, lookup, kept)
         decoder = Decoder(model) if check else None
         for batch in batches:
             texts = batch.to_pylist()
