@@ -384,8 +384,11 @@ def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = False)
     @F.arrow_udf(T.StructType(fields))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kept = kept_by_worker(name, lambda: ({}, {}))  # a unit's ids depend on the model alone
-        lookup = kept_by_worker(f"{name}_{table}", lambda: looked_up(known.value))
-        encoder = Encoder(model, lookup, kept)
+        lookups = kept_by_worker(f"{name}_units", dict)
+        if table not in lookups:
+            lookups.clear()  # a worker holds the units of one table of texts
+            lookups[table] = looked_up(known.value)
+        encoder = Encoder(model, lookups[table], kept)
         decoder = Decoder(model) if check else None
         for batch in batches:
             texts = batch.to_pylist()
