@@ -20,7 +20,7 @@ empty file and index. Other columns are not stored.
 from __future__ import annotations
 
 import re
-import struct
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +36,9 @@ from threadwise.llm.common import kept_by_worker, whole_text
 
 BLOCK_IDS = 65_536
 LEVEL = 1
-# Chunks of text, and words, that one Python worker remembers.
-REMEMBERED = 500_000
+# Chunks of text, and words, that one Python worker remembers: so many new ones, and as many of the
+# time before that.
+REMEMBERED = 400_000
 
 SEGMENT = "struct<row: long, doc_id: long, part: int, start: int, length: int>"
 BLOCK = (
@@ -87,21 +88,33 @@ SHOWN = _shown_bytes()
 # A word of Latin letters and what punctuation follows: two pre-tokens, whatever comes next. A single
 # line break between two such words is a pre-token, too. Apostrophes are left out, since the
 # pattern knows contractions.
-_WORD = r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]*)([!-&(-/:-@\[-`{-~]*)"
+_LETTERS = r"[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]"
+SIGNS = string.punctuation.replace("'", "")
+LATIN = re.compile(f"{_LETTERS}+")
+_WORD = rf"({_LETTERS}*)([{re.escape(SIGNS)}]*)"
 PLAIN = re.compile(rf"{_WORD}(?:\n(?=\S){_WORD})?")
 
 
 class Remembered(dict):
-    """Values by key, computed when a key is first asked for; a bounded number is kept."""
+    """Values by key, computed when a key is first asked for; a bounded number is kept.
+
+    A full generation becomes the older one. What is asked for again comes back from there, so
+    frequent keys stay and only rare ones are forgotten.
+    """
 
     def __init__(self, compute):
         super().__init__()
         self.compute = compute
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.compute(key)
+        self[key] = value
         return value
 
 
@@ -117,6 +130,9 @@ class Encoder:
         if tokenizer.normalizer is not None:
             raise ValueError("a tokenizer without normalizer is needed")
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        top = max(tokenizer.get_vocab().values(), default=0)
+        self.octets = [number.to_bytes(4, "little") for number in range(top + 1)]
         self.special = [
             token.content for token in tokenizer.get_added_tokens_decoder().values()
         ]
@@ -134,6 +150,10 @@ class Encoder:
         """A chunk with the space before it."""
         if chunk.isascii() and chunk.isalpha():
             return self.words[" " + chunk]
+        letters = chunk.rstrip(SIGNS)
+        if LATIN.fullmatch(letters):
+            signs = chunk[len(letters) :]
+            return self.words[" " + letters] + (self.words[signs] if signs else b"")
         plain = PLAIN.fullmatch(chunk)
         if not plain or not (plain[1] or plain[2]):
             return self._encode_chunk(" " + chunk)
@@ -149,8 +169,7 @@ class Encoder:
             shown = word.replace(" ", SHOWN[0x20])
         else:
             shown = word.encode().decode("latin-1").translate(SHOWN)
-        ids = [token.id for token in self.tokenizer.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self.octets[token.id] for token in self.model.tokenize(shown)])
 
     def _encode_chunk(self, chunk: str) -> bytes:
         """Any chunk, by the whole tokenizer where it holds a special string."""
