@@ -8,8 +8,8 @@ def table(spark, rows):
 
 
 def neighbours(df, k):
-    index, dimension = search.build_index(df)
-    found = search.search(index, index.filter("vec_id % 20 = 0"), dimension, k).collect()
+    index = search.build_index(df)
+    found = search.search(index, index.filter("vec_id % 20 = 0"), k).collect()
     return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found)
 
 
@@ -35,6 +35,7 @@ def brute_force(vectors, ids, k):
 def test_recall_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "VECTOR_ROWS", 300)
     monkeypatch.setattr(search, "QUERY_ROWS", 20)
+    monkeypatch.setattr(search, "SLICE_ROWS", 7)
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((1000, 24)).astype(np.float32) * rng.uniform(0.1, 4, (1000, 1))
     vectors = vectors.astype(np.float32)
@@ -61,6 +62,19 @@ def test_ties_few_and_unusable_vectors(spark):
     assert of_twenty == [(1, 2.0), (1, 2.0)]
 
 
+def test_vectors_of_several_lengths_and_long_ones(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_BYTES", 1 << 19)  # 43 rows of 1,500 components
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal((8, 33, 1500)[i % 3]).tolist()) for i in range(180)]
+    found = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20)
+    want = []
+    for part in range(3):
+        ids = np.array([i for i, *_ in rows if i % 3 == part])
+        want += brute_force([np.array(rows[i][1]) for i in ids], ids, 20)
+    assert len(found) == len(want) == 9 * 20
+    assert len({r[::2] for r in found} & {r[::2] for r in want}) >= 0.98 * len(want)
+
+
 def test_empty(spark):
     assert neighbours(table(spark, []), 20) == []
 

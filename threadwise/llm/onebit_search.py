@@ -8,16 +8,17 @@ that only depends on the correction. Per block of vectors, the vectors with the
 compared exactly, which gives a score to beat; then every vector whose upper bound reaches it is
 compared exactly. All vectors are indexed; nothing is fitted to the data.
 
-Queries meet all vectors block by block, an equi-join on the numbers of blocks, so a task holds one
-block of queries and one of vectors.
+Queries meet all vectors of their length block by block, an equi-join on the numbers of blocks, so a
+task holds one block of queries and one of vectors and compares them slice by slice.
 
 Defined results: null vectors and ids, zero vectors, and vectors with null or non-finite
-components take no part, nor do vectors whose length is not the most common one; a query is not its
-own neighbour, but an equal row is; ties go to the smaller id; an empty table gives no rows.
+components take no part; vectors are compared with those of their own length only; a query is not
+its own neighbour, but an equal row is; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +32,19 @@ SEED = 42
 MIN_BITS = 128
 # Standard errors of an estimate that its bound allows for.
 EPSILON = 3.0
-QUERY_ROWS = 512
+# Rows of a block, fewer where vectors are long, and queries compared at a time. Large blocks of
+# queries are cheap to hold and keep the copies of vectors few.
+QUERY_ROWS = 8192
 VECTOR_ROWS = 8192
+BLOCK_BYTES = 1 << 24
+SLICE_ROWS = 512
 # Vectors per query and block, as a multiple of k, compared first to find the score to beat.
 FIRST = 5
+# Rotations of vectors of several lengths that a task holds.
+KEPT_ROTATIONS = 16
 
 PARTS = ("row", "vec_id", "vector", "code", "norm", "own")
-INDEX = "vec_id long, vector binary, code binary, norm double, own double"
+INDEX = "vec_id long, dimension int, vector binary, code binary, norm double, own double"
 
 
 def code_bits(dimension: int) -> int:
@@ -118,42 +125,38 @@ def search_block(vectors: dict, queries: dict, turn: np.ndarray, k: int) -> tupl
 # --- Spark -------------------------------------------------------------------------------------
 
 
-def build_index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> tuple:
-    """(index, dimension): one row per usable vector with its code; the index is written once."""
+def build_index(
+    vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
+) -> DataFrame:
+    """One row per usable vector with its code; the index is written once."""
     sized = vectors.select(
         F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector")
     ).filter("vec_id IS NOT NULL AND size(vector) > 0")
-    common = (
-        sized.groupBy(F.size("vector").alias("dimension"))
-        .count()
-        .orderBy(F.desc("count"), F.desc("dimension"))
-        .first()
-    )
-    dimension = common["dimension"] if common else 1
-    turn = rotation(dimension)
+
+    def coded(batch: pd.DataFrame, dimension: int, turn: np.ndarray) -> pd.DataFrame:
+        values = np.stack([np.array(v, dtype=np.float64) for v in batch["vector"]])  # null: NaN
+        usable = np.isfinite(values).all(axis=1) & (values != 0).any(axis=1)
+        values = values[usable]
+        codes, norms, own = encode(values, turn)
+        return pd.DataFrame(
+            {
+                "vec_id": batch["vec_id"].to_numpy()[usable],
+                "dimension": np.int32(dimension),
+                "vector": [v.tobytes() for v in values],
+                "code": [code.tobytes() for code in codes],
+                "norm": norms,
+                "own": own,
+            }
+        )
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turned = functools.lru_cache(KEPT_ROTATIONS)(rotation)
         for batch in batches:
-            if not len(batch):
-                continue
-            values = np.stack(
-                [np.array(v, dtype=np.float64) for v in batch["vector"]]  # null becomes NaN
-            )
-            usable = np.isfinite(values).all(axis=1) & (values != 0).any(axis=1)
-            values = values[usable]
-            codes, norms, own = encode(values, turn)
-            yield pd.DataFrame(
-                {
-                    "vec_id": batch["vec_id"].to_numpy()[usable],
-                    "vector": [v.tobytes() for v in values],
-                    "code": [code.tobytes() for code in codes],
-                    "norm": norms,
-                    "own": own,
-                }
-            )
-
-    coded = sized.filter(F.size("vector") == dimension).mapInPandas(index, INDEX)
-    return cut_lineage(coded.withColumn("row", F.monotonically_increasing_id())), dimension
+            for dimension, group in batch.groupby(batch["vector"].map(len)):
+                yield coded(group, dimension, turned(dimension))
+
+    found = sized.mapInPandas(index, INDEX)
+    return cut_lineage(found.withColumn("row", F.monotonically_increasing_id()))
 
 
 def _block(group: pd.DataFrame, prefix: str, dimension: int) -> dict:
@@ -169,32 +172,56 @@ def _block(group: pd.DataFrame, prefix: str, dimension: int) -> dict:
     }
 
 
-def _dealt(df: DataFrame, prefix: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """How many blocks the vectors of each length are dealt to."""
+    held = F.greatest(
+        F.lit(1), F.least(F.lit(most), F.expr(f"{BLOCK_BYTES} div (8 * dimension)"))
+    )
+    return rows.groupBy("dimension").agg(F.ceil(F.count("*") / F.first(held)).alias(name))
+
+
+def _dealt(df: DataFrame, blocks: DataFrame, prefix: str, own: str, other: str) -> DataFrame:
     """Deal rows to blocks, and each row to every block of the other side."""
-    return df.select(
-        *[F.col(name).alias(prefix + name) for name in PARTS],
-        F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias(prefix + own),
-        F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(prefix + other),
-    ).groupBy(prefix + "query_block", prefix + "vector_block")
+    return (
+        df.join(blocks, "dimension")
+        .select(
+            *[F.col(name).alias(prefix + name) for name in PARTS],
+            F.col("dimension").alias(prefix + "dimension"),
+            F.pmod(F.xxhash64("row"), f"{own}s").alias(prefix + own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)).alias(
+                prefix + other
+            ),
+        )
+        .groupBy(prefix + "dimension", prefix + "query_block", prefix + "vector_block")
+    )
 
 
-def search(index: DataFrame, queries: DataFrame, dimension: int, k: int = 20) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``); ``queries`` are rows of the index."""
-    turn = rotation(dimension)
-    vector_blocks = max(1, -(-index.count() // VECTOR_ROWS))
-    query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = _dealt(queries, "q_", "query_block", query_blocks, "vector_block", vector_blocks)
-    stored = _dealt(index, "v_", "vector_block", vector_blocks, "query_block", query_blocks)
+    # One row per length. A table with n lengths holds n * n / 2 components at least, so they are
+    # few beside it: 100 TB of single-precision vectors have 7 million at most.
+    blocks = F.broadcast(
+        _blocks(queries, QUERY_ROWS, "query_blocks").join(
+            _blocks(index, VECTOR_ROWS, "vector_blocks"), "dimension"
+        )
+    )
+    asked = _dealt(queries, blocks, "q_", "query_block", "vector_block")
+    stored = _dealt(index, blocks, "v_", "vector_block", "query_block")
 
-    def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def join(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["query_row", "query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=names)
-        asking, block = _block(left, "q_", dimension), _block(right, "v_", dimension)
-        query, row, score = search_block(block, asking, turn, k)
-        values = (asking["row"][query], asking["vec_id"][query], block["vec_id"][row], score)
-        found = pd.DataFrame(dict(zip(names, values)))
-        return found[np.isfinite(found["score"])]
+        dimension = int(key[0])
+        turn, block = rotation(dimension), _block(right, "v_", dimension)
+        found = []
+        for start in range(0, len(left), SLICE_ROWS):
+            asking = _block(left[start : start + SLICE_ROWS], "q_", dimension)
+            query, row, score = search_block(block, asking, turn, k)
+            values = (asking["row"][query], asking["vec_id"][query], block["vec_id"][row], score)
+            found.append(pd.DataFrame(dict(zip(names, values))))
+        pairs = pd.concat(found)
+        return pairs[np.isfinite(pairs["score"])]
 
     pairs = asked.cogroup(stored).applyInPandas(
         join, "query_row long, query_id long, vec_id long, score double"

@@ -68,8 +68,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
-    index, dimension = onebit_search.build_index(table(spark, sf_dir, "embeddings"))
-    return onebit_search.search(index, index.filter("vec_id % 20 = 0"), dimension, k=20)
+    index = onebit_search.build_index(table(spark, sf_dir, "embeddings"))
+    return onebit_search.search(index, index.filter("vec_id % 20 = 0"), k=20)
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
