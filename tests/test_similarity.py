@@ -115,6 +115,48 @@ def test_candidates_stay_few_whatever_k_is(spark):
     assert pairs[5] <= pairs[20] <= pairs[100] < every / 3, (pairs, every)
 
 
+def test_pairs_that_leave_a_task_are_bounded(spark, monkeypatch):
+    """All texts share their words: every pair is a candidate, k per query and block go on."""
+    monkeypatch.setattr(similarity, "POSTINGS_PER_KEY", 800)
+    corpus = [(i, f"red fox runs far w{i % 7}") for i in range(0, 400)]
+    corpus = [(i, f"{text} v{i}") for i, text in corpus]
+    index = tfidf.build_index(
+        spark.createDataFrame(corpus, "id long, body string"), "body", "id", 60, STOP
+    )
+    texts = spark.createDataFrame([(q, f"red fox runs w{q}") for q in range(9)], "q long, text string")
+    query = cut_lineage(tfidf.transform(texts, "q", "text", index))
+    plan = cut_lineage(similarity._query_plan(query, index, 5, 0.01))
+    blocks = -(-index.impacts.agg({"docs": "sum"}).first()[0] // 800)
+    pairs = similarity.candidate_pairs(plan, index, 5)
+    found = pairs.groupBy("q").count().collect()
+    assert blocks > 2 and len(found) == 9
+    assert all(5 <= row["count"] <= 5 * blocks for row in found)
+
+
+def test_repeated_and_missing_ids(spark):
+    corpus = [(1, "red fox"), (1, "blue owl"), (None, "red owl"), (2, "red fox")]
+    index = tfidf.build_index(
+        spark.createDataFrame(corpus, "id long, body string"), "body", "id", 100, STOP
+    )
+    messages = spark.createDataFrame(
+        [(7, "red fox"), (7, "blue owl"), (None, "owl")], "msg_id long, message string"
+    )
+    found = similarity.retrieve(messages, index, columns=[]).collect()
+    assert {r.msg_id for r in found} == {7} and {r.record_id for r in found} <= {1, 2}
+
+
+def test_counts_of_a_vocabulary(spark):
+    """Only its terms are counted by document, and as often as without it."""
+    texts = spark.createDataFrame(
+        [(1, "red red fox", 2), (2, "fox owl", 1)], "doc long, text string, copies long"
+    )
+    every = {tuple(r) for r in tfidf.term_counts(texts, "doc", STOP).collect()}
+    vocab = spark.createDataFrame([("red",), ("fox owl",)], "term string")
+    some = {tuple(r) for r in tfidf.term_counts(texts, "doc", STOP, vocab).collect()}
+    assert some == {row for row in every if row[1] in ("red", "fox owl")} and len(some) == 2
+    assert {tuple(r) for r in tfidf.term_counts(tfidf.together(texts, "doc"), "doc", STOP).collect()} == every
+
+
 def test_no_join_on_documents_and_terms(spark):
     corpus = random_texts(13, 60, 30, 6)
     index = tfidf.build_index(
