@@ -106,6 +106,18 @@ def test_long_dialogues_lose_no_turn(spark):
     assert (flat.dialogue_head, flat.dialogue_chars) == (whole, len(whole))
 
 
+def test_whole_dialogues_travel_with_their_records(spark, tmp_path):
+    rows = [("r", i, str(i), "a", i % 2 == 0, f"t{i} " + "x" * 20, "") for i in range(300)]
+    turns = spark.createDataFrame(rows, TURNS)
+    whole = " | ".join(f"{'Customer' if r[4] else BRAND}: {r[5]}" for r in rows)
+    assert [tuple(r) for r in threads.dialogues(turns, BRAND).collect()] == [("r", whole)]
+    flat = threads.flat_conversations(turns, BRAND)
+    assert flat.first().full_dialogue == whole and len(whole) > 7000
+    tables.write_flat(flat, str(tmp_path / "flat"), "csv")
+    read = tables.read_conversations(spark, str(tmp_path / "flat"), "csv").first()
+    assert (read.full_dialogue, read.dialogue_chars) == (whole, len(whole))
+
+
 def test_heads_are_cut_and_lengths_are_not(spark):
     """Empty and null texts, one turn longer than a head, and more turns than a head may need."""
     rows = [("long", 0, "l", "a", True, "x" * 5000, ""), ("long", 1, "m", "a", False, None, "")]

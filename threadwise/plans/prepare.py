@@ -29,7 +29,7 @@ def prepare(
 ) -> DataFrame:
     """Read the export at ``source``, write conversations below ``output``, return the summary.
 
-    ``conversations`` has one row per conversation with the beginning of its dialogue,
+    ``conversations`` has one row per conversation with its whole dialogue,
     ``dialogues`` the text of every dialogue in parts, ``conversations_nested`` the turns in parts;
     the files of the last two are in the order of threads and parts.
     """

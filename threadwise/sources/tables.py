@@ -131,10 +131,9 @@ def read_table(
 
 
 def read_conversations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Conversation records. Tables that hold each dialogue whole, as ``full_dialogue``, fit too."""
-    schema = T.StructType([*schemas.CONVERSATIONS, T.StructField("full_dialogue", T.StringType())])
+    """Conversation records; the head and the length come from the dialogue where they are absent."""
     whole = F.col("full_dialogue")
-    return read_table(spark, path, schema, fmt).select(
+    return read_table(spark, path, schemas.CONVERSATIONS, fmt).select(
         *schemas.CONVERSATIONS.names[:-2],
         F.coalesce("dialogue_head", F.substring(whole, 1, HEAD_CHARS)).alias("dialogue_head"),
         F.coalesce("dialogue_chars", F.length(whole).cast("long")).alias("dialogue_chars"),
