@@ -200,6 +200,22 @@ def test_most_frequent_ties_and_tail(spark):
         assert got == [t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n]]
 
 
+def test_large_selections_begin_with_a_histogram(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "HEAP_ROWS", 0)
+    test_most_frequent_ties_and_tail(spark)
+
+
+def test_index_of_documents_moves_no_terms(spark):
+    """Terms lie with their document already: nothing but texts and the vocabulary is shuffled."""
+    texts = spark.createDataFrame([(1, "red fox", 1), (2, "blue owl", 1)], "doc long, text string, copies long")
+    vocab = spark.createDataFrame([("red", 0, 1.0), ("owl", 1, 1.0)], "term string, term_id int, idf double")
+    counts = tfidf.term_counts(tfidf.together(texts, "doc"), "doc", STOP, vocab)
+    vectors = tfidf.document_vectors(tfidf.weights(counts, "doc", vocab, 10))
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.doc, *r.terms) for r in vectors.collect()} == {(1, 0), (2, 1)}
+
+
 def test_index_round_trip(spark, tmp_path):
     corpus = spark.createDataFrame(
         [("a", "red fox runs", "yes"), ("b", "red fox sleeps", "no"), ("c", "blue owl", "so")],
