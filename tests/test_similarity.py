@@ -133,6 +133,37 @@ def test_pairs_that_leave_a_task_are_bounded(spark, monkeypatch):
     assert all(5 <= row["count"] <= 5 * blocks for row in found)
 
 
+def test_vectors_are_not_dealt_to_pairs_of_blocks(spark, monkeypatch):
+    """Many blocks on both sides: the lists are the same, and no vector is repeated for a shuffle."""
+    monkeypatch.setattr(similarity, "POSTINGS_PER_KEY", 60)
+    monkeypatch.setattr(similarity, "TERMS_PER_KEY", 30)
+    corpus = random_texts(21, 60, 40, 6, copies=0.2)
+    queries = random_texts(22, 30, 40, 6, copies=0.2)
+    index = tfidf.build_index(
+        spark.createDataFrame(corpus, "id long, body string"), "body", "id", 300, STOP
+    )
+    texts = spark.createDataFrame(queries, "q long, text string")
+    query = cut_lineage(tfidf.transform(texts, "q", "text", index))
+    plan = cut_lineage(similarity._query_plan(query, index, 3, 0.01))
+    pairs = similarity.candidate_pairs(plan, index, 3)
+    steps = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in steps and "Exchange" not in steps and "Generate" not in steps
+    vectors = {}
+    for row in query.collect():
+        vectors.setdefault(row.q, {})[row.term_id] = row.w
+    docs = {r.doc: dict(zip(r.terms, r.weights)) for r in index.vectors.collect()}
+    best = {}
+    for q, v in vectors.items():
+        scores = [(-round(sum(w * d.get(t, 0) for t, w in v.items()), 10), i) for i, d in docs.items()]
+        best[q] = [(i, -s) for s, i in sorted(scores)[:3] if -s >= 0.01]
+    found = {}
+    for row in similarity.best_vectors(query, index, 3, 0.01).orderBy("q", "score").collect():
+        found.setdefault(row.q, []).append((row.doc, row.score))
+    for q, rows in found.items():
+        assert sorted(rows, key=lambda r: (-r[1], r[0])) == [(i, pytest.approx(s)) for i, s in best[q]]
+    assert set(found) == {q for q, rows in best.items() if rows}
+
+
 def test_repeated_and_missing_ids(spark):
     corpus = [(1, "red fox"), (1, "blue owl"), (None, "red owl"), (2, "red fox")]
     index = tfidf.build_index(
