@@ -38,3 +38,12 @@ def test_rule_queries_are_not_degenerate(spark):
     triaged = QUERIES["h12_route"](spark, str(TESTDATA))
     assert triaged.select("rule").distinct().count() >= 5
     assert triaged.select("decision").distinct().count() == 2
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["g8_generate_replies", "i1_triage", "i2_triage_report", "k10_agent_results",
+     "l13_rating_template", "m4_judge_prompts", "m6_ingested_replies"],
+)
+def test_triage_sql_has_whole_dialogues(name):
+    assert "AS full_dialogue" in SQL[name] and "dialogue_head" not in SQL[name]
