@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from conftest import TESTDATA
 
 from threadwise.operators import index_store, similarity, tfidf
 from threadwise.session import cut_lineage
@@ -289,3 +290,40 @@ def test_evidence_corpus(spark):
     )
     kept = tfidf.evidence_corpus(spark.createDataFrame(rows, schema)).collect()
     assert [r.conversation_id for r in kept] == ["a"]
+
+
+def test_cases_get_their_columns_without_a_shuffle_of_texts(spark, monkeypatch):
+    """Ids that repeat, are unknown or null, rows without cases, and many small blocks and tasks."""
+    monkeypatch.setattr(similarity, "BYTES_PER_BLOCK", 300)
+    monkeypatch.setattr(similarity, "RECORDS_PER_TASK", 200)
+    records = [(f"c{i}", f"fox number{i}", f"yes {i}") for i in range(40)]
+    records += [("c3", "fox number3", "twice"), (None, "fox nobody", "none")]
+    corpus = spark.createDataFrame(
+        records, "conversation_id string, initial_query string, first_support_reply string"
+    )
+    index = tfidf.build_index(corpus, stop_words=STOP)
+    ids = [[f"c{(7 * i + j) % 40}" for j in range(i % 4)] for i in range(600)]
+    ids += [[], ["c3", "unknown"], [None, "c3"], ["unknown"]]
+    rows = [(i, f"m{i}", [(j + 1, x, 0.5) for j, x in enumerate(xs)]) for i, xs in enumerate(ids)]
+    kind = "array<struct<rank: int, record_id: string, similarity_score: double>>"
+    stored = spark.createDataFrame(rows, f"msg_id long, message string, evidence {kind}")
+    want = {
+        i: sorted((rank, x, s, r[2]) for rank, x, s in cases for r in records if x and r[0] == x)
+        for i, _, cases in rows
+    }
+    filled = similarity.with_cases(stored, index, ("first_support_reply",))
+    found = filled.collect()
+    assert len(found) == len(rows) and filled.columns == stored.columns
+    assert {r.msg_id: list(map(tuple, r.evidence)) for r in found} == want
+    again = similarity.case_ids(filled).where("msg_id = 7").first()
+    assert list(map(tuple, again.evidence)) == rows[7][2]
+    nothing = similarity.with_cases(stored.where("size(evidence) = 0"), index)
+    assert all(r.evidence == [] for r in nothing.collect()) and nothing.count() == 151
+
+
+@pytest.mark.skipif(not TESTDATA.exists(), reason="test tables are absent")
+def test_triaged_messages_are_stored_without_the_texts_of_their_cases(spark):
+    from threadwise.registry import inputs
+
+    stored = inputs.triaged(spark, str(TESTDATA))
+    assert stored.schema["evidence"].dataType.elementType.names == list(similarity.CASE)
