@@ -5,6 +5,7 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as entry
+from threadwise.registry import inputs
 
 pytestmark = pytest.mark.skipif(not TESTDATA.exists(), reason="test tables are absent")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -47,3 +48,23 @@ def test_rule_queries_are_not_degenerate(spark):
 )
 def test_triage_sql_has_whole_dialogues(name):
     assert "AS full_dialogue" in SQL[name] and "dialogue_head" not in SQL[name]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["g8_generate_replies", "i1_triage", "i2_triage_report", "k10_agent_results",
+     "l13_rating_template", "m4_judge_prompts", "m6_ingested_replies"],
+)
+def test_triage_sql_has_whole_messages(name):
+    assert inputs.LATE_HOW_TO not in SQL[name] and inputs.LATE_PLAN not in SQL[name]
+
+
+def test_later_questions_are_triaged_whole(spark, tmp_path):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"own words {c} {t}")
+             for c in (9, 10, 11) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    for name in ("i1_triage", "k10_agent_results", "i2_triage_report"):
+        found = {r.message for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert len(found) == 6 and all("own words" in message for message in found)
