@@ -82,3 +82,24 @@ def test_clashing_and_empty(spark, clashing, nothing):
     assert accepted.filter("kept = 'own' AND n_words = 'own'").count() == accepted.count() == 39
     assert line_quality.accepted(nothing).columns == nothing.columns
     assert line_quality.with_verdict(nothing).count() == 0
+
+
+def test_texts_of_accepted_documents_are_not_shuffled(spark, monkeypatch):
+    """Lines are looked up where the texts lie, however many texts hold them; both ways agree."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [
+            (i, ["a", "b", None][i % 3], f"{prose(5 * i, 70)}\nShared  {i % 4}\n{prose(0, 9)}\n\n{i}")
+            for i in range(150)
+        ]
+        rows += [(500, "b", None), (501, None, ""), (502, "c", prose(0, 80)), (3, "a", rows[3][2])]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        result = line_quality.accepted(docs)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        found = sorted(map(tuple, result.collect()), key=str)
+        monkeypatch.setattr(line_quality, "LOOKED_UP", 0)
+        assert found == sorted(map(tuple, line_quality.accepted(docs).collect()), key=str)
+        assert len(found) == 152 and not any("Shared" in text for _, _, text in found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -39,6 +39,9 @@ MIN_LEFT_SHARE = 0.5
 LEAST_SHARE = 0.2
 # A line in most documents of a host is one key with most rows: its rows are dealt to this many.
 SALTS = 32
+# Up to so many frequent lines are sent to the texts; of a host, in as many lists by their hash.
+LOOKED_UP = 200_000
+LISTS = 256
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MEASURES = (
@@ -185,37 +188,78 @@ def removed_lines(texts: DataFrame, frequent: DataFrame) -> DataFrame:
     )
 
 
+def _keyed_lines(text: str) -> Column:
+    return F.transform(
+        lines_with_words(whole_text(text)),
+        lambda line: F.struct(
+            line_key(line).alias("line"),
+            F.regexp_count(line, F.lit(WORD)).cast("long").alias("words"),
+        ),
+    )
+
+
+def _list_of(line: Column) -> Column:
+    return F.pmod(F.xxhash64(line), F.lit(LISTS)).cast("int")
+
+
+def look_up(docs: DataFrame, text: str, frequent: DataFrame) -> DataFrame:
+    """Add ``removed_words`` and ``removed_lines`` where the texts lie; ``frequent`` is broadcast."""
+    lists = (
+        frequent.groupBy("quality_host", _list_of(F.col("line")).alias("list"))
+        .agg(F.collect_list("line").alias("lines"))
+        .groupBy("quality_host")
+        .agg(F.map_from_entries(F.collect_list(F.struct("list", "lines"))).alias("quality_lines"))
+    )
+
+    def summed(removed: Column) -> Column:
+        words = F.aggregate(removed, F.lit(0).cast("long"), lambda n, line: n + line["words"])
+        return F.struct(words.alias("removed_words"), removed["line"].alias("removed_lines"))
+
+    found = F.filter(
+        _keyed_lines(text),
+        lambda line: F.array_contains(
+            F.try_element_at("quality_lines", _list_of(line["line"])), line["line"]
+        ),
+    )
+    joined = docs.join(F.broadcast(lists), "quality_host", "left")
+    # A generator is evaluated once, as in with_measures.
+    return joined.select("*", F.inline(F.array(let(found, summed)))).drop("quality_lines")
+
+
 def with_verdict(
     docs: DataFrame,
     text: str = "text",
     host: str = "source",
     min_documents: int = MIN_DOCUMENTS,
+    texts_stay: bool = False,
 ) -> DataFrame:
     """Add the measures, ``removed_words``, ``clean_text`` (frequent lines removed) and ``kept``.
 
     A text's lines are collected once per host and text, so copies are neither counted nor joined
-    more than once, and the texts themselves are never shuffled to count lines.
+    more than once, and the texts themselves are never shuffled to count lines. Where the result
+    holds the texts, ``texts_stay`` saves their shuffle as well: their lines are hashed a second
+    time and looked up among the frequent ones, unless these are too many to be broadcast.
     """
     keyed = _keyed(drop_columns(docs, *ADDED), text, host)
-    lines = F.transform(
-        lines_with_words(whole_text(text)),
-        lambda line: F.struct(
-            line_key(line).alias("line"),
-            F.regexp_count(line, F.lit(WORD)).cast("long").alias("words"),
-        ),
-    )
     texts = cut_lineage(
-        keyed.select("quality_host", "quality_text", lines.alias("quality_lines"))
+        keyed.select("quality_host", "quality_text", _keyed_lines(text).alias("quality_lines"))
         .groupBy("quality_host", "quality_text")
         .agg(F.any_value("quality_lines").alias("quality_lines"))
         .filter(F.size("quality_lines") > 0)
     )
-    # Written, so that a text with a third of all rows as copies can be split in the join below.
-    removed = cut_lineage(removed_lines(texts, frequent_lines(texts, min_documents)))
+    frequent = frequent_lines(texts, min_documents)
+    if texts_stay:
+        frequent = cut_lineage(frequent)
+        texts_stay = frequent.limit(LOOKED_UP + 1).count() <= LOOKED_UP
     judged = with_measures(keyed, text)
-    judged = judged.join(removed, ["quality_host", "quality_text"], "left").withColumn(
-        "removed_words", F.coalesce("removed_words", F.lit(0))
-    )
+    if texts_stay:
+        judged = look_up(judged, text, frequent)
+    else:
+        # Written, so that a text with a third of all rows as copies can be split in the join.
+        removed = cut_lineage(removed_lines(texts, frequent))
+        judged = judged.join(removed, ["quality_host", "quality_text"], "left").withColumn(
+            "removed_words", F.coalesce("removed_words", F.lit(0))
+        )
     left = F.col("n_words") - F.col("removed_words")
     few = (left < MIN_LEFT) & (left < MIN_LEFT_SHARE * F.col("n_words"))
     depleted = (F.col("removed_words") > 0) & (few | (left < LEAST_SHARE * F.col("n_words")))
@@ -244,7 +288,7 @@ def accepted(
     Columns are the input's.
     """
     inputs, restored = set_aside(docs, ADDED)
-    result = with_verdict(inputs, text, host).filter("kept")
+    result = with_verdict(inputs, text, host, texts_stay=True).filter("kept")
     if length in docs.columns:
         cleaned = F.length("clean_text").cast(docs.schema[length].dataType)
         result = result.withColumn(
