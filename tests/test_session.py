@@ -2,7 +2,8 @@ from types import SimpleNamespace
 
 import pytest
 
-from threadwise.session import cut_lineage, shared_folder, spread
+from threadwise import session
+from threadwise.session import cut_lineage, passing_tables, settle, shared_folder, spread
 
 
 def fake(master, folder):
@@ -38,6 +39,24 @@ def test_cut_lineage_keeps_rows_and_schema(spark):
     assert len(cut.inputFiles()) >= 1
 
 
+def test_tables_on_the_way_go_with_their_step(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+
+    def build():
+        first = settle(spark, lambda: cut_lineage(spark.range(3)).selectExpr("id + 1 AS id"))
+        assert len(list(tmp_path.iterdir())) == 1
+        return first.union(cut_lineage(spark.range(9, 10)))
+
+    kept = settle(spark, build)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 9]
+    with pytest.raises(ZeroDivisionError), passing_tables(spark):
+        settle(spark, lambda: spark.range(1))
+        cut_lineage(spark.range(1))
+        1 / 0
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_spread_only_small_inputs(spark, tmp_path):
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == partitions

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from conftest import TESTDATA
 
+from threadwise import session
 from threadwise.operators import index_store, similarity, tfidf
 from threadwise.session import cut_lineage
 
@@ -327,3 +328,38 @@ def test_triaged_messages_are_stored_without_the_texts_of_their_cases(spark):
 
     stored = inputs.triaged(spark, str(TESTDATA))
     assert stored.schema["evidence"].dataType.elementType.names == list(similarity.CASE)
+
+
+def test_retrieval_leaves_only_what_is_read_later(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame(
+        [(i, t, f"answer {i}") for i, t in random_texts(5, 40, 60, 8)],
+        "conversation_id long, initial_query string, first_support_reply string",
+    )
+    index = tfidf.build_index(corpus, stop_words=STOP)
+    messages = spark.createDataFrame(
+        [*random_texts(6, 30, 60, 8, 0.2), (77, None)], "msg_id long, message string"
+    )
+    monkeypatch.setattr(session, "shared_folder", lambda spark: str(tmp_path))
+    before = {r.msg_id: r for r in similarity.attach_evidence(messages, index).collect()}
+    # The messages with the ids of their cases, and the records of those.
+    assert len(list(tmp_path.iterdir())) == 2
+    assert len(before) == 31 and sum(len(r.evidence) for r in before.values()) > 30
+
+
+def test_rows_of_queries_are_shuffled_once_for_their_plan(spark):
+    texts = spark.createDataFrame(random_texts(7, 60, 60, 8), "conversation_id long, initial_query string")
+    index = tfidf.build_index(texts, stop_words=STOP)
+    rows = texts.selectExpr("conversation_id AS q", "initial_query AS text")
+    vectors = cut_lineage(tfidf.transform(tfidf.together(rows, "q"), "q", "text", index))
+    plan = similarity._query_plan(vectors, index, 3, 0.01)
+    plan.collect()
+    executed = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in executed
+
+
+def test_terms_of_queries_are_not_shuffled(spark):
+    texts = spark.createDataFrame(random_texts(8, 60, 60, 8), "conversation_id long, initial_query string")
+    index = tfidf.build_index(texts, stop_words=STOP)
+    rows = tfidf.together(texts.selectExpr("conversation_id AS q", "initial_query AS text"), "q")
+    plan = tfidf.transform(rows, "q", "text", index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
