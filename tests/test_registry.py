@@ -68,3 +68,21 @@ def test_later_questions_are_triaged_whole(spark, tmp_path):
     for name in ("i1_triage", "k10_agent_results", "i2_triage_report"):
         found = {r.message for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert len(found) == 6 and all("own words" in message for message in found)
+
+
+def test_cases_of_whole_messages_have_whole_dialogues(spark, tmp_path):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"own words {c} {t}")
+             for c in (9, 10, 11) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    records = inputs.support_index(spark, str(tmp_path), whole=True).records.collect()
+    assert len(records) == 3
+    for r in records:
+        assert all(f"own words {r.record_id} {t}" in r.full_dialogue for t in range(4))
+
+
+def test_texts_of_turns_move_once(spark):
+    turns = inputs.support_turns(spark, str(TESTDATA))
+    plan = turns._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" not in plan
