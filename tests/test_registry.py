@@ -86,3 +86,20 @@ def test_texts_of_turns_move_once(spark):
     turns = inputs.support_turns(spark, str(TESTDATA))
     plan = turns._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" not in plan
+
+
+def test_judged_results_have_whole_messages(spark, tmp_path):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"own words {c} {t}")
+             for c in (9, 10, 11) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet")
+    )
+    assert inputs.LATE_HOW_TO not in SQL["k8_judged_results"]
+    assert inputs.LATE_PLAN not in SQL["k8_judged_results"]
+    assert inputs.WHOLE_TEXT in SQL["k8_judged_results"]
+    judged = QUERIES["k8_judged_results"](spark, str(tmp_path))
+    found = {r.message for r in judged.collect()}
+    assert len(found) == 6 and all("own words" in message for message in found)
+    assert not oracle.differences(
+        judged, oracle.connect(str(tmp_path)), SQL["k8_judged_results"]
+    )
