@@ -341,6 +341,21 @@ def test_gradient_tells_a_fitted_model_from_another(spark):
     assert max(abs(cell.gradient) for cell in model.gradient(train).collect()) > 1e-5
 
 
+def test_every_row_is_learned_from(spark):
+    n = 10_240
+    word = "concat('word', id % 7, ' tail', id % 3)"
+    label = "CASE WHEN id % 40 = 0 THEN 'rare' WHEN id % 7 < 3 THEN 'low' ELSE 'high' END"
+    train = spark.range(n).selectExpr("id AS msg_id", f"{word} AS message", f"{label} AS label")
+    model = baselines.fit_text_classifier(train)
+    assert model.penalty == 1 / n
+    assert {r.term: r.cf for r in model.vocab.collect()}["word0"] == sum(i % 7 == 0 for i in range(n))
+    cells = model.gradient(train).collect()
+    assert max(abs(cell.gradient) for cell in cells) < 1e-6
+    # Rows without a key belong to no message: they change nothing.
+    more = train.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS msg_id, 'lost' AS message, 'low' AS label"))
+    assert baselines.fit_text_classifier(more).penalty == 1 / n
+
+
 def test_one_label_is_always_predicted(spark):
     train = spark.createDataFrame([(1, "a word", "x"), (2, "b", "x")], "msg_id long, message string, label string")
     model = baselines.fit_text_classifier(train)

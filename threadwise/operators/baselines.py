@@ -10,22 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadwise.operators.golden import bounded_sample
 from threadwise.operators.tfidf import (
     bounded_broadcast,
     term_counts,
+    together,
     vocabulary,
     weights,
 )
 from threadwise.rules import fixed_values as fixed
 from threadwise.rules.stop_words import ENGLISH
-from threadwise.session import cut_lineage
+from threadwise.session import cut_lineage, settle
 
 
 # A taxonomy is a list people keep in mind; more labels are a mistake in the caller's table.
 MAX_LABELS = 1000
 # Relative change of the loss at which fitting ends.
 TOLERANCE = 1e-12
+# Bytes of text whose vectors one task of the fit holds. In every step each task sends the gradient of
+# all coefficients, so there are as many as the rows need and no more.
+FIT_TEXT_PER_TASK = 16_000_000
 
 
 def majority_label(
@@ -61,7 +64,7 @@ class TextClassifier:
         rows = messages.select(
             key, F.coalesce(F.col(text), F.lit("")).alias("text"), F.lit(1).alias("copies")
         )
-        counts = term_counts(rows, key, self.stop_words)
+        counts = term_counts(rows, key, self.stop_words, self.vocab, self.max_features)
         return weights(counts, key, self.vocab, self.max_features)
 
     def scores(self, messages: DataFrame, key: str = "msg_id", text: str = "message") -> DataFrame:
@@ -188,14 +191,13 @@ def fit_text_classifier(
     c: float = 1.0,
     max_iter: int = 1000,
     stop_words: list[str] | None = None,
-    max_rows: int = fixed.TRAINING_ROWS,
 ) -> TextClassifier:
     """Fit on (key, text, label) with an L2 penalty of 1/(c n) and free intercepts.
 
-    At most ``max_rows`` rows are learned from, in hash order of their key.
+    All rows that have a key are learned from.
     """
     spark = training.sparkSession
-    training = bounded_sample(training, max_rows, key)
+    training = training.where(F.col(key).isNotNull())
     if stop_words is None:
         stop_words = list(ENGLISH)
     rows = cut_lineage(
@@ -204,8 +206,13 @@ def fit_text_classifier(
             F.lit(1).alias("copies"),
         )
     )
-    counts = cut_lineage(term_counts(rows, key, stop_words))
-    vocab = cut_lineage(vocabulary(counts, rows.agg(F.count("*").alias("n")), max_features))
+    # Texts are counted twice, first for the vocabulary, then for its terms only: the rare terms of a
+    # large table are neither written nor moved by row.
+    texts = together(rows.select(key, "text", "copies"), key)
+    every = term_counts(texts, key, stop_words)
+    documents = rows.agg(F.count("*").alias("n"))
+    vocab = settle(spark, lambda: vocabulary(every, documents, max_features))
+    counts = term_counts(texts, key, stop_words, vocab, max_features)
     found = rows.select(label).distinct().orderBy(label).limit(MAX_LABELS + 1).collect()
     labels = [r[0] for r in found]
     if len(labels) > MAX_LABELS:
@@ -223,7 +230,7 @@ def fit_text_classifier(
         "class",
         size,
     )
-    n = rows.count()
+    n, amount = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     if len(labels) == 1:
         schema = "term_id int, coefficients array<double>"
         return TextClassifier(
@@ -233,7 +240,7 @@ def fit_text_classifier(
     model = LogisticRegression(
         family="multinomial", maxIter=max_iter, regParam=penalty, standardization=False,
         tol=TOLERANCE,
-    ).fit(features)
+    ).fit(features.coalesce(max(1, -(-amount // FIT_TEXT_PER_TASK))))
     matrix = model.coefficientMatrix.toArray()
     coefficients = spark.createDataFrame(
         [(i, matrix[:, i].tolist()) for i in range(size)],
