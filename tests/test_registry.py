@@ -103,3 +103,18 @@ def test_judged_results_have_whole_messages(spark, tmp_path):
     assert not oracle.differences(
         judged, oracle.connect(str(tmp_path)), SQL["k8_judged_results"]
     )
+
+
+def test_term_frequencies_are_counted_within_the_vocabulary(spark, tmp_path):
+    texts = [(1, "red fox red"), (1, "fox hunts"), (2, "red fox red"), (3, "the of"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    found = QUERIES["e7_term_frequency"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Join Inner" not in plan
+    # A key that comes twice is one document.
+    assert {(r.doc_id, r.term): r.tf for r in found.collect()} == {
+        (1, "red"): 2, (1, "fox"): 2, (1, "hunts"): 1, (1, "red fox"): 1, (1, "fox red"): 1,
+        (1, "fox hunts"): 1, (2, "red"): 2, (2, "fox"): 1, (2, "red fox"): 1, (2, "fox red"): 1,
+    }
